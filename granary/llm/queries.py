@@ -12,9 +12,14 @@ from .curriculum import mix_sources
 from .license_scan import scan_licenses
 from .mpeg_audio import media_features
 from .secret_scan import scan_secrets
+from .substring_dedup import remove_repeats
 from .warc import archive_and_read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
