@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import read_table
 from .curriculum import mix_sources
+from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mpeg_audio import media_features
 from .secret_scan import scan_secrets
@@ -37,6 +38,10 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
 
