@@ -129,12 +129,13 @@ def _count_tokens(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)]
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
+def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, parts: int, sets=None) -> DataFrame:
     """Of pairs (a, b) of documents' refs those whose sets link.
 
     b's text goes to a's task; the many partners of one a are dealt into chunks with a's text in each.  Only a's set and one block are in memory.
     """
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).cast("long")
+    sets = sets or _sets
     counted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", chunk.alias("chunk"))
     counted = stage_boundary(counted)
     leaders = counted.select(F.col("a").alias("ref"), "a", "chunk").distinct()
@@ -147,7 +148,7 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int,
         for b in batches:
             a, chunk, rank, ref = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             out = []
-            for i, keys, doc, n_words in _sets(b.column(4), shingle):
+            for i, keys, doc, n_words in sets(b.column(4), shingle):
                 cuts = np.searchsorted(doc, np.arange(len(n_words) + 1))
                 for d in range(len(n_words)):
                     own, k = keys[cuts[d] : cuts[d + 1]], i + d

@@ -11,6 +11,7 @@ from ..sources import read_table
 from .curriculum import mix_sources
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .mpeg_audio import media_features
 from .secret_scan import scan_secrets
 from .substring_dedup import remove_repeats
@@ -21,6 +22,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.char_length("kept").cast("long").alias("n_chars_kept"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -48,6 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
