@@ -290,6 +290,34 @@ def _sum_pairs(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [q[at], g[at], np.add.reduceat(n, at)]
 
 
+def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ref, n, class) of documents, (class, rep, n) of sets that aren't empty, and links (a, b) of classes' documents; steps 1 to 4 below."""
+    parts = parts_of(docs)
+    spark = docs.sparkSession
+    described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts))
+    meta = _rows(described, 0, "ref long, n long, class long", ["<i8", "<i8", "<u8"], None).distinct()
+    classes = stage_boundary(meta.where("n > 0").groupBy("class").agg(F.min("ref").alias("rep"), F.first("n").alias("n")))
+    stars = _rows(described, 1, "class long, leader long", ["<u8", "<u8"], parts, _band_stars).distinct()
+    lead = classes.select(F.col("class").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("m"))
+    proposed = stars.join(classes, "class").join(lead, "leader").where(fitting(percent)).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts))
+    grouped = components(links)
+    reps = classes.select(F.col("rep").alias("ref"), "n").join(grouped, F.col("ref") == F.col("node"), "left").select("ref", "n", F.coalesce("root", "ref").alias("gid"))
+    reps = stage_boundary(reps)
+    frequent = spark.sparkContext.broadcast(frequent_tokens(described, parts))
+    matrix = emit_prefixes(join_text(docs, reps.select("ref", "gid")), frequent, shingle, percent, parts)
+    bounds = _rows(stage_boundary(count_overlaps(matrix, percent, parts)), 4, "query long, gid long, met long", ["<i8", "<i8", "<i8"], parts, _sum_pairs)
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
+    own = reps.select(F.col("ref").alias("query"), "n", F.col("gid").alias("own"))
+    opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least))
+    return meta, classes, stage_boundary(links.unionByName(_open_groups(docs, opened, reps, shingle, percent, parts)).distinct())
+
+
+def fitting(percent: int):
+    """Sizes n and m that a link allows."""
+    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+
+
 def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -306,28 +334,8 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Every link is found or its two documents are already in one component.  Null texts are empty.  Rows of equal id and text are one document, each returned;
     null ids get a component_id of the smallest id beside them, null if there is none.  Further columns are ignored; an empty table gives no rows.
     """
-    parts = parts_of(df)
-    spark = df.sparkSession
     docs = with_refs(df, text, doc_id)
-    described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts))
-    meta = _rows(described, 0, "ref long, n long, class long", ["<i8", "<i8", "<u8"], None).distinct()
-    classes = stage_boundary(meta.where("n > 0").groupBy("class").agg(F.min("ref").alias("rep"), F.first("n").alias("n")))
-    stars = _rows(described, 1, "class long, leader long", ["<u8", "<u8"], parts, _band_stars).distinct()
-    lead = classes.select(F.col("class").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("m"))
-    fitting = F.col("n") * 100 >= F.col("m") * percent
-    proposed = stars.join(classes, "class").join(lead, "leader").where(fitting & (F.col("m") * 100 >= F.col("n") * percent)).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
-    links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts))
-    grouped = components(links)
-    reps = classes.select(F.col("rep").alias("ref"), "n").join(grouped, F.col("ref") == F.col("node"), "left").select("ref", "n", F.coalesce("root", "ref").alias("gid"))
-    reps = stage_boundary(reps)
-    frequent = spark.sparkContext.broadcast(frequent_tokens(described, parts))
-    matrix = emit_prefixes(join_text(docs, reps.select("ref", "gid")), frequent, shingle, percent, parts)
-    bounds = _rows(stage_boundary(count_overlaps(matrix, percent, parts)), 4, "query long, gid long, met long", ["<i8", "<i8", "<i8"], parts, _sum_pairs)
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
-    own = reps.select(F.col("ref").alias("query"), "n", F.col("gid").alias("own"))
-    opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least))
-    links = links.unionByName(_open_groups(docs, opened, reps, shingle, percent, parts))
-    links = stage_boundary(links)
+    meta, classes, links = find_links(docs, shingle, percent)
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     table = classes.join(roots, F.col("rep") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
@@ -339,6 +347,19 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return result.select("doc_id", "n_shingles", F.col("root").alias("component_id"), "n_links")
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """df with one document of each component: its first, by id.  Documents without words stay; of rows equal in id and text one stays."""
+    docs = with_refs(df, text, doc_id, tuple(df.columns))
+    meta, classes, links = find_links(docs, shingle, percent)
+    roots = components(links)
+    first = classes.join(roots.where("node <> root"), F.col("rep") == F.col("node"), "left_anti").select(F.col("rep").alias("ref"))
+    stay = stage_boundary(first.unionByName(meta.where("n = 0").select("ref")).distinct())
+    kept = join_text(docs, stay)
+    if _renumbered(docs):
+        kept = kept.dropDuplicates(["ref"])
+    return kept.select(*(F.col(f"keep{k}").alias(c) for k, c in enumerate(df.columns)))
+
+
 def _renumbered(docs: DataFrame) -> bool:
     """Whether refs aren't the ids themselves."""
     return bool(docs.where(~F.col("ref").eqNullSafe(F.col("doc_id"))).limit(1).count())
@@ -347,7 +368,7 @@ def _renumbered(docs: DataFrame) -> bool:
 def _open_groups(docs: DataFrame, opened: DataFrame, reps: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
     """Links of queries with members of the groups that their bound lets them open."""
     members = reps.select("gid", F.col("ref").alias("member"), F.col("n").alias("m"))
-    fit = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    fit = fitting(percent)
     best = opened.groupBy("own", "gid").agg(F.max_by(F.struct("query", "n"), F.struct("met", "query")).alias("q")).select("own", "gid", "q.*")
     first = best.join(members, "gid").where(fit).select(F.col("query").alias("a"), F.col("member").alias("b"))
     found = stage_boundary(verify_pairs(docs, first, shingle, percent, parts))

@@ -207,7 +207,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     return map_batches(join_text(docs, stage_boundary(asked)), "ref long, text string", batch, "text", "blob")
 
 
-def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keep one line of each component of similar lines, the first one (smallest id, earliest place).
 
     Lines are compared in lower case (A-Z) and without outer white space; blank ones are kept and never compared.  Lines are similar whose sets of
@@ -218,18 +218,18 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     3. Lines of one band that are still in different components are all verified with each other, so no candidate link is lost.
     4. Components by distributed union-find; all lines but each component's first are cut out, with their line break.
 
-    Returns per input row doc_id, n_lines (not blank), n_removed, kept (the remaining text).  Null texts are empty.  Rows of equal id and text are one document,
-    each returned with the same result; equal ids of different texts are ordered by digest, null ids first.  Further columns are ignored; an empty table gives no rows.
+    Returns per input row doc_id, n_lines (not blank), n_removed, kept (the remaining text) and the columns named by ``keep``.  Null texts are empty.  Rows of equal id and text are one document,
+    each returned with the same result; equal ids of different texts are ordered by digest, null ids first.  Other columns are ignored; an empty table gives no rows.
     """
     parts = parts_of(df)
-    docs = with_refs(df, text, doc_id)
+    docs = with_refs(df, text, doc_id, keep)
     described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts))
     lines = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None).distinct()
     firsts = stage_boundary(lines.groupBy("hash").agg(F.min(F.struct("ref", "start", "length")).alias("f"), F.count("*").alias("n")).select("hash", "f.*", "n"))
     proposed = _rows(described, 2, "a long, b long", ["<u8", "<u8"], None).distinct()
     bands = _rows(described, 1, "key long, line long", ["<u8", "<u8"], None)
     wanted = firsts.join(bands.select(F.col("line").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
-    candidates = stage_boundary(line_texts(docs, wanted, parts))
+    candidates = stage_boundary(line_texts(docs.select("ref", "text"), wanted, parts))
     links = stage_boundary(verify_pairs(candidates, proposed, shingle, percent, parts, line_sets))
     roots = components(links)
     labelled = bands.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root"))
@@ -253,9 +253,13 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
             n[i:j] = np.bincount(lines_of(data, offs)[3], minlength=j - i)
         drop = b.column(2).to_pylist()
         kept = [column[d].as_py() if not x else cut_lines(column[d].as_py(), x) for d, x in enumerate(drop)]
-        yield {"doc_id": b.column(0), "n_lines": n, "n_removed": [len(x or ()) for x in drop], "kept": kept}
+        yield {"doc": b.column(0), "n_lines": n, "n_removed": [len(x or ()) for x in drop], "kept": kept} | {x: b.column(3 + k) for k, x in enumerate(names)}
 
-    return map_batches(joined.select("doc_id", "text", "drops"), "doc_id long, n_lines long, n_removed long, kept string", batch)
+    names, kinds = [f"keep{k}" for k in range(len(keep))], dict(df.dtypes)
+    schema = "doc long, n_lines long, n_removed long, kept string" + "".join(f", {x} {kinds[c]}" for x, c in zip(names, keep, strict=True))
+    out = map_batches(joined.select("doc_id", "text", "drops", *names), schema, batch)
+    own = [] if "doc_id" in keep else [F.col("doc").alias("doc_id")]
+    return out.select(*own, "n_lines", "n_removed", "kept", *(F.col(x).alias(c) for x, c in zip(names, keep, strict=True)))
 
 
 def cut_lines(text: str, starts: list[int]) -> str:

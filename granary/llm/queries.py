@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..sources import read_table
 from .curriculum import mix_sources
+from .decontamination import find_leaks
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mpeg_audio import media_features
+from .quality_ranking import score_quality
 from .secret_scan import scan_secrets
 from .substring_dedup import remove_repeats
 from .warc import archive_and_read
@@ -27,6 +29,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.char_length("kept").cast("long").alias("n_chars_kept"))
 
 
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("raw")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -40,6 +46,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
@@ -52,15 +62,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_ranking": op3_quality_ranking,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

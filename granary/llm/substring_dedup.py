@@ -33,13 +33,13 @@ _REQUESTS = ["<i8", "<u8", "<i8", "<i4", "<i1"]  # document, anchor, start, leng
 _U = np.uint64
 
 
-def with_refs(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, text, ref): refs order documents as their ids do.
+def with_refs(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ref) and kept columns, named keep0 and so on: refs order documents as their ids do.
 
     Where ids are unique and none is null they are the refs.  Else documents are ordered by id (null first), then by their text's digest,
     and rows equal in both are one document that was read several times.
     """
-    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(f"keep{k}") for k, c in enumerate(keep)))
     n, ids = df.select(F.col(doc_id).cast("long").alias("i")).agg(F.count("*"), F.count_distinct("i")).first()
     if n == ids:
         return base.withColumn("ref", F.col("doc_id"))
@@ -48,7 +48,7 @@ def with_refs(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     ranked = base.select("doc_id", "digest").distinct().sort("doc_id", "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
     schema = T.StructType([T.StructField("_i", T.LongType()), T.StructField("_d", T.StringType()), T.StructField("ref", T.LongType())])
     refs = stage_boundary(spark.createDataFrame(ranked, schema))
-    return base.join(refs, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d"))).select("doc_id", "text", "ref")
+    return base.join(refs, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d"))).select("doc_id", "text", "ref", *(f"keep{k}" for k in range(len(keep))))
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
