@@ -1 +1 @@
-
+"""Column functions: column in, column out."""

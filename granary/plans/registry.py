@@ -2,9 +2,394 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import buckets, tensors
+from ..functions import text as text_functions
+from ..operators import integrity, packing, records
+from ..sources import read_table, shared_folder
+from . import config, jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+BATCH, SHARD, WRITERS = 8, 64, 8
+# Texts that meet the sentence and marker rules which the fixture doesn't.
+LITERALS = (
+    "Dr. Smith came. He left.", "U.S. forces won. Next.", "U.S! x", "No. Five", "No. 5 is. b", "Wait.... More", "a...b. c", "..", "foo.a.b c. d", "etc! ok. z", "Pi is 3.14. Yes.",
+    "J. Smith spoke. Then.", "J. smith spoke. Then.", "  padded. Q: next", "yes Question: no", "answer: it", "see http://x.y. z", "one REF two", "\nleading. newline", "", "   ", "plain",
+)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}', ''), '{WS}$', '')"
+
+
+N_TOKENS = r"len(regexp_extract_all(text, '[^ \t\n\r]+'))"
+SQL_BUCKET = "CASE WHEN n <= 128 THEN 128 WHEN n <= 256 THEN 256 WHEN n <= 512 THEN 512 WHEN n <= 1024 THEN 1024 ELSE 2048 END"
+SQL_TOKENS = f"tok AS (SELECT doc_id, {N_TOKENS} AS n FROM documents WHERE {N_TOKENS} > 0), buck AS (SELECT doc_id, n, {SQL_BUCKET} AS bucket, greatest(n - 2048, 0) AS truncated FROM tok)"
+SQL_PROMPT = "'Answer the question as briefly as possible, based only on the context:' || chr(10) || ' Context:' || {c} || chr(10) || ' Question:' || {q} || chr(10) || ' Answer:'"
+
+
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, bucket, truncated) of all documents that have words."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text_functions.token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    bucket, cut = buckets.assign_bucket(F.col("n_tokens"))
+    return d.select("doc_id", "n_tokens", bucket.alias("bucket"), cut.alias("truncated"))
+
+
+@query("bucket_counts", f"WITH {SQL_TOKENS} SELECT bucket, count(*) AS records, sum(truncated) AS truncated_tokens FROM buck GROUP BY bucket")
+def bucket_counts(spark, sf_dir):
+    return token_rows(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("records"), F.sum("truncated").alias("truncated_tokens"))
+
+
+@query("bucket_assign", f"WITH {SQL_TOKENS} SELECT doc_id, n AS n_tokens, bucket, truncated FROM buck")
+def bucket_assign(spark, sf_dir):
+    return token_rows(spark, sf_dir)
+
+
+@query("input_digest", "SELECT doc_id AS source_index, text, sha256(text) AS input_sha256 FROM documents")
+def input_digest(spark, sf_dir):
+    return records.with_digest(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), "text"))
+
+
+@query("record_prejoined", "SELECT d.doc_id AS source_index, d.text, '' AS question, '' AS answer, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def record_prejoined(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    rows = d.select(F.col("doc_id").alias("source_index"), F.to_json(F.struct("text", "label")).alias("value"))
+    return records.normalize_records(rows).select("source_index", "text", "question", "answer", "label")
+
+
+def structured(spark, sf_dir, view: str) -> DataFrame:
+    pairs = records.conversation_pairs(read_table(spark, sf_dir, "conversations"))
+    rows = pairs.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("source_index"), F.to_json(F.struct("context", "question", "best_answer")).alias("value"))
+    return records.normalize_records(rows, view=view, strict=False).where("NOT rejected").select("source_index", "text", "question", "answer", "context", "original_answer")
+
+
+SQL_PAIRS = """pairs AS (
+  SELECT u.conv_id * 100000 + u.turn AS source_index, u.text AS question, a.text AS original_answer, coalesce(s.text, '') AS context
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user'
+  LEFT JOIN conversations s ON s.conv_id = u.conv_id AND s.role = 'system' AND s.turn = 0)"""
+SQL_KEPT = f"{sql_strip('question')} <> '' AND {sql_strip('answer')} <> ''"
+SQL_RECORD = f"SELECT source_index, {SQL_PROMPT.format(c=sql_strip('context'), q=sql_strip('question'))} || ' ' || answer AS text, question, answer, context, original_answer FROM r WHERE {SQL_KEPT}"
+
+
+@query("record_structured_full", f"WITH {SQL_PAIRS}, r AS (SELECT *, original_answer AS answer FROM pairs) {SQL_RECORD}")
+def record_structured_full(spark, sf_dir):
+    return structured(spark, sf_dir, "full")
+
+
+SQL_MARKERS = "(?s)(?:\\n|Q:|A:|question:|answer:|Question:|Answer:|Questions:|questions:|QUESTION:|ANSWER:|REF|\\.Forms|http|php|Question|Answer).*"
+
+
+def sql_cut(x: str) -> str:
+    return f"coalesce(nullif({sql_strip(f'regexp_replace({x}, {chr(39)}{SQL_MARKERS}{chr(39)}, {chr(39)}{chr(39)})')}, ''), {sql_strip(x)})"
+
+
+# Walks from mark to mark: p is the first character not yet judged, m the mark at or behind it (0: none), stop whether it ends the sentence.
+SQL_SENTENCE = r"""
+walk(id, s, p, m, stop) AS (
+  SELECT id, s, 1, 0, false FROM src
+  UNION ALL
+  SELECT id, s, CASE WHEN m2 = 0 THEN length(s) + 2 WHEN dots THEN m2 + 3 ELSE m2 + 1 END, m2, m2 > 0 AND NOT dots AND NOT skip
+  FROM (
+    SELECT *, CASE
+      WHEN c = '.' AND regexp_matches(lc, '^\p{Nd}$') AND regexp_matches(rc, '^\p{Nd}') THEN true
+      WHEN c = '.' AND regexp_matches(lc, '^\p{L}$') AND regexp_matches(rc, '^\p{L}\.') THEN true
+      WHEN contains(token, '.') AND regexp_matches(token || '.', '^(?:[A-Za-z]\.){2,}$') THEN true
+      WHEN token IN ('Mr','Mrs','Ms','Dr','Prof','Sr','Jr','Gen','Brig','Adm','Rear','Lt','Col','Maj','Capt','St','vs','etc','Fig','Eq') THEN true
+      WHEN token = 'No' THEN regexp_matches(rest, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{3000}]*\p{Nd}')
+      WHEN regexp_matches(token, '^[A-Za-z]$') THEN regexp_matches(rest, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{3000}]*\p{Lu}')
+      ELSE false END AS skip
+    FROM (
+      SELECT id, s, m2, substr(s, m2, 1) AS c, substr(s, m2, 3) = '...' AS dots, CASE WHEN m2 > 1 THEN substr(s, m2 - 1, 1) ELSE '' END AS lc, substr(s, m2 + 1, 2) AS rc,
+        regexp_extract(substr(s, 1, m2 - 1), '[\p{L}.]*$') AS token, substr(s, m2 + 1) AS rest
+      FROM (
+        SELECT id, s, CASE WHEN p > length(s) OR NOT regexp_matches(substr(s, p), '[.!?]') THEN 0 ELSE p + length(regexp_extract(substr(s, p), '^[^.!?]*')) END AS m2
+        FROM walk WHERE NOT stop AND p <= length(s) + 1))))
+"""
+SQL_SENTENCE_OF = f"SELECT id, CASE WHEN stop THEN {sql_strip('substr(s, 1, m)')} ELSE s END AS sentence FROM walk WHERE stop OR p = length(s) + 2"
+
+
+@query("record_structured_fst", f"WITH RECURSIVE {SQL_PAIRS}, src AS (SELECT source_index AS id, {sql_cut('original_answer')} AS s FROM pairs), {SQL_SENTENCE}, r AS (SELECT pairs.*, sentence AS answer FROM pairs JOIN ({SQL_SENTENCE_OF}) w ON w.id = source_index) {SQL_RECORD}")
+def record_structured_fst(spark, sf_dir):
+    return structured(spark, sf_dir, "first_sentence")
+
+
+@query("summary_prompt_text", f"SELECT doc_id, 'Summarize the following document in one or two concise sentences.' || chr(10) || 'Document:' || {sql_strip('text')} || chr(10) || 'Summary:' AS prompt FROM documents")
+def summary_prompt_text(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", text_functions.summary_prompt(F.col("text")).alias("prompt"))
+
+
+def _literal_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(-1 - i, t) for i, t in enumerate(LITERALS)], "doc_id long, text string")
+
+
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+SQL_TEXTS = "texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {_sql_text(t)})" for i, t in enumerate(LITERALS)) + ") v(doc_id, text))"
+
+
+def all_texts(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(_literal_rows(spark))
+
+
+@query("marker_cut", f"WITH {SQL_TEXTS} SELECT doc_id, {sql_cut('text')} AS cut FROM texts")
+def marker_cut(spark, sf_dir):
+    return all_texts(spark, sf_dir).select("doc_id", text_functions.marker_cut(F.col("text")).alias("cut"))
+
+
+@query("first_sentence", f"WITH RECURSIVE {SQL_TEXTS}, src AS (SELECT doc_id AS id, {sql_strip('text')} AS s FROM texts), {SQL_SENTENCE} SELECT id AS doc_id, sentence FROM ({SQL_SENTENCE_OF})")
+def first_sentence(spark, sf_dir):
+    return all_texts(spark, sf_dir).select("doc_id", text_functions.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("text_strip", f"WITH {SQL_TEXTS} SELECT doc_id, {sql_strip('text')} AS stripped FROM texts")
+def text_strip(spark, sf_dir):
+    return all_texts(spark, sf_dir).select("doc_id", text_functions.strip(F.col("text")).alias("stripped"))
+
+
+SQL_ORDINAL = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents"
+
+
+def ordinals(spark, sf_dir) -> DataFrame:
+    return packing.with_ordinal(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("line_window", f"SELECT * FROM ({SQL_ORDINAL}) WHERE ordinal >= 100 AND ordinal < 600")
+def line_window(spark, sf_dir):
+    return ordinals(spark, sf_dir).where(packing.in_window(F.col("ordinal"), 100, 500))
+
+
+@query("positional_sample", f"SELECT * FROM ({SQL_ORDINAL}) WHERE ordinal IN (7, 11, 16, 22, 25, 29, 84, 88)")
+def positional_sample(spark, sf_dir):
+    from ..sources.jsonl import SAMPLE_POSITIONS
+
+    return ordinals(spark, sf_dir).where(F.col("ordinal").isin(*SAMPLE_POSITIONS))
+
+
+@query("strided_partition", f"SELECT doc_id, ordinal, CAST(ordinal % {WRITERS} AS INTEGER) AS rank FROM ({SQL_ORDINAL})")
+def strided_partition(spark, sf_dir):
+    return ordinals(spark, sf_dir).withColumn("rank", packing.rank_of(F.col("ordinal"), WRITERS))
+
+
+SQL_BATCHES = f"{SQL_TOKENS}, b AS (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS bucket_ordinal, count(*) OVER (PARTITION BY bucket) AS size FROM buck), bb AS (SELECT *, bucket_ordinal // {BATCH} AS batch_id FROM b)"
+
+
+@query("batch_plan", f"WITH {SQL_BATCHES} SELECT doc_id, bucket, bucket_ordinal, batch_id, CASE WHEN batch_id = (size - 1) // {BATCH} THEN ({BATCH} - size % {BATCH}) % {BATCH} ELSE 0 END AS batch_pad FROM bb")
+def batch_plan(spark, sf_dir):
+    return packing.with_batches(token_rows(spark, sf_dir).select("doc_id", "bucket"), BATCH, "doc_id").select("doc_id", "bucket", "bucket_ordinal", "batch_id", "batch_pad")
+
+
+def shard_rows(spark, sf_dir) -> DataFrame:
+    return packing.with_shards(token_rows(spark, sf_dir).select("doc_id", "bucket"), BATCH, SHARD, "doc_id").select("doc_id", "bucket", "batch_id", "shard", "offset")
+
+
+SQL_SHARDS = f"""{SQL_BATCHES},
+per AS (SELECT bucket, batch_id, count(*) AS n, row_number() OVER (ORDER BY bucket, batch_id) AS i FROM bb GROUP BY bucket, batch_id),
+fold(i, shard, before, after) AS (
+  SELECT 1::BIGINT, 0::BIGINT, 0::BIGINT, (SELECT n FROM per WHERE i = 1)
+  UNION ALL
+  SELECT p.i, f.shard + CASE WHEN f.after >= {SHARD} THEN 1 ELSE 0 END, CASE WHEN f.after >= {SHARD} THEN 0 ELSE f.after END, CASE WHEN f.after >= {SHARD} THEN 0 ELSE f.after END + p.n
+  FROM fold f JOIN per p ON p.i = f.i + 1),
+plan AS (SELECT bb.doc_id, bb.bucket, bb.batch_id, fold.shard, fold.before + bb.bucket_ordinal - bb.batch_id * {BATCH} AS "offset" FROM bb JOIN per USING (bucket, batch_id) JOIN fold USING (i))"""
+
+
+@query("shard_plan", f"WITH RECURSIVE {SQL_SHARDS} SELECT * FROM plan")
+def shard_plan(spark, sf_dir):
+    return shard_rows(spark, sf_dir)
+
+
+@query("manifest_rollup", f"WITH RECURSIVE {SQL_SHARDS} SELECT count(*) AS records, count(DISTINCT shard) AS num_shards, coalesce(max(shard), -1) + 1 AS next_shard FROM plan")
+def manifest_rollup(spark, sf_dir):
+    return integrity.manifest_rollup(shard_rows(spark, sf_dir))
+
+
+@query("shard_offsets", f'WITH RECURSIVE {SQL_SHARDS} SELECT shard, count(*) AS rows, count(DISTINCT "offset") = count(*) AND min("offset") = 0 AND max("offset") = count(*) - 1 AS contiguous FROM plan GROUP BY shard')
+def shard_offsets(spark, sf_dir):
+    return integrity.shard_offsets(shard_rows(spark, sf_dir))
+
+
+@query("records_per_rank", f"WITH {SQL_TOKENS}, o AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) % {WRITERS} AS rank FROM buck) SELECT CAST(rank AS INTEGER) AS rank, bucket, count(*) AS records FROM o GROUP BY ALL")
+def records_per_rank(spark, sf_dir):
+    rows = packing.with_ordinal(token_rows(spark, sf_dir), "doc_id")
+    return rows.withColumn("rank", packing.rank_of(F.col("ordinal"), WRITERS)).groupBy("rank", "bucket").agg(F.count("*").alias("records"))
+
+
+@query("resume_remaining", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_remaining(spark, sf_dir):
+    return integrity.remaining(read_table(spark, sf_dir, "documents").select("doc_id", "source"), read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+SQL_SPLIT = "CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END"
+
+
+def split_labels(spark, sf_dir) -> DataFrame:
+    own = read_table(spark, sf_dir, "labels").withColumn("paper_split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+    return own.select("doc_id", "paper_split", F.col("quality").alias("label"), "toxic")
+
+
+@query("union_parts", f"SELECT doc_id, {SQL_SPLIT} AS paper_split, quality AS label, toxic FROM labels")
+def union_parts(spark, sf_dir):
+    own = split_labels(spark, sf_dir)
+    return integrity.union_parts([own.where("toxic = 0"), own.where("toxic <> 0")])
+
+
+@query("split_counts", f"SELECT {SQL_SPLIT} AS paper_split, count(*) AS n FROM labels GROUP BY 1")
+def split_counts(spark, sf_dir):
+    return split_labels(spark, sf_dir).groupBy("paper_split").agg(F.count("*").alias("n"))
+
+
+@query("count_mismatches", f"WITH o AS (SELECT {SQL_SPLIT} AS paper_split, count(*) AS observed FROM labels GROUP BY 1), e AS (SELECT * FROM (VALUES ('train', 8000), ('test', 2000), ('dev', 0)) v(paper_split, expected)) SELECT paper_split, coalesce(expected, 0) AS expected, coalesce(observed, 0) AS observed FROM o FULL JOIN e USING (paper_split) WHERE coalesce(expected, 0) <> coalesce(observed, 0)")
+def count_mismatches(spark, sf_dir):
+    return integrity.count_mismatches(split_labels(spark, sf_dir), {("train",): 8000, ("test",): 2000, ("dev",): 0}, ["paper_split"])
+
+
+@query("label_balance", f"WITH s AS (SELECT {SQL_SPLIT} AS paper_split, quality AS label FROM labels) SELECT paper_split, label, count(*) AS n, (SELECT count(DISTINCT t.label) = 2 FROM s t WHERE t.paper_split = s.paper_split AND t.label IN (0, 1)) AS both_classes FROM s GROUP BY paper_split, label")
+def label_balance(spark, sf_dir):
+    return integrity.label_histogram(split_labels(spark, sf_dir), ["paper_split"])
+
+
+@query("cross_view_mismatch", f"WITH RECURSIVE {SQL_PAIRS}, src AS (SELECT source_index AS id, {sql_cut('original_answer')} AS s FROM pairs), {SQL_SENTENCE} SELECT source_index, 'answer' AS \"column\" FROM pairs JOIN ({SQL_SENTENCE_OF}) w ON id = source_index WHERE {sql_strip('question')} <> '' AND sentence <> '' AND sentence <> original_answer")
+def cross_view_mismatch(spark, sf_dir):
+    full, cut = (structured(spark, sf_dir, v) for v in config.VIEWS)
+    return integrity.cross_view_mismatches(full, cut, ["context", "question", "answer"])
+
+
+@query("index_coverage", "WITH s AS (SELECT DISTINCT doc_id FROM labels), r AS (SELECT unnest(range(0, 20000)) AS doc_id) SELECT coalesce(r.doc_id, s.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'unexpected' ELSE 'missing' END AS problem FROM r FULL JOIN s ON r.doc_id = s.doc_id WHERE r.doc_id IS NULL OR s.doc_id IS NULL")
+def index_coverage(spark, sf_dir):
+    return integrity.coverage_gaps(read_table(spark, sf_dir, "labels"), 0, 20_000, "doc_id")
+
+
+@query("duplicate_texts", "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark, sf_dir):
+    return integrity.duplicates(read_table(spark, sf_dir, "documents"), "text")
+
+
+# Rows that break one rule each, beside the fixture's.
+BAD_ROWS = ((-1, None, 0), (-2, "", 1), (-3, "train", 2), (-4, "dev", 0), (-5, "train", None))
+
+
+@query("required_fields", f"""WITH rows AS (SELECT doc_id AS source_index, {SQL_SPLIT} AS paper_split, quality AS label FROM labels
+UNION ALL SELECT * FROM (VALUES (-1, NULL, 0), (-2, '', 1), (-3, 'train', 2), (-4, 'dev', 0), (-5, 'train', NULL)) v)
+SELECT source_index, 'missing ' || concat_ws(',', CASE WHEN label IS NULL THEN 'label' END, CASE WHEN coalesce(paper_split, '') = '' THEN 'paper_split' END) AS problem FROM rows WHERE label IS NULL OR coalesce(paper_split, '') = ''
+UNION ALL SELECT source_index, 'invalid paper_split' FROM rows WHERE paper_split NOT IN ('train', 'test')
+UNION ALL SELECT source_index, 'invalid label' FROM rows WHERE label NOT IN (0, 1)""")
+def required_fields(spark, sf_dir):
+    own = split_labels(spark, sf_dir).select(F.col("doc_id").alias("source_index"), "paper_split", "label")
+    bad = spark.createDataFrame(list(BAD_ROWS), "source_index long, paper_split string, label int")
+    return integrity.row_problems(own.unionByName(bad), ("paper_split", "label"), splits=("train", "test"))
+
+
+@query("artifact_violations", f"""WITH RECURSIVE {SQL_SHARDS},
+meta AS (SELECT doc_id AS source_index, 0 AS rank, shard, "offset" FROM plan UNION ALL SELECT * FROM (VALUES (0, 0, 0, 9000), (-1, 0, 100000, 0), (-2, 7, 0, 9001)) v),
+tensors AS (SELECT shard, count(*) AS rows FROM plan GROUP BY shard),
+stats AS (SELECT shard, count(*) AS rows, count(DISTINCT "offset") = count(*) AND min("offset") = 0 AND max("offset") = count(*) - 1 AS ok FROM meta GROUP BY shard),
+totals AS (SELECT (SELECT count(*) FROM meta) AS m, (SELECT sum(rows) FROM tensors) AS t)
+SELECT 'missing_metadata' AS rule, '1' AS subject, 'no rows of this rank' AS detail
+UNION ALL SELECT 'foreign_rank', CAST(rank AS VARCHAR), CAST(count(*) AS VARCHAR) FROM meta WHERE rank < 0 OR rank >= 2 GROUP BY rank
+UNION ALL SELECT 'missing_shard', CAST(shard AS VARCHAR), 'metadata refers to it' FROM stats WHERE shard NOT IN (SELECT shard FROM tensors)
+UNION ALL SELECT 'offsets', CAST(s.shard AS VARCHAR), 'incomplete or duplicate' FROM stats s JOIN tensors t ON t.shard = s.shard WHERE NOT ok OR s.rows <> t.rows
+UNION ALL SELECT 'duplicate_index', CAST(source_index AS VARCHAR), CAST(count(*) AS VARCHAR) FROM meta GROUP BY source_index HAVING count(*) > 1
+UNION ALL SELECT 'metadata_rows', '5', CAST(m AS VARCHAR) FROM totals WHERE m <> 5
+UNION ALL SELECT 'tensor_rows', '5', CAST(t AS VARCHAR) FROM totals WHERE t <> 5
+UNION ALL SELECT 'manifest_tensor_rows', '6', CAST(t AS VARCHAR) FROM totals WHERE t <> 6""")
+def artifact_violations(spark, sf_dir):
+    plan = shard_rows(spark, sf_dir)
+    bad = spark.createDataFrame([(0, 0, 0, 9000), (-1, 0, 100_000, 0), (-2, 7, 0, 9001)], "source_index long, rank int, shard long, offset long")
+    meta = plan.select(F.col("doc_id").alias("source_index"), F.lit(0).alias("rank"), "shard", "offset").unionByName(bad)
+    return integrity.metadata_problems(meta, plan.groupBy("shard").agg(F.count("*").alias("rows")), 2, 5, 6)
+
+
+@query("same_rows", "(SELECT doc_id, quality AS label, 'left' AS side FROM labels EXCEPT ALL SELECT doc_id, toxic, 'left' FROM labels) UNION ALL (SELECT doc_id, toxic, 'right' FROM labels EXCEPT ALL SELECT doc_id, quality, 'right' FROM labels)")
+def same_rows(spark, sf_dir):
+    own = read_table(spark, sf_dir, "labels")
+    return integrity.same_rows(own.select("doc_id", F.col("quality").alias("label")), own.select("doc_id", F.col("toxic").alias("label")))
+
+
+@query("rms_norm", "SELECT vec_id, round(CAST(embedding[len(embedding)] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding) + 1e-5), 9) AS last_normed FROM embeddings")
+def rms_norm(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.element_at(tensors.rms_norm(F.col("embedding")), -1), 9).alias("last_normed"))
+
+
+@query("finite_check", "SELECT vec_id, len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS finite FROM embeddings UNION ALL SELECT * FROM (VALUES (-1, false), (-2, false), (-3, true)) v")
+def finite_check(spark, sf_dir):
+    bad = spark.createDataFrame([(-1, [1.0, float("nan")]), (-2, [float("-inf")]), (-3, [0.5])], "vec_id long, embedding array<float>")
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding").unionByName(bad).select("vec_id", tensors.is_finite(F.col("embedding")).alias("finite"))
+
+
+@query("tensor_shape", "SELECT vec_id, len(embedding) = 64 AS fits, len(embedding) AS width FROM embeddings")
+def tensor_shape(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", tensors.has_shape(F.col("embedding"), (64,)).alias("fits"), F.size("embedding").alias("width"))
+
+
+@query("last_layer_slice", "SELECT vec_id, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last_value, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, 2 AS layers FROM embeddings")
+def last_layer_slice(spark, sf_dir):
+    v = F.col("embedding")
+    stacked = tensors.stack_layers(v, F.array(v, F.reverse(v)))
+    own, states = tensors.split_layers(stacked)
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(tensors.last_position(own).cast("double"), 6).alias("last_value"), F.round(tensors.last_position(tensors.last_position(states)).cast("double"), 6).alias("first_value"), F.size(states).alias("layers"))
+
+
+@query("left_pad_truncate", r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r]+') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) >= 256 THEN w[len(w) - 255] ELSE '<pad>' END AS first_token, w[len(w)] AS last_token, greatest(256 - len(w), 0) AS n_pad, least(len(w), 256) AS n_real FROM t WHERE len(w) > 0""")
+def left_pad_truncate(spark, sf_dir):
+    words = text_functions.tokens(F.col("text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    padded, mask = buckets.pad_left(F.col("w"), 256, F.lit("<pad>")), buckets.attention_mask(F.col("w"), 256)
+    d = d.select("doc_id", padded.alias("p"), mask.alias("m"))
+    return d.select("doc_id", F.get("p", F.lit(0)).alias("first_token"), F.element_at("p", -1).alias("last_token"), F.size(F.filter("m", lambda x: x == 0)).alias("n_pad"), F.size(F.filter("m", lambda x: x == 1)).alias("n_real"))
+
+
+@query("config_hash")
+def config_hash(spark, sf_dir):
+    own = config.RunConfig(input=f"{sf_dir}/documents.parquet", output="none").checked().planned()
+    return spark.createDataFrame([(own["config_sha256"], own["batch_size"], own["shard_size"])], "config_sha256 string, batch_size int, shard_size int")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    from ..sources.jsonl import write_objects
+
+    path = _folder(spark, "lines")
+    write_objects(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return path
+
+
+@query("jsonl_scan")
+def jsonl_scan(spark, sf_dir):
+    from ..sources.jsonl import load_rows
+
+    rows = load_rows(spark, _written_lines(spark, sf_dir))
+    return records.normalize_records(rows).select("source_index", F.sha2("text", 256).alias("input_sha256"))
+
+
+@query("artifact_roundtrip")
+def artifact_roundtrip(spark, sf_dir):
+    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "artifact"), width=16, shard_size=SHARD)
+    manifest = jobs.extract(spark, own)
+    report = jobs.validate(spark, own)
+    return spark.createDataFrame([(manifest["records"], manifest["num_shards"], report["records"], report["valid"])], "records long, num_shards long, validated long, valid boolean")
