@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +60,6 @@ def complete_layers(by_layer: Column, layers: int) -> Column:
 
 def to_bfloat16(v: Column) -> Column:
     """Floats rounded to the nearest bfloat16, ties to even; NaN and infinities as they are."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def rounded(rows: pd.Series) -> pd.Series:
         def one(x):
