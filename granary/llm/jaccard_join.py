@@ -17,7 +17,9 @@ from .substring_dedup import with_refs
 
 _U = np.uint64
 #: Bands and rows of the signatures that group documents; they only save work, the matrix finds every link.
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 8, 5
+#: Documents and tokens of one block of a group; blocks are compared two by two, each pair in one task's memory.
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 #: Tokens whose frequency is known at most; it only orders tokens, so it changes no result.
 FREQUENT_TOKENS = 1 << 18
 #: A token's documents in one mapper's lot from which on they are counted.
@@ -111,16 +113,28 @@ def _rows(packed: DataFrame, kind: int, schema: str, kinds: list[str], parts: in
     return map_partition(exchange(own, parts) if parts else own, schema, partition)
 
 
-def _band_stars(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Each band's sets with the least of them."""
+def shared_keys(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct (key, class, classes of the key) of keys that several classes share."""
     key, h = cols
     order = np.lexsort((h, key))
     key, h = key[order], h[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))) if len(key) else np.zeros(0, bool)
+    key, h = key[fresh], h[fresh]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    leader = np.repeat(h[first], np.diff(np.append(first, len(key))))
-    apart = leader != h
-    pair = np.unique(np.stack((h[apart], leader[apart]), axis=1), axis=0) if apart.any() else np.zeros((0, 2), _U)
-    return [pair[:, 0].copy(), pair[:, 1].copy()]
+    m = np.diff(np.append(first, len(key)))
+    m = np.repeat(m, m)
+    return [key[m > 1], h[m > 1], m[m > 1]]
+
+
+def band_stars(keys: DataFrame) -> DataFrame:
+    """(leader, class): each key's classes with the one whose keys are the most shared.
+
+    Of many edited copies the common original keeps most of the shared keys, so it leads, and links with copies that don't link with each other.
+    """
+    score = keys.groupBy("class").agg(F.sum("m").alias("score"))
+    scored = keys.join(score, "class")
+    lead = scored.groupBy("key").agg(F.max_by("class", F.struct("score", "class")).alias("leader"))
+    return keys.join(lead, "key").select("leader", "class").where("leader <> class").distinct()
 
 
 def _count_tokens(cols: list[np.ndarray]) -> list[np.ndarray]:
@@ -216,32 +230,17 @@ def emit_prefixes(docs: DataFrame, frequent, shingle: int, percent: int, parts:
     return map_packed(docs, partition, "ref", "text", "gid")
 
 
-def _list_pairs(start: np.ndarray, m: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All ordered pairs of places within each list, in bounded lots; a long list comes in several."""
-    i = 0
-    while i < len(m):
-        total = np.cumsum(m[i:] ** 2)
-        j = i + int(np.searchsorted(total, most, side="right"))
-        if j == i:
-            step = max(1, most // int(m[i]))
-            for s in range(0, int(m[i]), step):
-                q = np.arange(s, min(s + step, int(m[i])))
-                yield np.repeat(start[i] + q, m[i]), np.tile(start[i] + np.arange(m[i]), len(q))
-            i += 1
-            continue
-        s, k = start[i:j], m[i:j]
-        rows = np.repeat(np.arange(len(k)), k)
-        left = np.arange(int(k.sum())) - np.repeat(np.concatenate(([0], np.cumsum(k)))[:-1], k) + s[rows]
-        wide = k[rows]
-        a = np.repeat(left, wide)
-        base = np.repeat(s[rows], wide)
-        inner = np.arange(len(a)) - np.repeat(np.concatenate(([0], np.cumsum(wide)))[:-1], wide)
-        yield a, base + inner
-        i = j
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    total = np.cumsum(length)
+    return np.repeat(start - (total - length), length) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 def count_overlaps(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(query, group, tokens of the query's prefix in the group's token union), of groups of smaller number and members of fitting size."""
+    """(query, group, tokens of the query's prefix in the group's token union), of groups of smaller number and members of fitting size.
+
+    A token's list meets its groups, not its documents: a group counts once for a query, however many members hold the token.
+    """
 
     def partition(batches):
         token, ref, gid, size = unpack([b for _, b in blobs(batches).get(3, [])], ["<u4", "<i8", "<i8", "<i4"])
@@ -249,30 +248,34 @@ def count_overlaps(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
             return
         order = np.lexsort((ref, gid, token))
         token, ref, gid, size = token[order], ref[order], gid[order], size[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        m = np.diff(np.append(first, len(token)))
-        several = (m > 1) & (gid[first] != gid[first + m - 1])
-        found: list[np.ndarray] = []
+        fresh = np.concatenate(([True], token[1:] != token[:-1]))
+        head = np.flatnonzero(fresh | np.concatenate(([True], gid[1:] != gid[:-1])))  # of each group in each list
+        least, most = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head)
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
+        begin = np.flatnonzero(fresh[head])
+        base = np.repeat(begin, np.diff(np.append(begin, len(head))))  # first group of each group's list
+        earlier = group - base[group]
+        found: list[list[np.ndarray]] = []
 
         def counted():
-            q, g, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            out = _sum_pairs([np.concatenate(c) for c in zip(*found, strict=True)])
             found.clear()
-            o = np.lexsort((g, q))
-            q, g, n = q[o], g[o], n[o]
-            at = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (g[1:] != g[:-1]))))
-            return [q[at], g[at], np.add.reduceat(n, at)]
-
-        for a, b in _list_pairs(first[several], m[several]):
-            fit = (gid[a] > gid[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
-            a, b = a[fit], b[fit]
-            if not len(a):
-                continue
-            o = np.lexsort((gid[b], a))  # a is one place: a query in one list
-            a, b = a[o], b[o]
-            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (gid[b][1:] != gid[b][:-1])))
-            found.append([ref[a[fresh]], gid[b[fresh]], np.ones(int(fresh.sum()), np.int64)])
+            return out
+
+        asks = np.flatnonzero(earlier)
+        total = np.cumsum(earlier[asks])
+        at = 0
+        while at < len(asks):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 22), side="right")))
+            q = asks[at:stop]
+            g = _spans(base[group[q]], earlier[q])
+            q = np.repeat(q, earlier[q])
+            fit = (100 * most[g] >= percent * size[q]) & (percent * least[g] <= 100 * size[q])
+            q, g = q[fit], g[fit]
+            found.append([ref[q], gid[head[g]], np.ones(len(q), np.int64)])
             if sum(len(x[0]) for x in found) > 1 << 21:
                 found.append(counted())
+            at = stop
         if found:
             q, g, n = counted()
             yield from deal(4, ((mix64(q.astype(_U)) >> _U(33)) % _U(parts)).astype(np.int32), [q, g, n])
@@ -297,20 +300,138 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts))
     meta = _rows(described, 0, "ref long, n long, class long", ["<i8", "<i8", "<u8"], None).distinct()
     classes = stage_boundary(meta.where("n > 0").groupBy("class").agg(F.min("ref").alias("rep"), F.first("n").alias("n")))
-    stars = _rows(described, 1, "class long, leader long", ["<u8", "<u8"], parts, _band_stars).distinct()
+    keys = stage_boundary(_rows(described, 1, "key long, class long, m long", ["<u8", "<u8"], parts, shared_keys))
+    stars = stage_boundary(band_stars(keys))
     lead = classes.select(F.col("class").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("m"))
     proposed = stars.join(classes, "class").join(lead, "leader").where(fitting(percent)).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts))
-    grouped = components(links)
-    reps = classes.select(F.col("rep").alias("ref"), "n").join(grouped, F.col("ref") == F.col("node"), "left").select("ref", "n", F.coalesce("root", "ref").alias("gid"))
+    known, family = components(links), components(stars, "leader", "class")
+    reps = classes.join(family, F.col("class") == F.col("node"), "left").select("rep", "n", F.coalesce("root", "class").alias("family"))
+    named = reps.groupBy("family").agg(F.min("rep").alias("gid"))
+    reps = reps.join(named, "family").join(known, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("ref"), "n", "gid", F.coalesce("root", "rep").alias("known"))
     reps = stage_boundary(reps)
     frequent = spark.sparkContext.broadcast(frequent_tokens(described, parts))
     matrix = emit_prefixes(join_text(docs, reps.select("ref", "gid")), frequent, shingle, percent, parts)
     bounds = _rows(stage_boundary(count_overlaps(matrix, percent, parts)), 4, "query long, gid long, met long", ["<i8", "<i8", "<i8"], parts, _sum_pairs)
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
-    own = reps.select(F.col("ref").alias("query"), "n", F.col("gid").alias("own"))
-    opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least))
-    return meta, classes, stage_boundary(links.unionByName(_open_groups(docs, opened, reps, shingle, percent, parts)).distinct())
+    own = reps.select(F.col("ref").alias("query"), "n", "known")
+    opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least).select("query", "gid", "n", "known"))
+    more = compare_cells(join_text(docs, stage_boundary(lay_out_cells(reps, opened))), shingle, percent, parts)
+    return meta, classes, stage_boundary(links.unionByName(more).distinct())
+
+
+def _block_count(docs: str, tokens: str):
+    return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(tokens) / BLOCK_TOKENS), F.lit(1)).cast("int")
+
+
+def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame:
+    """(g, k, i, j, side, ref, known): which documents meet in which cell.
+
+    k = 0: a group with itself, block i against block j >= i.  k = 1: queries that opened it, block i, against its members, block j.
+    Groups whose members are all linked with each other already need no cell of the first kind.
+    """
+    block = lambda n: F.pmod(F.xxhash64("ref"), F.col(n)).cast("int")
+    groups = reps.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t"), (F.min("known") != F.max("known")).alias("open")).withColumn("nb", _block_count("_d", "_t")).select("gid", "nb", "open")
+    own = reps.join(groups.where("open"), "gid").withColumn("b", block("nb")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    own = own.select(F.col("gid").alias("g"), F.lit(0).alias("k"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "ref", "known")
+    if opened is None:
+        return own
+    asking = opened.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t")).withColumn("nq", _block_count("_d", "_t")).select("gid", "nq")
+    sizes = groups.join(asking, "gid").select("gid", "nb", "nq")
+    queries = opened.withColumnRenamed("query", "ref").join(sizes, "gid").withColumn("i", block("nq")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    members = reps.join(sizes, "gid").withColumn("j", block("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    cross = [d.select(F.col("gid").alias("g"), F.lit(1).alias("k"), "i", "j", F.lit(side).alias("side"), "ref", "known") for side, d in ((0, queries), (1, members))]
+    return own.unionByName(cross[0]).unionByName(cross[1])
+
+
+def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components in a cell, one for each two components.
+
+    Documents whose overlap with the other side's token union can't reach the bound are left out, until none is.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    keep = np.flatnonzero(n)
+    two = bool(side.any())
+    while True:
+        if len(keep) < 2:
+            return []
+        token = np.concatenate([sets[i] for i in keep])
+        doc = np.repeat(np.arange(len(keep)), n[keep])
+        _, at = np.unique(token, return_inverse=True)
+        if two:
+            left = np.bincount(at, weights=side[keep][doc] == 0)
+            right = np.bincount(at) - left
+            shared = np.where(side[keep][doc] == 0, right[at] > 0, left[at] > 0)
+        else:
+            shared = np.bincount(at)[at] > 1
+        good = np.bincount(doc[shared], minlength=len(keep)) >= least_overlap(n[keep], percent)
+        if good.all():
+            break
+        keep = keep[good]
+    at, doc = at[shared], doc[shared]
+    used, at = np.unique(at, return_inverse=True)
+    rows = np.flatnonzero(side[keep] == 0)
+    columns = np.flatnonzero(side[keep] == 1) if two else rows
+    order = np.argsort(at, kind="stable")
+    at, doc = at[order], doc[order]
+    size, component, out = n[keep], known[keep], {}
+    for low in range(0, len(rows), 512):
+        lot = rows[low : low + 512]
+        common = np.zeros((len(lot), len(columns)), np.float32)
+        place = np.full(len(keep), -1)
+        place[lot] = np.arange(len(lot))
+        other = np.full(len(keep), -1)
+        other[columns] = np.arange(len(columns))
+        for t in range(0, len(used), 2048):
+            a, z = np.searchsorted(at, (t, t + 2048))
+            d, c = doc[a:z], at[a:z] - t
+            x = np.zeros((len(lot), 2048), np.float32)
+            mine = place[d] >= 0
+            if not mine.any():
+                continue
+            x[place[d[mine]], c[mine]] = 1
+            y = np.zeros((len(columns), 2048), np.float32)
+            theirs = other[d] >= 0
+            y[other[d[theirs]], c[theirs]] = 1
+            common += x @ y.T
+        common = common.astype(np.int64)
+        fits = (100 * common >= percent * (size[lot][:, None] + size[columns][None] - common)) & (component[lot][:, None] != component[columns][None])
+        for a, b in zip(*np.nonzero(fits), strict=True):
+            p, q = int(lot[a]), int(columns[b])
+            out.setdefault((min(component[p], component[q]), max(component[p], component[q])), (int(ref[keep[p]]), int(ref[keep[q]])))
+    return list(out.values())
+
+
+def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets=None) -> DataFrame:
+    """Links (a, b) of all cells.  A task holds one cell's sets at a time; texts are shipped, not sets, as they compress."""
+    sets = sets or _sets
+    key = ["g", "k", "i", "j"]
+    rows = cells.select(*key, "side", "ref", "known", "text").repartition(parts, *key).sortWithinPartitions(*key)
+
+    def partition(batches):
+        now, held = None, []
+
+        def closed():
+            if len(held) > 1:
+                own, side, ref, known = zip(*held, strict=True)
+                links = cell_links(list(own), np.array(side), np.array(ref), np.array(known), percent)
+                if links:
+                    yield dict(zip(("a", "b"), zip(*links, strict=True), strict=True))
+            held.clear()
+
+        for b in batches:
+            *place, side, ref, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            for i, keys, doc, n_words in sets(b.column(7), shingle):
+                cuts = np.searchsorted(doc, np.arange(len(n_words) + 1))
+                for d in range(len(n_words)):
+                    cell = tuple(x[i + d] for x in place)
+                    if cell != now:
+                        yield from closed()
+                        now = cell
+                    held.append((keys[cuts[d] : cuts[d + 1]].copy(), side[i + d], ref[i + d], known[i + d]))
+        yield from closed()
+
+    return map_partition(rows, "a long, b long", partition)
 
 
 def fitting(percent: int):
@@ -324,13 +445,14 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     A set: distinct runs of ``shingle`` words of the lower-cased text (A-Z only); the whole sequence for fewer words; nothing, and no link, without words.
 
     1. Documents of equal sets are one class, stood for by its first document.
-    2. Similar classes are put into groups: signature bands propose a leader, exact verification links with it, linked ones are a group.
+    2. Similar classes are put into groups: signature bands propose a leader, classes of one leader are a group, and exact verification links with it.
     3. Token-group matrix: each class gives its rarest tokens, a prefix that must share so many with any set it links with.  By token, the matrix has
        the groups whose union holds it; a query's count over a group bounds its overlap with any member.  Only groups that reach the bound are opened.
-    4. Opened groups are compared member by member: first the best query of two groups, then, between groups still apart, all.
+    4. Opened groups, and those whose members aren't linked with each other yet, are compared block by block in memory, so that no pairs are
+       made but links; a document whose overlap with a block's token union is too small is left out of it.
     5. Links of both steps make the components.
 
-    Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links (links found for its class; copies aside).
+    Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links (links found for its class; copies aside, and those that earlier links imply).
     Every link is found or its two documents are already in one component.  Null texts are empty.  Rows of equal id and text are one document, each returned;
     null ids get a component_id of the smallest id beside them, null if there is none.  Further columns are ignored; an empty table gives no rows.
     """
@@ -363,20 +485,3 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
 def _renumbered(docs: DataFrame) -> bool:
     """Whether refs aren't the ids themselves."""
     return bool(docs.where(~F.col("ref").eqNullSafe(F.col("doc_id"))).limit(1).count())
-
-
-def _open_groups(docs: DataFrame, opened: DataFrame, reps: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
-    """Links of queries with members of the groups that their bound lets them open."""
-    members = reps.select("gid", F.col("ref").alias("member"), F.col("n").alias("m"))
-    fit = fitting(percent)
-    best = opened.groupBy("own", "gid").agg(F.max_by(F.struct("query", "n"), F.struct("met", "query")).alias("q")).select("own", "gid", "q.*")
-    first = best.join(members, "gid").where(fit).select(F.col("query").alias("a"), F.col("member").alias("b"))
-    found = stage_boundary(verify_pairs(docs, first, shingle, percent, parts))
-    label = reps.select("ref", F.col("gid").alias("g"))
-    between = found.join(label, F.col("a") == F.col("ref")).select("b", F.col("g").alias("x")).join(label, F.col("b") == F.col("ref")).select("x", F.col("g").alias("y"))
-    roots = components(between, "x", "y")
-    left, right = (roots.select(F.col("node").alias(f"{s}n"), F.col("root").alias(f"{s}r")) for s in "lr")
-    apart = opened.join(left, F.col("own") == F.col("ln"), "left").join(right, F.col("gid") == F.col("rn"), "left").where(F.coalesce("lr", "own") != F.coalesce("rr", "gid"))
-    rest = apart.join(best.select("own", "gid", "query"), ["own", "gid", "query"], "left_anti").join(members, "gid").where(fit)
-    more = verify_pairs(docs, rest.select(F.col("query").alias("a"), F.col("member").alias("b")), shingle, percent, parts)
-    return found.unionByName(more)
