@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,31 @@ def _has(v: Column, name: str) -> Column:
     return _get(v, name).isNotNull()
 
 
-def _scalar(v: str) -> Column:
-    """Text of a JSON scalar in column v, with v_kind and v_plain beside it, as Python writes it; missing is "".
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
+def _plain(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
-    None, True, False, 1.0; doubles with a fraction or an exponent keep Spark's digits, which may differ from Python's in extreme values.
+
+def _scalar(v: Column) -> Column:
+    """Text of a JSON scalar as Python writes it (None, True, False, 1.0); missing is "".
+
+    Doubles with a fraction or an exponent keep Spark's digits, which may differ from Python's in extreme values.
     """
-    kind, plain = F.col(f"{v}_kind"), F.coalesce(F.col(f"{v}_plain"), F.lit(""))
-    whole = kind.isin("DOUBLE") & ~plain.rlike("[.eE]")
-    return F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(plain)).when(whole, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
+    def text(v: Column) -> Column:
+        kind, plain = _kind(v), F.coalesce(_plain(v), F.lit(""))
+        whole = (kind == "DOUBLE") & ~plain.rlike("[.eE]")
+        return F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(plain)).when(whole, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
-def _described(df: DataFrame, *names: str) -> DataFrame:
-    """Beside each variant column its kind and its plain text."""
-    return df.withColumns({f"{n}_kind": F.coalesce(F.schema_of_variant(n), F.lit("")) for n in names} | {f"{n}_plain": F.try_variant_get(F.col(n), "$", "string") for n in names})
+    return _let(v, text)
 
 
 def first_present(v: Column, *names: str) -> Column:
@@ -41,19 +55,21 @@ def first_present(v: Column, *names: str) -> Column:
     return out
 
 
-def _unwrapped(df: DataFrame, name: str) -> DataFrame:
-    """A variant column of answers: an object gives its input_text, or else text; then a list its first element."""
-    kind = F.coalesce(F.schema_of_variant(name), F.lit(""))
-    df = df.withColumn(name, F.when(kind.startswith("OBJECT"), first_present(F.col(name), "input_text", "text")).otherwise(F.col(name)))
-    kind = F.coalesce(F.schema_of_variant(name), F.lit(""))
-    return df.withColumn(name, F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col(name), "$[0]", "variant")).otherwise(F.col(name)))
+def _unwrapped(v: Column) -> Column:
+    """An object gives its input_text, or else text; then a list its first element."""
+    inner = _let(v, lambda x: F.when(_kind(x).startswith("OBJECT"), first_present(x, "input_text", "text")).otherwise(x))
+    return _let(inner, lambda x: F.when(_kind(x).startswith("ARRAY"), F.try_variant_get(x, "$[0]", "variant")).otherwise(x))
 
 
-def _integer(v: str) -> Column:
+def _integer(v: Column) -> Column:
     """An integer label: numbers are truncated, true is 1, digits in text count; null and missing give null; anything else raises."""
-    kind, plain = F.col(f"{v}_kind"), F.col(f"{v}_plain")
-    number = F.when(kind == "BOOLEAN", (plain == "true").cast("int")).when(kind == "STRING", F.when(plain.rlike(r"^\s*[+-]?\d+\s*$"), plain.try_cast("int"))).otherwise(plain.try_cast("double").cast("int"))
-    return F.when(kind.isin("", "VOID"), F.lit(None).cast("int")).otherwise(F.coalesce(number, F.raise_error(F.lit("label is no integer")).cast("int")))
+
+    def number(v: Column) -> Column:
+        kind, plain = _kind(v), _plain(v)
+        value = F.when(kind == "BOOLEAN", (plain == "true").cast("int")).when(kind == "STRING", F.when(plain.rlike(r"^\s*[+-]?\d+\s*$"), plain.try_cast("int"))).otherwise(plain.try_cast("double").cast("int"))
+        return F.when(kind.isin("", "VOID"), F.lit(None).cast("int")).otherwise(F.coalesce(value, F.raise_error(F.lit("label is no integer")).cast("int")))
+
+    return _let(v, number)
 
 
 def normalize_records(rows: DataFrame, json: str = "value", index: str = "source_index", text_column: str = "text", answer_column: str = "best_answer", view: str = "full", strict: bool = True) -> DataFrame:
@@ -71,9 +87,9 @@ def normalize_records(rows: DataFrame, json: str = "value", index: str = "source
         "source_index", _get(v, text_column).alias("t"), _get(v, "question").alias("q"), first_present(v, "context", "story").alias("c"), _get(v, "label").alias("l"),
         first_present(v, answer_column, "answer").alias("g"), first_present(v, answer_column, "answer", "answers").alias("n"),
     )
-    r = _described(_unwrapped(r, "n"), "t", "q", "c", "l", "g", "n")
-    r = r.withColumn("joined", ~F.col("t_kind").isin("", "VOID") & (F.coalesce("t_plain", F.lit("?")) != ""))
-    r = r.select("source_index", "joined", _scalar("t").alias("whole"), _scalar("q").alias("question"), _scalar("c").alias("context"), _integer("l").alias("label"), F.when(F.col("joined"), _scalar("g")).otherwise(_scalar("n")).alias("original_answer"))
+    present = _let(F.col("t"), lambda t: ~_kind(t).isin("", "VOID") & (F.coalesce(_plain(t), F.lit("?")) != ""))
+    r = r.withColumn("joined", present)
+    r = r.select("source_index", "joined", _scalar(F.col("t")).alias("whole"), _scalar(F.col("q")).alias("question"), _scalar(F.col("c")).alias("context"), _integer(F.col("l")).alias("label"), F.when(F.col("joined"), _scalar(F.col("g"))).otherwise(_scalar(_unwrapped(F.col("n")))).alias("original_answer"))
     cut = first_sentence(marker_cut(F.col("original_answer"))) if view == "first_sentence" else F.col("original_answer")
     r = r.withColumn("answer", F.when(F.col("joined"), F.col("original_answer")).otherwise(cut))
     empty = ~F.col("joined") & ((strip(F.col("question")) == "") | (strip(F.col("answer")) == ""))
