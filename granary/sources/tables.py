@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ def stage_boundary(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage there.
 
     A lost executor then costs a re-read of this boundary, not the work behind it.
+    The shuffle files of that work are let go at once: Spark drops them when the driver collects the plan that made them.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
