@@ -155,7 +155,7 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5, table: np.n
         return h, doc, n_words
     total = np.zeros(len(h), _U)
     for k in range(n):  # position-dependent sum
-        total[: len(h) - k] += h[k:] * _U(pow(_BASE, k + 1, 1 << 64))
+        total[: max(0, len(h) - k)] += h[k:] * _U(pow(_BASE, k + 1, 1 << 64))
     whole = np.zeros(len(h), bool)
     if len(h) >= n:
         whole[: len(h) - n + 1] = doc[: len(h) - n + 1] == doc[n - 1 :]

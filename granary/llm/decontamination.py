@@ -15,7 +15,7 @@ from ._arrow import map_batches, map_partition
 from ._kernel import LOWER, class_table, mix64, owners, prefix_hash, span_hash, text_blocks, words
 
 _U = np.uint64
-#: Words: letters, digits and characters beyond ASCII, in lower case (A-Z); punctuation and layout never count.
+#: Words: letters, digits and characters beyond ASCII, in lower case (ASCII and Latin-1 letters); punctuation and layout never count.
 WORD_BYTES = ~class_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 #: Words of a seed; an item of fewer words is one seed.
 SEED = 3
@@ -29,7 +29,10 @@ BLOCK = 4 << 20
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and its document."""
     low = LOWER[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[latin] += 0x20
     starts, ends = words(low, offsets, WORD_BYTES)
     return span_hash(prefix_hash(low), starts, ends), owners(offsets, starts)
 

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import stage_boundary
-from ._arrow import map_batches, map_partition
+from ._arrow import map_batches
 from ._components import components
 from ._kernel import LOWER, NOT_SPACE, buffers, mix64, prefix_hash, span_hash, string_column, text_blocks, unique_by_group, words
 from ._packed import blobs, deal, exchange, map_packed, parts_of, unpack
-from .jaccard_join import BROADCAST_ROWS, _list_pairs, _rows, join_text, verify_pairs
+from .jaccard_join import BROADCAST_ROWS, _rows, band_stars, compare_cells, join_text, lay_out_cells, shared_keys, verify_pairs
 from .substring_dedup import _ranges, by_document, with_refs
 
 _U = np.uint64
-#: Bands and rows of a signature: a pair at the threshold of 0.8 shares a band with probability 0.9996, one at 0.9 with over 0.999999.
-BANDS, ROWS = 15, 4
+#: Bands and rows of a signature: a pair at the threshold of 0.8 shares a band with probability 0.998, one at 0.9 with over 0.99999.
+#: Rows keep unrelated lines apart: at a similarity of 0.05 one pair in three million shares a band.
+BANDS, ROWS = 20, 6
 #: Bytes of a shingle; a shorter line is one shingle.
 SHINGLE = 8
 _LINE = np.ones(256, bool)
@@ -113,70 +114,18 @@ def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
 
 
 def shared_bands(described: DataFrame, parts: int) -> DataFrame:
-    """Kind 0 as it is.  Kind 1: bands that several lines share, as (key, hash).  Kind 2: each of their lines with the least, (leader, hash)."""
+    """Kind 0 as it is.  Kind 1: bands that several lines share, as (key, hash, lines of the band)."""
 
     def partition(batches):
         own = blobs(batches)
         for part, blob in own.pop(0, []):
             yield 0, part, blob
-        key, h = unpack([b for _, b in own.pop(1, [])], ["<u8", "<u8"])
-        if not len(key):
-            return
-        order = np.lexsort((h, key))
-        key, h = key[order], h[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-        key, h = key[fresh], h[fresh]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        m = np.diff(np.append(first, len(key)))
-        wide = np.repeat(m, m) > 1
-        leader = np.repeat(h[first], m)
-        yield from deal(1, ((key[wide] >> _U(17)) % _U(parts)).astype(np.int32), [key[wide], h[wide]])
-        apart = wide & (leader != h)
-        pair = np.unique(np.stack((leader[apart], h[apart]), axis=1), axis=0)
-        yield from deal(2, ((mix64(pair[:, 0]) >> _U(17)) % _U(parts)).astype(np.int32), [pair[:, 0].copy(), pair[:, 1].copy()])
+        key, h, m = shared_keys(unpack([b for _, b in own.pop(1, [])], ["<u8", "<u8"]))
+        yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h, m])
 
     return map_packed(exchange(described, parts), partition)
 
 
-def pairs_across(bands: DataFrame, parts: int) -> DataFrame:
-    """Pairs of one band's lines whose components differ.  bands: (key, line, root)."""
-    rows = bands.repartition(parts, "key").sortWithinPartitions("key", "root", "line")
-
-    def batch_lists(batches):
-        rest: list[np.ndarray] | None = None
-
-        def lists(cols, last):
-            """Complete lists; the last key's rows wait for the next batch unless last."""
-            nonlocal rest
-            cols = cols if rest is None else [np.concatenate(c) for c in zip(rest, cols, strict=True)]
-            rest = None
-            key = cols[0]
-            if not last:
-                cut = int(np.searchsorted(key, key[-1])) if (np.diff(key) >= 0).all() else int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
-                rest, cols = [c[cut:] for c in cols], [c[:cut] for c in cols]
-            return cols
-
-        def pairs(cols):
-            key, line, root = cols
-            if not len(key):
-                return
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            m = np.diff(np.append(first, len(key)))
-            several = (m > 1) & (root[first] != root[first + m - 1])
-            for x, y in _list_pairs(first[several], m[several], 1 << 20):
-                fit = root[x] > root[y]
-                if fit.any():
-                    pair = np.unique(np.stack((line[y[fit]], line[x[fit]]), axis=1), axis=0)
-                    yield {"a": pair[:, 0].copy(), "b": pair[:, 1].copy()}
-
-        for b in batches:
-            yield from pairs(lists([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], False))
-        if rest is not None:
-            yield from pairs(lists([c[:0] for c in rest], True))
-
-    return map_partition(rows, "a long, b long", batch_lists, "key", "line", "root").distinct()
-
-
 def line_sets(column, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct character shingles of lines that stand one to a row."""
     for i, j, data, offs in text_blocks(column):
@@ -214,8 +163,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     ``shingle``-byte shingles have a Jaccard similarity of percent / 100 or more (a shorter line is one shingle).
 
     1. Equal lines are one.  Different ones get signatures, and those that share a band are candidates.
-    2. Each candidate is verified with its band's least line; verified links are joined to components.
-    3. Lines of one band that are still in different components are all verified with each other, so no candidate link is lost.
+    2. Each candidate is verified with its band's leading line; verified links are joined to components.
+    3. Lines that bands tie together and that are still in different components are all compared in memory, so no candidate link is lost.
     4. Components by distributed union-find; all lines but each component's first are cut out, with their line break.
 
     Returns per input row doc_id, n_lines (not blank), n_removed, kept (the remaining text) and the columns named by ``keep``.  Null texts are empty.  Rows of equal id and text are one document,
@@ -226,15 +175,15 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts))
     lines = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None).distinct()
     firsts = stage_boundary(lines.groupBy("hash").agg(F.min(F.struct("ref", "start", "length")).alias("f"), F.count("*").alias("n")).select("hash", "f.*", "n"))
-    proposed = _rows(described, 2, "a long, b long", ["<u8", "<u8"], None).distinct()
-    bands = _rows(described, 1, "key long, line long", ["<u8", "<u8"], None)
-    wanted = firsts.join(bands.select(F.col("line").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
+    keys = _rows(described, 1, "key long, class long, m long", ["<u8", "<u8", "<i8"], None)
+    stars = stage_boundary(band_stars(keys))
+    wanted = firsts.join(keys.select(F.col("class").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
     candidates = stage_boundary(line_texts(docs.select("ref", "text"), wanted, parts))
-    links = stage_boundary(verify_pairs(candidates, proposed, shingle, percent, parts, line_sets))
-    roots = components(links)
-    labelled = bands.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    more = verify_pairs(candidates, pairs_across(labelled.join(several, "key"), parts), shingle, percent, parts, line_sets)
+    links = stage_boundary(verify_pairs(candidates, stars.select(F.col("leader").alias("a"), F.col("class").alias("b")), shingle, percent, parts, line_sets))
+    known, family = components(links), components(stars, "leader", "class").select(F.col("node").alias("ref"), F.col("root").alias("gid"))
+    reps = family.join(known, F.col("ref") == F.col("node"), "left").join(firsts.select(F.col("hash").alias("ref"), F.col("length").alias("n")), "ref")
+    reps = stage_boundary(reps.select("ref", "n", "gid", F.coalesce("root", "ref").alias("known")))
+    more = compare_cells(join_text(candidates, stage_boundary(lay_out_cells(reps))), shingle, percent, parts, line_sets)
     roots = components(stage_boundary(links.unionByName(more)))
     member = firsts.join(roots, F.col("hash") == F.col("node"), "left").select("hash", "ref", "start", "n", F.coalesce("root", "hash").alias("root"), F.col("node").isNotNull().alias("linked"))
     busy = member.where("linked or n > 1")
