@@ -25,16 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def stage_boundary(df: DataFrame) -> DataFrame:
+def stage_boundary(df: DataFrame, release: bool = False) -> DataFrame:
     """Write df to the shared folder and cut its lineage there.
 
     A lost executor then costs a re-read of this boundary, not the work behind it.
-    The shuffle files of that work are let go at once: Spark drops them when the driver collects the plan that made them.
+    release lets go of the shuffle files of that work at once: Spark drops them when the driver collects the plan that made them.
     """
     spark = df.sparkSession
     shared_folder(spark)
     out = df.checkpoint()
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
