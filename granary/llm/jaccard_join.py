@@ -297,14 +297,14 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     """(ref, n, class) of documents, (class, rep, n) of sets that aren't empty, and links (a, b) of classes' documents; steps 1 to 4 below."""
     parts = parts_of(docs)
     spark = docs.sparkSession
-    described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts))
+    described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts), release=True)
     meta = _rows(described, 0, "ref long, n long, class long", ["<i8", "<i8", "<u8"], None).distinct()
     classes = stage_boundary(meta.where("n > 0").groupBy("class").agg(F.min("ref").alias("rep"), F.first("n").alias("n")))
     keys = stage_boundary(_rows(described, 1, "key long, class long, m long", ["<u8", "<u8"], parts, shared_keys))
     stars = stage_boundary(band_stars(keys))
     lead = classes.select(F.col("class").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("m"))
     proposed = stars.join(classes, "class").join(lead, "leader").where(fitting(percent)).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
-    links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts))
+    links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts), release=True)
     known, family = components(links), components(stars, "leader", "class")
     reps = classes.join(family, F.col("class") == F.col("node"), "left").select("rep", "n", F.coalesce("root", "class").alias("family"))
     named = reps.groupBy("family").agg(F.min("rep").alias("gid"))
@@ -312,12 +312,12 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     reps = stage_boundary(reps)
     frequent = spark.sparkContext.broadcast(frequent_tokens(described, parts))
     matrix = emit_prefixes(join_text(docs, reps.select("ref", "gid")), frequent, shingle, percent, parts)
-    bounds = _rows(stage_boundary(count_overlaps(matrix, percent, parts)), 4, "query long, gid long, met long", ["<i8", "<i8", "<i8"], parts, _sum_pairs)
+    bounds = _rows(stage_boundary(count_overlaps(matrix, percent, parts), release=True), 4, "query long, gid long, met long", ["<i8", "<i8", "<i8"], parts, _sum_pairs)
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
     own = reps.select(F.col("ref").alias("query"), "n", "known")
     opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least).select("query", "gid", "n", "known"))
     more = compare_cells(join_text(docs, stage_boundary(lay_out_cells(reps, opened))), shingle, percent, parts)
-    return meta, classes, stage_boundary(links.unionByName(more).distinct())
+    return meta, classes, stage_boundary(links.unionByName(more).distinct(), release=True)
 
 
 def _block_count(docs: str, tokens: str):

@@ -172,13 +172,13 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     """
     parts = parts_of(df)
     docs = with_refs(df, text, doc_id, keep)
-    described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts))
+    described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts), release=True)
     lines = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None).distinct()
     firsts = stage_boundary(lines.groupBy("hash").agg(F.min(F.struct("ref", "start", "length")).alias("f"), F.count("*").alias("n")).select("hash", "f.*", "n"))
     keys = _rows(described, 1, "key long, class long, m long", ["<u8", "<u8", "<i8"], None)
     stars = stage_boundary(band_stars(keys))
     wanted = firsts.join(keys.select(F.col("class").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
-    candidates = stage_boundary(line_texts(docs.select("ref", "text"), wanted, parts))
+    candidates = stage_boundary(line_texts(docs.select("ref", "text"), wanted, parts), release=True)
     links = stage_boundary(verify_pairs(candidates, stars.select(F.col("leader").alias("a"), F.col("class").alias("b")), shingle, percent, parts, line_sets))
     known, family = components(links), components(stars, "leader", "class").select(F.col("node").alias("ref"), F.col("root").alias("gid"))
     reps = family.join(known, F.col("ref") == F.col("node"), "left").join(firsts.select(F.col("hash").alias("ref"), F.col("length").alias("n")), "ref")
@@ -190,7 +190,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     keeper = busy.groupBy("root").agg(F.min(F.struct("ref", "start")).alias("keep"))
     busy = busy.join(keeper, "root").select("hash", "keep")
     drops = lines.join(busy, "hash").where(F.struct("ref", "start") != F.col("keep")).groupBy("ref").agg(F.sort_array(F.collect_list("start")).alias("drops"))
-    drops = stage_boundary(drops)
+    drops = stage_boundary(drops, release=True)
     small = drops.agg(F.sum(F.size("drops") + 4)).first()[0] or 0
     small = small <= 4 * BROADCAST_ROWS  # 8 bytes each
     joined = docs.join(F.broadcast(drops) if small else drops, "ref", "left")

@@ -83,6 +83,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)),
+dup AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM dup),
+island AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z FROM island GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(gaps.z, len(h) // 2) - a)), '' ORDER BY a) AS rest FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
+    # Similar lines by an exact prefix filter, not by signatures.
+    "op2_line_dedup": r"""
+WITH RECURSIVE raw AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+l AS (SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[ \t\x0B\x0C\r]+', ''), '[ \t\x0B\x0C\r]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM raw),
+u AS (SELECT s, hex(encode(s)) AS h, row_number() OVER (ORDER BY s) AS id FROM (SELECT DISTINCT s FROM l WHERE s <> '')),
+g AS (SELECT DISTINCT id, unnest(CASE WHEN len(h) < 16 THEN [h] ELSE list_transform(range(0, len(h) // 2 - 7), lambda k: substr(h, 2 * k + 1, 16)) END) AS x FROM u),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+f AS (SELECT x, count(*) AS df FROM g GROUP BY x HAVING count(*) > 1),
+o AS (SELECT g.id, n.n, hash(g.x) AS x, row_number() OVER (PARTITION BY g.id ORDER BY coalesce(df, 1), g.x) AS r FROM g JOIN n USING (id) LEFT JOIN f USING (x)),
+pre AS (SELECT id, n, x FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pre a JOIN pre b ON a.x = b.x AND a.id < b.id AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+met AS (SELECT a, b, count(*) AS c FROM cand JOIN g p ON p.id = a JOIN g q ON q.id = b AND q.x = p.x GROUP BY a, b),
+links AS (SELECT a, b FROM met JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+root AS (SELECT id, least(id, coalesce(min(b), id)) AS root FROM u LEFT JOIN reach ON a = id GROUP BY id),
+m AS (SELECT l.*, s <> '' AS solid, s <> '' AND row_number() OVER (PARTITION BY coalesce(root, -1) ORDER BY doc_id, i) > 1 AS gone FROM l LEFT JOIN u USING (s) LEFT JOIN root USING (id))
+SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (solid AND gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (solid AND gone)), '')) AS kept_sha256, length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (solid AND gone)), '')) AS n_chars_kept
+FROM m GROUP BY doc_id""",
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
 q AS (SELECT *, strlen(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS holder FROM p)

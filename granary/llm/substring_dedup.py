@@ -301,11 +301,11 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     parts = parts_of(df)
     docs = with_refs(df, text, doc_id)
     anchors = exchange(find_anchors(docs, width, parts), parts)
-    matched = stage_boundary(match_contexts(anchors, parts, hot))
+    matched = stage_boundary(match_contexts(anchors, parts, hot), release=True)
     requests = by_document(matched, 2, _REQUESTS, parts)
     shards = sort_shards(extract_contexts(docs, requests, width, parts), width, parts, shard_bytes)
     spans = by_document(matched.where("kind = 1").unionByName(shards), 1, _SPANS, parts)
-    spans = stage_boundary(spans)
+    spans = stage_boundary(spans, release=True)
 
     def batch(b):
         data, offs = buffers(b.column(1))
