@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -20,10 +22,13 @@ def map_batches(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], It
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for out in batch(b):
-                    yield to_batch(out, target)
+        try:
+            for b in batches:
+                if b.num_rows:
+                    for out in batch(b):
+                        yield to_batch(out, target)
+        finally:
+            give_back()
 
     return source.mapInArrow(run, kind)
 
@@ -35,12 +40,22 @@ def map_partition(df: DataFrame, schema: str, partition: Callable[[Iterator[pa.R
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in partition(b for b in batches if b.num_rows):
-            yield to_batch(out, target)
+        try:
+            for out in partition(b for b in batches if b.num_rows):
+                yield to_batch(out, target)
+        finally:
+            give_back()
 
     return source.mapInArrow(run, kind)
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the system: Spark keeps workers for later tasks, beside other executors' processes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def to_batch(values: dict, schema: pa.Schema) -> pa.RecordBatch:
     def column(v, kind):
         if isinstance(v, pa.ChunkedArray):

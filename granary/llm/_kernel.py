@@ -13,8 +13,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text handled at once, so that a dozen arrays of eight bytes each fit a worker's memory many times over; a longer document is a block of its own.
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -114,12 +114,20 @@ def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
 
 
 def shared_bands(described: DataFrame, parts: int) -> DataFrame:
-    """Kind 0 as it is.  Kind 1: bands that several lines share, as (key, hash, lines of the band)."""
+    """Kind 0: each different line's first place, as (hash, document, start, length).  Kind 2: its other places, (document, start).
+    Kind 1: bands that several lines share, as (key, hash, lines of the band)."""
 
     def partition(batches):
         own = blobs(batches)
-        for part, blob in own.pop(0, []):
-            yield 0, part, blob
+        h, ref, start, length = unpack([b for _, b in own.pop(0, [])], ["<u8", "<i8", "<i8", "<i8"])
+        if len(h):
+            order = np.lexsort((start, ref, h))
+            h, ref, start, length = h[order], ref[order], start[order], length[order]
+            first = np.concatenate(([True], h[1:] != h[:-1]))
+            again = np.concatenate(([False], (h[1:] == h[:-1]) & (ref[1:] == ref[:-1]) & (start[1:] == start[:-1])))
+            rest = ~first & ~again
+            yield from deal(0, ((h[first] >> _U(17)) % _U(parts)).astype(np.int32), [h[first], ref[first], start[first], length[first]])
+            yield from deal(2, ((mix64(ref[rest].astype(_U)) >> _U(33)) % _U(parts)).astype(np.int32), [ref[rest], start[rest]])
         key, h, m = shared_keys(unpack([b for _, b in own.pop(1, [])], ["<u8", "<u8"]))
         yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h, m])
 
@@ -173,8 +181,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     parts = parts_of(df)
     docs = with_refs(df, text, doc_id, keep)
     described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts), release=True)
-    lines = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None).distinct()
-    firsts = stage_boundary(lines.groupBy("hash").agg(F.min(F.struct("ref", "start", "length")).alias("f"), F.count("*").alias("n")).select("hash", "f.*", "n"))
+    firsts = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None)
+    later = _rows(described, 2, "ref long, start long", ["<i8", "<i8"], None)
     keys = _rows(described, 1, "key long, class long, m long", ["<u8", "<u8", "<i8"], None)
     stars = stage_boundary(band_stars(keys))
     wanted = firsts.join(keys.select(F.col("class").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
@@ -185,11 +193,10 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     reps = stage_boundary(reps.select("ref", "n", "gid", F.coalesce("root", "ref").alias("known")))
     more = compare_cells(join_text(candidates, stage_boundary(lay_out_cells(reps))), shingle, percent, parts, line_sets)
     roots = components(stage_boundary(links.unionByName(more)))
-    member = firsts.join(roots, F.col("hash") == F.col("node"), "left").select("hash", "ref", "start", "n", F.coalesce("root", "hash").alias("root"), F.col("node").isNotNull().alias("linked"))
-    busy = member.where("linked or n > 1")
-    keeper = busy.groupBy("root").agg(F.min(F.struct("ref", "start")).alias("keep"))
-    busy = busy.join(keeper, "root").select("hash", "keep")
-    drops = lines.join(busy, "hash").where(F.struct("ref", "start") != F.col("keep")).groupBy("ref").agg(F.sort_array(F.collect_list("start")).alias("drops"))
+    member = firsts.join(roots, F.col("hash") == F.col("node")).select("root", F.struct("ref", "start").alias("place"))
+    keeper = member.groupBy("root").agg(F.min("place").alias("keep"))
+    lost = member.join(keeper, "root").where("place <> keep").select("place.ref", "place.start")
+    drops = later.unionByName(lost).groupBy("ref").agg(F.sort_array(F.collect_list("start")).alias("drops"))
     drops = stage_boundary(drops, release=True)
     small = drops.agg(F.sum(F.size("drops") + 4)).first()[0] or 0
     small = small <= 4 * BROADCAST_ROWS  # 8 bytes each
