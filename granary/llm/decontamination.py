@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment."""
+"""Benchmark decontamination: word-pair seeds that lose no copy, and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +18,13 @@ from ._kernel import LOWER, class_table, mix64, owners, prefix_hash, span_hash,
 _U = np.uint64
 #: Words: letters, digits and characters beyond ASCII, in lower case (ASCII and Latin-1 letters); punctuation and layout never count.
 WORD_BYTES = ~class_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
-#: Words of a seed; an item of fewer words is one seed.
-SEED = 3
-#: A seed is rare if independent words would make fewer of it in the corpus; each item keeps its rarest half whatever their frequency.
-RARE = 1.0
 #: Alignment: points for an equal word, another word, a gap; share of an item's best possible score from which a passage is a copy.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Bytes of items that are broadcast at once; a larger benchmark is matched block by block, each against all rows.
 BLOCK = 4 << 20
+#: Seeds that are held at once; a text block with more is matched with parts of the items in turn.
+HITS = 1 << 21
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,72 +36,84 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hash(prefix_hash(low), starts, ends), owners(offsets, starts)
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    m = max(0, len(h) - n + 1)
-    out = np.full(m, n, _U)
-    for k in range(n):
-        out = mix64(out * _U(31) + h[k : k + m])
-    return out
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a) * _U(31) + b)
+
+
+def needed(size: int, least: float) -> int:
+    """Points from which a passage is a copy of an item of ``size`` words."""
+    return max(1, math.ceil(least * MATCH * size - 1e-9))
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: word hashes of each, and seeds by hash with their item and place."""
+    """A block of benchmark items: word hashes of each, points and width that their copies have, and seeds by hash with item, place and distance.
+
+    Of an alignment's matches in a row, let g0 pairs have no error between them, g1 one and g2 two or more: its points are at most
+    2 + 2 g0 + g1, as each match gives two and each error takes one.  So a copy of T points holds pairs worth T - 2, a pair of neighbours being
+    worth 2 and one with a word more on either side or both 1.  Every such pair of an item is a seed, however common; items that two points
+    or fewer satisfy have their single words.  A copy begins and ends with seeds, because what lies beyond them takes as much as it gives.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hash, item, place
+    need: np.ndarray
+    width: np.ndarray  # words that the best alignment of a copy spans at most
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # sorted hash, item, place, distance
+    singles: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
 
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, _U)
+def _sorted_seeds(lots: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    h = np.concatenate([x for x, _, _ in lots] or [np.zeros(0, _U)])
+    sizes = [len(x) for x, _, _ in lots]
+    item, distance = (np.repeat(np.array([lot[k] for lot in lots], np.int64), sizes) for k in (1, 2))
+    at = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])
+    order = np.argsort(h, kind="stable")
+    return h[order], item[order], at[order], distance[order]
 
 
-def read_items(rows: list[tuple[int, str]]) -> Items:
+def read_items(rows: list[tuple[int, str]], least: float = LEAST_SCORE) -> Items:
     raw = [(t or "").encode() for _, t in rows]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     h, doc = word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
     cuts = np.searchsorted(doc, np.arange(len(rows) + 1))
-    return Items([i for i, _ in rows], [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], {})
-
-
-def choose_seeds(items: Items, vocabulary: np.ndarray, counts: np.ndarray, total: int) -> Items:
-    """Rare seeds of each item, by the frequency of their words in the whole corpus."""
-    share = np.log((counts + 1) / (total + 1)) if len(vocabulary) else np.zeros(0)
-    found: dict[int, list] = {}
-    for k, w in enumerate(items.words):
-        if not len(w):
-            continue
-        n = min(SEED, len(w))
-        p = share[np.searchsorted(vocabulary, w)]
-        expected = np.log(total + 1) + sum(p[j : len(p) - n + 1 + j] for j in range(n))
-        rank = np.argsort(np.argsort(expected, kind="stable"), kind="stable")
-        use = np.flatnonzero((expected < np.log(RARE)) | (rank <= len(expected) // 2))
-        found.setdefault(n, []).append((_grams(w, n)[use], np.full(len(use), k), use))
-    for n, lots in found.items():
-        h, item, at = (np.concatenate(c) for c in zip(*lots, strict=True))
-        order = np.argsort(h, kind="stable")
-        items.seeds[n] = (h[order], item[order], at[order])
-    return items
-
-
-def find_seeds(h: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word's place, item, place in the item) of each seed met; none crosses documents."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for n, (seed, item, at) in items.seeds.items():
-        if len(h) < n:
-            continue
-        grams = _grams(h, n)
-        table = np.zeros(1 << 16, bool)
-        table[seed >> _U(48)] = True
-        near = np.flatnonzero(table[grams >> _U(48)] & (doc[: len(grams)] == doc[n - 1 :]))
-        low, high = np.searchsorted(seed, grams[near], "left"), np.searchsorted(seed, grams[near], "right")
-        some = high > low
-        near, low, count = near[some], low[some], (high - low)[some]
-        which = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        out.append((np.repeat(near, count), item[which], at[which]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    own = [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    need = np.array([needed(len(w), least) for w in own], np.int64)
+    width = np.array([(1 + MATCH) * len(w) for w in own], np.int64) - need
+    pairs = [(_pair(w[:-d], w[d:]), k, d) for k, w in enumerate(own) for d in (1, 2) if need[k] > MATCH and len(w) > d]
+    singles = [(w, k, 1) for k, w in enumerate(own) if need[k] <= MATCH]
+    return Items([i for i, _ in rows], own, need, width, _sorted_seeds(pairs), _sorted_seeds(singles))
+
+
+def _lookup(h: np.ndarray, real: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word's place, first seed, seeds) of each hash that is a seed."""
+    bits = min(24, max(16, len(seed).bit_length() + 4))
+    table = np.zeros(1 << bits, bool)
+    table[seed >> _U(64 - bits)] = True
+    near = np.flatnonzero(table[h >> _U(64 - bits)] & real)
+    low, high = np.searchsorted(seed, h[near], "left"), np.searchsorted(seed, h[near], "right")
+    some = high > low
+    return near[some], low[some], (high - low)[some]
+
+
+def find_seeds(h: np.ndarray, doc: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word's place, item, place in the item, worth) of each seed met, all of an item together; none crosses documents."""
+    met = [(*_lookup(_pair(h[:-d], h[d:]), doc[:-d] == doc[d:], items.pairs[0]), d, items.pairs) for d in (1, 2) if len(h) > d and len(items.pairs[0])]
+    if len(items.singles[0]):
+        met.append((*_lookup(h, np.ones(len(h), bool), items.singles[0]), 1, items.singles))
+    total = sum(int(count.sum()) for _, _, count, _, _ in met)
+    parts = min(len(items.ids), -(-total // HITS))
+    for part in range(parts):
+        out = []
+        for near, low, count, d, (_, item, at, distance) in met:
+            if parts > 1:  # seeds before each one that are of this part's items
+                mine = np.flatnonzero(item % parts == part)
+                a, z = np.searchsorted(mine, low), np.searchsorted(mine, low + count)
+                near, low, count = near[z > a], a[z > a], (z - a)[z > a]
+            which = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            which = mine[which] if parts > 1 else which
+            out.append((np.repeat(near, count), item[which], at[which], np.where((distance[which] == 1) & (d == 1), 2, 1)))
+        yield tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,34 +144,46 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return best[:, 0], best[:, 1], best[:, 2]
 
 
-def passages(place: np.ndarray, item: np.ndarray, at: np.ndarray, doc: np.ndarray, first: np.ndarray, n_words: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, start, end, seeds) of each stretch of words that seeds of one item bring together, as wide as an edited copy may be."""
-    size = np.array([len(w) for w in items.words], np.int64)
-    d = doc[place]
-    begin = place - at
-    order = np.lexsort((begin, item, d))
-    d, item, begin = d[order], item[order], begin[order]
-    slack = size[item] // 2 + 2
-    fresh = np.ones(len(d), bool)
-    fresh[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
-    start = np.flatnonzero(fresh)
-    stop = np.append(start[1:], len(d))
-    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-        k, own = int(item[s]), int(d[s])
-        low = max(int(first[own]), int(begin[s]) - int(slack[s]))
-        high = min(int(first[own] + n_words[own]), int(begin[e - 1]) + int(size[k]) + int(slack[s]))
-        yield own, k, low, high, e - s
-
-
-def match_block(h: np.ndarray, doc: np.ndarray, n: int, items: Items, least: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
-    """(score, first word, end, seeds) of the best passage of each document and item, where it reaches least."""
-    place, item, at = find_seeds(h, doc, items)
+def passages(place: np.ndarray, item: np.ndarray, at: np.ndarray, worth: np.ndarray, doc: np.ndarray, end: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, start, end, seeds) of each stretch of words that may hold a copy, by the worth of its seeds."""
+    order = np.lexsort((-worth, place, item, doc[place]))
+    place, item, at, worth = place[order], item[order], at[order], worth[order]
+    need, width = items.need[item] - MATCH, items.width[item]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (doc[place][1:] != doc[place][:-1]) | (item[1:] != item[:-1])
+    key = (np.cumsum(fresh) - 1) * (int(place.max()) + int(width.max()) + 2) + place
+    # Worth of the windows that begin at a seed; a word begins one pair of an alignment at most.
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    total = np.concatenate(([0], np.cumsum(np.where(first, worth, 0))))
+    good = np.flatnonzero(first & (total[np.searchsorted(key, key + width)] - total[np.arange(len(key))] >= need))
+    if not len(good):
+        return
+    apart = np.ones(len(good), bool)
+    apart[1:] = key[good][1:] > key[good][:-1] + width[good][1:]
+    start = good[apart]
+    last = good[np.append(np.flatnonzero(apart)[1:], len(good)) - 1]
+    stop = np.searchsorted(key, key[last] + width[last])
+    # A word of the item, too, begins one pair at most.
+    stretch = np.repeat(np.arange(len(start)), stop - start)
+    inside = np.repeat(start, stop - start) + np.arange(len(stretch)) - np.repeat(np.cumsum(stop - start) - (stop - start), stop - start)
+    by_item = np.lexsort((-worth[inside], at[inside], stretch))
+    s, a, w = stretch[by_item], at[inside][by_item], worth[inside][by_item]
+    once = np.ones(len(s), bool)
+    once[1:] = (s[1:] != s[:-1]) | (a[1:] != a[:-1])
+    enough = np.bincount(s[once], w[once], len(start)) >= need[start]
+    for b, z, e in zip(start[enough].tolist(), last[enough].tolist(), stop[enough].tolist(), strict=True):
+        own = int(doc[place[b]])
+        yield own, int(item[b]), int(place[b]), min(int(end[own]), int(place[z]) + int(width[b]) + 2), e - b
+
+
+def match_block(h: np.ndarray, doc: np.ndarray, n: int, items: Items) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """(score, first word, end, seeds) of the best passage of each document and item, where it is a copy."""
     out: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    if not len(place):
-        return out
     n_words = np.bincount(doc, minlength=n)
-    first = np.concatenate(([0], np.cumsum(n_words)))[:-1]
-    todo = sorted(passages(place, item, at, doc, first, n_words, items), key=lambda p: (len(items.words[p[1]]), p[3] - p[2]))
+    last = np.cumsum(n_words)
+    first = last - n_words
+    todo = sorted((p for seeds in find_seeds(h, doc, items) if len(seeds[0]) for p in passages(*seeds, doc, last, items)), key=lambda p: (len(items.words[p[1]]), p[3] - p[2]))
     lot, cells = [], 0
     for i, p in enumerate(todo):
         lot.append(p)
@@ -174,38 +197,15 @@ def match_block(h: np.ndarray, doc: np.ndarray, n: int, items: Items, least: flo
             b[r, : high - low] = h[low:high]
         score, begin, end = align(a, b)
         for (own, k, low, _, seeds), s, x, y in zip(lot, score.tolist(), begin.tolist(), end.tolist(), strict=True):
-            share = s / (MATCH * len(items.words[k]))
-            if share >= least:
-                mine = (share, low + x - int(first[own]), low + y - int(first[own]), seeds)
+            if s >= items.need[k]:
+                mine = (s / (MATCH * len(items.words[k])), low + x - int(first[own]), low + y - int(first[own]), seeds)
                 if (own, k) not in out or (mine[0], -mine[1]) > (out[own, k][0], -out[own, k][1]):
                     out[own, k] = mine
         lot, cells = [], 0
     return out
 
 
-def count_words(df: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of the vocabulary, and any word, stands in all texts."""
-
-    def partition(batches):
-        counts = np.zeros(len(vocabulary) + 1, np.int64)
-        for b in batches:
-            for _, _, data, offs in text_blocks(b.column(0)):
-                h, _ = word_hashes(data, offs)
-                counts[-1] += len(h)
-                if len(vocabulary):
-                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                    counts[:-1] += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-        some = np.flatnonzero(counts)
-        if len(some):
-            yield {"w": some, "n": counts[some]}
-
-    table = map_partition(df, "w int, n long", partition, F.col(text).alias("text")).groupBy("w").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(vocabulary) + 1, np.int64)
-    counts[table["w"].to_numpy()] = table["n"].to_numpy()
-    return counts[:-1], int(counts[-1])
-
-
-def item_blocks(benchmark: DataFrame, text: str, item_id: str, block: int) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, text: str, item_id: str, least: float, block: int) -> Iterator[Items]:
     """The benchmark in blocks of bounded bytes: the driver holds one at a time."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -214,7 +214,7 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str, block: int) -> It
         rows = stage_boundary(rows.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(2 * n))))
     for k in range(2 * n if n > 1 else n):
         own = rows.where(F.col("k") == k) if n > 1 else rows
-        items = read_items([(r.i, r.t) for r in own.select("i", "t").sort("i", "t").collect()])
+        items = read_items([(r.i, r.t) for r in own.select("i", "t").sort("i", "t").collect()], least)
         if items.ids:
             yield items
 
@@ -222,22 +222,22 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str, block: int) -> It
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: float = LEAST_SCORE, block: int = BLOCK) -> DataFrame:
     """Passages of documents that are copies of benchmark items, edited or paraphrased ones too.
 
-    Rare word n-grams of the items, judged by the frequency of their words in all documents, are looked up in every whole text; stretches around
-    them are aligned with the item word by word.  Score: the alignment's points over those of the whole item.
+    Word pairs of the items are looked up in every whole text; stretches that hold enough of them are aligned with the item word by word.
+    No copy is lost before the alignment, whatever the corpus.  Score: the alignment's points over those of the whole item.
     Returns (doc_id, item_id, score, first_word, end_word, n_seeds), the best passage of each document row and item with score >= ``least``.
     Null texts and items of no words have none; a repeated document row gives its rows again, a repeated item counts once per text; null ids stay null.
     Further columns are ignored; an empty table on either side gives no rows.
     """
     out = None
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long"
-    for items in item_blocks(benchmark, item_text, item_id, block):
-        seeded = _prepare(df, text, items)
+    for items in item_blocks(benchmark, item_text, item_id, least, block):
+        seeded = df.sparkSession.sparkContext.broadcast(items)
 
         def batch(b, seeded=seeded):
             own = seeded.value
             for i, j, data, offs in text_blocks(b.column(1)):
                 h, doc = word_hashes(data, offs)
-                found = sorted(match_block(h, doc, j - i, own, least).items())
+                found = sorted(match_block(h, doc, j - i, own).items())
                 if found:
                     ids = b.column(0)[i:j].to_pylist()
                     yield {
@@ -252,15 +252,15 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", least: float = LEAST_SCORE, block: int = BLOCK) -> DataFrame:
     """df without the rows that hold a copy of an item; decided where the row is read, so nothing is shuffled."""
-    for items in item_blocks(benchmark, item_text, item_id, block):
-        seeded = _prepare(df, text, items)
+    for items in item_blocks(benchmark, item_text, item_id, least, block):
+        seeded = df.sparkSession.sparkContext.broadcast(items)
         names = df.columns
 
         def batch(b, seeded=seeded, names=names):
             clean = np.ones(b.num_rows, bool)
             for i, j, data, offs in text_blocks(b.column(names.index(text))):
                 h, doc = word_hashes(data, offs)
-                for d, _ in match_block(h, doc, j - i, seeded.value, least):
+                for d, _ in match_block(h, doc, j - i, seeded.value):
                     clean[i + d] = False
             kept = b.filter(pa.array(clean))
             yield {f"k{k}": kept.column(k) for k in range(len(names))}
@@ -269,9 +269,3 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_tex
         schema = ", ".join(f"k{k} {kinds[c]}" for k, c in enumerate(names))
         df = map_batches(df, schema, batch, *(F.col(c).alias(f"k{k}") for k, c in enumerate(names))).select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(names)))
     return df
-
-
-def _prepare(df: DataFrame, text: str, items: Items):
-    vocabulary = items.vocabulary()
-    counts, total = count_words(df, text, vocabulary)
-    return df.sparkSession.sparkContext.broadcast(choose_seeds(items, vocabulary, counts, total))

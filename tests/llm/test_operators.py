@@ -217,6 +217,22 @@ def test_leaks(spark):
     assert decontamination.find_leaks(frame(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_without_a_common_trigram(spark):
+    rng = random.Random(12)
+    items = [(k, [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(n)]) for k, n in enumerate((30, 31, 45, 15))]
+    third = lambda w: [x if j % 3 < 2 else "changed" for j, x in enumerate(w)]
+    spread = lambda w: [y for j, x in enumerate(w) for y in ([x, "added"] if j % 2 else [x])]
+    apart = lambda w: [y for x in w[:-1] for y in (x, "added")] + w[-1:]
+    docs = [(10 * k + m, " ".join(["before"] * 5 + edit(w) + ["behind"] * 5)) for k, w in items for m, edit in enumerate((list, third, spread, apart))]
+    docs += [(100 + i, " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60))) for i in range(40)]
+    points = {(i, k): brute.align(w, t.split()) for i, t in docs for k, w in items}
+    want = {key: s / (2 * len(dict(items)[key[1]])) for key, s in points.items() if s >= len(dict(items)[key[1]])}
+    assert {(10 * k + m, k) for k, _ in items for m in range(4)} - {(11, 1)} <= set(want)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, docs), benchmark).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_mpeg_features(spark):
     rows = corpus(9, 12)
     got = {r.doc_id: r for r in mpeg_audio.media_features(frame(spark, rows), media=True).collect()}
