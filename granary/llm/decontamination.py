@@ -21,6 +21,8 @@ WORD_BYTES = ~class_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 #: Alignment: points for an equal word, another word, a gap; share of an item's best possible score from which a passage is a copy.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
+#: Points that are a copy whatever the item's length (25 words in a row), and points that a short item asks for, all of its own if it has fewer.
+LONG_POINTS, SHORT_POINTS = 50, 15
 #: Bytes of items that are broadcast at once; a larger benchmark is matched block by block, each against all rows.
 BLOCK = 4 << 20
 #: Seeds that are held at once; a text block with more is matched with parts of the items in turn.
@@ -42,7 +44,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def needed(size: int, least: float) -> int:
     """Points from which a passage is a copy of an item of ``size`` words."""
-    return max(1, math.ceil(least * MATCH * size - 1e-9))
+    return min(LONG_POINTS, max(1, math.ceil(least * MATCH * size - 1e-9), min(MATCH * size, SHORT_POINTS)))
 
 
 @dataclass
@@ -224,7 +226,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
 
     Word pairs of the items are looked up in every whole text; stretches that hold enough of them are aligned with the item word by word.
     No copy is lost before the alignment, whatever the corpus.  Score: the alignment's points over those of the whole item.
-    Returns (doc_id, item_id, score, first_word, end_word, n_seeds), the best passage of each document row and item with score >= ``least``.
+    Returns (doc_id, item_id, score, first_word, end_word, n_seeds), the best passage of each document row and item with score >= ``least`` or
+    ``LONG_POINTS`` points; one of an item below eight words is all of it, of a somewhat longer one ``SHORT_POINTS`` points.
     Null texts and items of no words have none; a repeated document row gives its rows again, a repeated item counts once per text; null ids stay null.
     Further columns are ignored; an empty table on either side gives no rows.
     """

@@ -233,6 +233,17 @@ def test_leaks_without_a_common_trigram(spark):
     assert got == pytest.approx(want)
 
 
+def test_leaks_of_long_and_short_items(spark):
+    rng = random.Random(13)
+    long = [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(450)]
+    short, middle = "what is the capital of france".split(), "name the three largest rivers of the old world".split()
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(middle))], "item_id long, text string")
+    docs = [(0, "b b b " + " ".join(long[100:300]) + " e e"), (1, " ".join(long[7:32])), (2, " ".join(long[7:31])), (3, "so what is the matter, and the capital of nowhere"), (4, "Q: What is the capital of France?"), (5, "what is the capital of spain"), (6, "the three largest rivers of the land"), (7, "name the three big rivers of the old world")]
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontamination.find_leaks(frame(spark, docs), benchmark).collect()}
+    assert got == {(0, 1): (pytest.approx(400 / 900), 3, 203), (1, 1): (pytest.approx(50 / 900), 0, 25), (4, 2): (1, 1, 7), (7, 3): (pytest.approx(15 / 18), 0, 9)}
+    assert {r.doc_id for r in decontamination.drop_leaks(frame(spark, docs), benchmark).collect()} == {2, 3, 5, 6}
+
+
 def test_mpeg_features(spark):
     rows = corpus(9, 12)
     got = {r.doc_id: r for r in mpeg_audio.media_features(frame(spark, rows), media=True).collect()}
