@@ -121,6 +121,22 @@ def test_held_out_labels_teach_nothing(spark):
     assert a == b
 
 
+def test_repeated_rows_teach_once(spark):
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = lambda i: "A plain sentence of words." if i % 2 else "LOUD!! " * (5 + i % 7)
+    rows = [(i, text(i)) for i in free[:40]]
+    labels = spark.createDataFrame([(i, i % 2) for i in free[:40]], "doc_id long, quality int")
+    plain = collected(quality_ranking.score_quality(frame(spark, rows), labels), "doc_id", "score")
+    assert len({*plain.values()}) > 1
+    least = free[0]
+    for many in ([(least, text(least))] * 120, [(least, text(least) + f" {k}!") for k in range(120)]):
+        got = quality_ranking.score_quality(frame(spark, rows + many), labels, train_rows=40)
+        scores = collected(got, "doc_id", "score", "predicted")
+        assert all(scores[i][1] == i % 2 for i in free[1:40])
+    got = quality_ranking.score_quality(frame(spark, rows + [(least, text(least))] * 120), labels, train_rows=40)
+    assert collected(got, "doc_id", "score") == plain
+
+
 def test_warc(spark):
     big, page = "<p>" + "é" * 600 + "</p>", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 40
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "<p>"), (4, "http://d\r\nX: y", "<p>"), (5, "", None), (6, "http://f", page), (7, "http://g", big), (8, "u", "z" * 999), (9, "u", "z" * 999)]
