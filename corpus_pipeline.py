@@ -41,9 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, range-sorted by training position."""
+    """Documents that the mix takes words of, range-sorted by first training position; positions has that of each pass."""
     mixed = mix_sources(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
-    return mixed.select(*COLUMNS, "size", "taken", F.round("position", 9).alias("position"))
+    return mixed.select(*COLUMNS, "size", "taken", F.round("position", 9).alias("position"), F.transform("positions", lambda p: F.round(p, 9)).alias("positions"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -205,6 +205,17 @@ def test_mixing(spark):
     assert curriculum.mix_sources(df.limit(0)).count() == 0
 
 
+def test_pipeline_gives_the_positions_of_all_passes(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * (i % 9 + 1), "en", "small" if i < 20 else "large", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixing(spark, docs, "").collect()
+    assert any(r.taken > r.size for r in got)
+    for r in got:
+        assert len(r.positions) == -(-r.taken // r.size) and r.positions[0] == r.position and r.positions == sorted(r.positions)
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
