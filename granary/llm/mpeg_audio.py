@@ -165,20 +165,21 @@ def parse_stream(data: bytes) -> Stream:
         end -= 128
     p = parse_id3v2(data, 0, s.tags)
     kind = None
-    first = True
+    first = sought = True
     while p + 4 <= end:
         h = parse_header(data[p : p + 4])
         good = h is not None and p + h.size <= end and (kind is None or (h.version, h.layer, h.rate) == kind)
-        if good and kind is None and p + h.size + 4 <= end:
+        if good and sought and p + h.size + 4 <= end:
             after = parse_header(data[p + h.size : p + h.size + 4])
             good = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         if not good:  # resynchronise
+            sought = True
             q = data.find(b"\xff", p + 1, end)
             q = end if q < 0 else q
             s.skipped += q - p
             p = q
             continue
-        kind = (h.version, h.layer, h.rate)
+        kind, sought = (h.version, h.layer, h.rate), False
         if h.protected:
             if h.layer == 3 or h.layer == 1:
                 covered = h.side_bytes if h.layer == 3 else 16 * (1 if h.mode == 3 else 2)

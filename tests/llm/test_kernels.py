@@ -99,6 +99,16 @@ def test_mpeg_resynchronisation_and_damage():
     assert mpeg_audio.parse_stream(b"").offsets == [] and mpeg_audio.parse_stream(b"\xff" * 50).offsets == []
 
 
+def test_mpeg_damage_that_looks_like_a_header():
+    stored = mpeg_audio.store_payload(bytes(range(250)) * 30)
+    s = mpeg_audio.parse_stream(stored)
+    cut = s.offsets[2]
+    junk = b"\0\0" + stored[cut : cut + 4] + bytes(5)
+    again = mpeg_audio.parse_stream(stored[:cut] + junk + stored[cut:])
+    assert again.offsets == s.offsets[:2] + [x + len(junk) for x in s.offsets[2:]]
+    assert (again.skipped, again.samples, again.crc_bad) == (len(junk), s.samples, 0)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(0, 4), max_size=25))
 def test_matching_statistics(templates, stream):
