@@ -113,12 +113,14 @@ def read_records(spark, path: str) -> DataFrame:
             for h, block in parse_records(raw):
                 kind, payload, head, digest, size, intact = h.get("warc-type"), None, None, None, None, None
                 if kind in ("response", "revisit"):
-                    front = bytes(block[: 1 << 16]).find(b"\r\n\r\n")
-                    head = bytes(block[: front + 4]).decode("utf-8", "replace")
+                    whole = bytes(block)
+                    front = whole.find(b"\r\n\r\n")
+                    front = front + 4 if front >= 0 else len(whole)  # no separator: a header without payload
+                    head = whole[:front].decode("utf-8", "replace")
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     size = next((int(x.partition(":")[2]) for x in head.split("\r\n") if x.lower().startswith("content-length:")), None)
                     if kind == "response":
-                        payload = bytes(block[front + 4 :])
+                        payload = whole[front:]
                         intact = hashlib.sha1(payload).hexdigest() == digest and len(payload) == size
                 elif kind is not None:
                     head = bytes(block).decode("utf-8", "replace")

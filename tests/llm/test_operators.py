@@ -160,6 +160,16 @@ def test_warc_payloads_come_back(spark, tmp_path):
     assert all(r.response.intact and r.request.head.startswith("GET") for r in got)
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    ok, body = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n", b"hello"
+    blocks = [ok + b"X-Long: " + b"y" * 70000 + b"\r\n\r\n" + body, ok + b"\r\n" + body, ok + b"X-Cut: z"]
+    record = lambda i, b: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (i, hashlib.sha1(body).hexdigest().encode(), len(b)) + b + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(blocks)))
+    got = {r.record_id: r for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert [(bytes(got[f"<r:{i}>"].payload), got[f"<r:{i}>"].intact) for i in range(3)] == [(body, True), (body, True), (b"", False)]
+    assert [len(got[f"<r:{i}>"].head) for i in range(3)] == [len(blocks[0]) - 5, len(blocks[1]) - 5, len(blocks[2])]
+
+
 def test_licenses(spark):
     rows = corpus(4, 20) + [(900, "Released under the MIT License. mit\nlicense, Mit-License"), (901, "Licensed under the Apache License, Version 2.0."), (902, "GNU General Public License"), (903, "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"), (904, "mit licenses; apache\x00license é license")]
     got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
