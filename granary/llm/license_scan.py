@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,25 +39,28 @@ TEMPLATES = (
 class Automaton:
     """Generalised suffix automaton over token numbers.
 
-    Of each state: transitions, suffix link, longest length, and per template the last token's place of one occurrence.
+    Of each state: transitions, suffix link, longest length, and per template the last token's place of the first occurrence (ends) and of each (places).
     """
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    places: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
         self.ends.append({})
+        self.places.append({})
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, token: int) -> int:
         clone = self._state(self.length[p] + 1)
         self.next[clone], self.link[clone] = dict(self.next[q]), self.link[q]
         self.link[q] = clone
+        self.ends[clone], self.places[clone] = dict(self.ends[q]), {k: list(x) for k, x in self.places[q].items()}
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = clone
             p = self.link[p]
@@ -84,6 +88,7 @@ class Automaton:
                 s = self.next[s][t]
             while s > 0:
                 self.ends[s].setdefault(template, place)
+                self.places[s].setdefault(template, []).append(place)
                 s = self.link[s]
 
     def statistics(self, tokens: list[int]) -> list[tuple[int, int]]:
@@ -159,16 +164,16 @@ def chain(index: Index, stats: list[tuple[int, int]], least: int, gap: int, cove
             if len(index.phrase_lists[k]) <= n:
                 found.append((i + 1 - len(index.phrase_lists[k]), i + 1, k))
         if n >= least and (i + 1 == len(stats) or stats[i + 1][1] <= n):
-            for template, place in index.automaton.ends[s].items():
+            for template, places in index.automaton.places[s].items():
                 if template < len(index.lists):
-                    covered.setdefault(template, []).append((i + 1 - n, i + 1, place + 1 - n))
+                    covered.setdefault(template, []).extend((i + 1 - n, i + 1, place + 1 - n) for place in places)
     return found
 
 
-def template_cover(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[float, int, int]:
-    """The chain of matches, in order in text and template and at most gap words apart, that covers most of a template."""
-    best, ends = (0.0, 0, 0), []
-    for a, b, t in sorted(set(matches)):
+def _chains(matches: list[tuple[int, int, int]], size: int, gap: int) -> list[tuple[float, int, int]]:
+    """(cover, start, end) of the best chain that ends with each match; one is in order in text and template, at most gap words apart."""
+    out, ends = [], []
+    for a, b, t in matches:
         mine, start = b - a, a
         for a0, b0, t0, c0, s0 in ends:
             if b0 <= a and a - b0 <= gap and t0 + (b0 - a0) <= t and c0 + b - a > mine:
@@ -176,9 +181,27 @@ def template_cover(matches: list[tuple[int, int, int]], size: int, gap: int) ->
         ends.append((a, b, t, mine, start))
         if len(ends) > 64:  # those out of reach can't be continued
             ends = [x for x in ends if a - x[1] <= gap]
-        if mine / size > best[0]:
-            best = (mine / size, start, b)
-    return min(1.0, best[0]), best[1], best[2]
+        out.append((min(1.0, mine / size), start, b))
+    return out
+
+
+def template_covers(matches: list[tuple[int, int, int]], size: int, gap: int, cover: float) -> tuple[float, list[tuple[float, int, int]]]:
+    """The best cover of a template, and disjoint chains of matches that reach cover: best ones first, until the matches beside them make none."""
+    left, best, spans = sorted(set(matches)), 0.0, []
+    while left:
+        found = sorted(_chains(left, size, gap), key=lambda x: (-x[0], x[2] - x[1], x[1]))
+        best = max(best, found[0][0])
+        if found[0][0] < cover:
+            break
+        taken: list[tuple[int, int]] = []
+        for c, a, b in found:
+            at = bisect.bisect(taken, (a, b))
+            if c >= cover and (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                spans.append((c, a, b))
+        free = lambda a, b: (at := bisect.bisect(taken, (b,))) == 0 or taken[at - 1][1] <= a
+        left = [x for x in left if free(x[0], x[1])]
+    return best, spans
 
 
 def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, phrases=PHRASES, least: int = 3, gap: int = 8, cover: float = 0.6) -> DataFrame:
@@ -186,7 +209,7 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
 
     Each document's words stream through the automaton; where they reach no two words in a row of any template its state is the root's,
     so those stretches are passed over in bulk.  Right-maximal matches of ``least`` words or more are chained (gaps up to ``gap`` words)
-    and a template whose chain covers ``cover`` of its words gives its label and span; score is the best cover.
+    and a template gives its label, and a span for each of its disjoint chains that cover ``cover`` of its words; score is the best cover.
     One row per input row (repeated ones too); null and empty texts have no words, labels "" and score 0; further columns are ignored.
     """
     index = Index(tuple(templates), tuple(phrases))
@@ -224,9 +247,9 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
                 if p:
                     out["n_base"][at], out["first_word"][at], out["last_word"][at] = len(p), min(p)[0], max(p)[0]
                 for t, found in matches.get(d, {}).items():
-                    c, s, e = template_cover(found, len(index.lists[t]), gap)
-                    out["score"][at] = max(out["score"][at], c)
-                    if c >= cover:
+                    best, spans = template_covers(found, len(index.lists[t]), gap, cover)
+                    out["score"][at] = max(out["score"][at], best)
+                    for c, s, e in spans:
                         labels.add(index.templates[t][0])
                         out["spans"][at].append({"label": index.templates[t][0], "start": s, "end": e, "cover": c})
                 out["spans"][at].sort(key=lambda x: (x["start"], x["end"], x["label"]))

@@ -181,6 +181,17 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licenses_at_several_places(spark):
+    notice, other = "This work is licensed under the GNU General Public License, version 3.", "some code in between that is no licence at all and goes on"
+    rows = [(1, f"{notice} {other} {notice}\n{notice} {other}")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert [(x.start, x.end) for x in got[1].spans if x.label == "gpl" and x.cover == 1] == [(0, 12), (25, 37), (37, 49)]
+    again = license_scan.scan_licenses(frame(spark, [(2, "four five six one two three")]), templates=(("t", "one two three four five six one two three"),), cover=0.6).collect()
+    assert [(x.start, x.end, round(x.cover, 3)) for x in again[0].spans] == [(0, 6, 0.667)]
+    split = license_scan.scan_licenses(frame(spark, [(3, "four five six q one two three")]), templates=(("t", "one two three w four five six z one two three"),), cover=0.5).collect()
+    assert split[0].labels == "t" and [(x.start, x.end) for x in split[0].spans] == [(0, 7)]
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", "é", None])) for i in range(300)] + [(300, None, "a"), (301, "w w", "only"), (None, "w", "a"), (7, "w w w", "b"), (7, "w w w", "b")]
