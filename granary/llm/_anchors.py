@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._kernel import mix64, powers, prefix_hash
+from ._kernel import hash_grams
 
 _U = np.uint64
 
@@ -23,7 +23,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out[:n]
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, window: int, k: int, seed: int = 0, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, window: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts that share an anchor: (anchor's hash, first start, last start).
 
     A window's anchor is the k-gram of it whose hash's upper half is least, the leftmost of equal ones,
@@ -32,11 +32,8 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, window: int, k: int, se
     none = np.zeros(0, np.int64)
     if len(data) < window:
         return np.zeros(0, _U), none, none
-    c = prefix_hash(data) if c is None else c
-    power, _ = powers(len(c))
-    m = len(data) - k + 1
-    grams = mix64((c[k:] - c[:-k]) * power[:m] + _U((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
-    packed = (grams & _U(0xFFFFFFFF00000000)) | np.arange(m, dtype=_U)
+    grams = hash_grams(data, k, seed)
+    packed = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
     place = (sliding_min(packed, window - k + 1) & _U(0xFFFFFFFF)).astype(np.int64)
     n = len(place)
     delta = np.zeros(n + 1, np.int32)

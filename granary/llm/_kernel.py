@@ -3,11 +3,12 @@
 Everything works on Arrow string buffers in place: one uint8 array of UTF-8
 bytes and one int64 array of offsets for a whole block of documents, so that no
 per-word or per-character Python objects are made.  Hashes are 64-bit and the
-same in every process.
+same in every process; two different strings agree with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,59 +18,76 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multiplier between the steps of a hash.
+_STEP = _U(0x9E3779B97F4A7C15)
+#: Weights of the words in a shingle; odd, so that each counts in full.
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes from which on a span is hashed by a library digest, not step by step.
+LONG = 512
+#: Keeps the first k of eight bytes.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (the public murmur3 one)."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
+    x *= _U(0xFF51AFD7ED558CCD)
     x ^= x >> _U(33)
     x *= _U(0xC4CEB9FE1A85EC53)
     x ^= x >> _U(33)
     return x
 
 
-def byte_values(seed: int = 1) -> np.ndarray:
-    """256 odd pseudo-random 64-bit values."""
-    return mix64(np.arange(1, 257, dtype=_U) * _U(2 * seed + 1) + _U(seed << 32)) | _U(1)
-
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """Inverse of mix64."""
+    x = x ^ (x >> _U(33))
+    x *= _U(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    x ^= x >> _U(33)
+    x *= _U(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    x ^= x >> _U(33)
+    return x
 
-_VALUES = byte_values(1)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number; zeros stand behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    have = len(_powers[0])
-    if have < n:
-        n = max(n, BLOCK_BYTES + 4096)
-        for k, b in enumerate((_BASE, _BASE_INVERSE)):
-            out = np.empty(n, _U)
-            out[0] = 1
-            size = 1
-            while size < n:
-                step = _U(pow(b, size, 1 << 64))
-                more = min(size, n - size)
-                out[size : size + more] = out[:more] * step
-                size += more
-            _powers[k] = out
-    return _powers[0], _powers[1]
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end], by its bytes and their number alone.
 
-def prefix_hash(data: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """c such that span_hash(c, s, e) identifies data[s:e] wherever it stands."""
-    _, inverse = powers(len(data) + 1)
-    out = np.empty(len(data) + 1, _U)
-    out[0] = 0
-    np.cumsum((_VALUES if values is None else values)[data] * inverse[: len(data)], out=out[1:])
+    Eight bytes go in at a step and are mixed before the next, so that no pattern of symbols cancels out, as it can in a
+    polynomial modulo a power of two; spans above LONG bytes take a library's digest.
+    """
+    n = ends - starts
+    out = mix64(n.astype(_U) + _STEP)
+    word = _eights(data)
+    active = np.flatnonzero((n > 0) & (n <= LONG))
+    at, left, value = starts[active], n[active], out[active]
+    while len(active):
+        value = mix64(value * _STEP + (word[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.all():
+            out[active[~more]] = value[~more]
+            active, at, left, value = active[more], at[more], left[more], value[more]
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, _ = powers(len(c))
-    return mix64((c[ends] - c[starts]) * power[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+def hash_grams(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hash of the k bytes at each place that has so many."""
+    m = len(data) - k + 1
+    if m <= 0:
+        return np.zeros(0, _U)
+    word, out = _eights(data), np.full(m, k + (seed << 32), _U)
+    for at in range(0, k, 8):
+        own = word[at : at + m]
+        out *= _STEP
+        out += own if k - at >= 8 else own & _MASKS[k - at]
+        out = mix64(out)
+    return out
 
 
 def string_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -150,7 +168,7 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5, table: np.n
     starts, ends = words(low, offsets, table)
     doc = owners(offsets, starts)
     n_words = np.bincount(doc, minlength=len(offsets) - 1)
-    h = span_hash(prefix_hash(low), starts, ends)
+    h = hash_spans(low, starts, ends)
     if not len(h):
         return h, doc, n_words
     total = np.zeros(len(h), _U)

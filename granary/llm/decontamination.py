@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources import stage_boundary
 from ._arrow import map_batches, map_partition
-from ._kernel import LOWER, class_table, mix64, owners, prefix_hash, span_hash, text_blocks, words
+from ._kernel import LOWER, class_table, hash_spans, mix64, owners, text_blocks, words
 
 _U = np.uint64
 #: Words: letters, digits and characters beyond ASCII, in lower case (ASCII and Latin-1 letters); punctuation and layout never count.
@@ -35,7 +35,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     low[latin] += 0x20
     starts, ends = words(low, offsets, WORD_BYTES)
-    return span_hash(prefix_hash(low), starts, ends), owners(offsets, starts)
+    return hash_spans(low, starts, ends), owners(offsets, starts)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from ..sources import stage_boundary
 from ._arrow import map_partition
 from ._components import components
 from ._kernel import mix64, text_blocks, unique_by_group, word_shingles
-from ._packed import blobs, deal, exchange, map_packed, parts_of, unpack
+from ._packed import blobs, deal, exchange, map_packed, pack, parts_of, unpack
 from .substring_dedup import with_refs
 
 _U = np.uint64
@@ -20,22 +20,33 @@ _U = np.uint64
 BANDS, ROWS = 8, 5
 #: Documents and tokens of one block of a group; blocks are compared two by two, each pair in one task's memory.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
-#: Tokens whose frequency is known at most; it only orders tokens, so it changes no result.
-FREQUENT_TOKENS = 1 << 18
+#: Counters of the sketch of token frequencies, 8 MB in all; it only orders tokens, so it changes no result.
+SKETCH_BITS = 20
 #: A token's documents in one mapper's lot from which on they are counted.
 FREQUENT_IN_LOT = 8
+#: Band records that a mapper holds before it joins those of equal keys.
+LOT = 1 << 18
 #: Extra share of a document's tokens in its prefix; so many of them must be met.
 EXTRA = 0.05
-#: Rows of a table below which it is broadcast, and bytes assumed a row: 32 MB at most.
-BROADCAST_ROWS, ROW_BYTES = 1 << 20, 32
+#: Measured bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Documents compared with one leader in a task.
 CHUNK = 256
 
 
-def join_text(docs: DataFrame, table: DataFrame, on: str = "ref") -> DataFrame:
-    """docs with table's columns; texts stay where they are if the table, which is counted first, is small, and are shuffled else."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(table) if small else table, on)
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether a table, whose rows and bytes are summed first, may be broadcast."""
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    long += [8 * F.coalesce(F.size(c), F.lit(0)) for c, kind in table.dtypes if kind.startswith("array")]
+    size = F.lit(16 + 8 * len(table.columns)).cast("long")
+    for x in long:
+        size = size + x
+    return (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def join_text(docs: DataFrame, table: DataFrame, on: str = "ref", how: str = "inner") -> DataFrame:
+    """docs with table's columns; texts stay where they are if the table is small in bytes, and are shuffled else."""
+    return docs.join(F.broadcast(table) if fits_broadcast(table) else table, on, how)
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -55,18 +66,60 @@ def _sets(column, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield i, keys, doc, n_words
 
 
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x >> _U(17)) % _U(parts)).astype(np.int32)
+
+
+def star_links(key: np.ndarray, h: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each key's leader, as (key, class, weight), and links (leader, class) to the key's other classes, each once.
+
+    A class weighs as much as the classes that its keys are shared with: of many edited copies the common original keeps most of the shared keys,
+    so it leads, and links with copies that don't link with each other.  Joining leaders of several lots again ties all classes of a key
+    together, as they are in one list of a key at most as often as there are lots.
+    """
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))) if len(key) else np.zeros(0, bool)
+    weight = None if weight is None else np.maximum.reduceat(weight[order], np.flatnonzero(fresh)) if len(key) else weight
+    key, h = key[fresh], h[fresh]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    m = np.diff(np.append(first, len(key)))
+    if weight is None:
+        _, at = np.unique(h, return_inverse=True)
+        weight = np.bincount(at, weights=np.repeat(m - 1, m)).astype(np.int64)[at]
+    group = np.repeat(np.arange(len(first)), m)
+    best = np.lexsort((h, weight, group))[np.cumsum(m) - 1]  # of each key the heaviest, of equal ones the largest
+    leader = h[best]
+    rest = leader[group] != h
+    pairs = np.unique(np.stack((leader[group][rest], h[rest]), axis=1), axis=0)
+    return [key[first], leader, weight[best]], [pairs[:, 0], pairs[:, 1]]
+
+
+def sketch_counts(keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """(counter, sum) of the counters that keys fall on."""
+    at, inverse = np.unique((keys >> _U(64 - SKETCH_BITS)).astype(np.int32), return_inverse=True)
+    return [at, np.bincount(inverse, weights=n).astype(np.int64)]
+
+
 def describe_documents(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
-    """Kind 0: (document, set size, set's hash).  Kind 1: (band's key, set's hash).  Kind 2: tokens that a lot holds often."""
+    """Kind 0: (document, set size, set's hash).  Kind 1: (band's key, leading class, weight) of a mapper's lot.  Kind 2: counts of tokens that a lot holds often.
+    Kind 6: links (leader, class) of a lot's bands."""
 
     def partition(batches):
         held, tokens = [], []
 
         def lot():
-            if tokens:
-                key, n = np.unique(np.concatenate(tokens), return_counts=True)
-                tokens.clear()
-                often = n >= FREQUENT_IN_LOT
-                yield from deal(2, ((key[often] >> _U(17)) % _U(parts)).astype(np.int32), [key[often], n[often].astype(np.int64)])
+            key, n = np.unique(np.concatenate(tokens), return_counts=True)
+            tokens.clear()
+            often = n >= FREQUENT_IN_LOT
+            at, n = sketch_counts(key[often], n[often])
+            yield from deal(2, (at.astype(np.int64) * parts >> SKETCH_BITS).astype(np.int32), [at, n])
+
+        def bands():
+            lead, links = star_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            yield from deal(1, _part(lead[0], parts), lead)
+            yield from deal(6, _part(links[1], parts), links)
 
         for b in batches:
             refs = b.column(0).to_numpy(zero_copy_only=False)
@@ -83,18 +136,16 @@ def describe_documents(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
                         for row in range(ROWS):
                             key = mix64(key * _U(31) + np.minimum.reduceat(mix64(keys + _U(0x9E3779B97F4A7C15 * (band * ROWS + row + 1) % (1 << 64))), starts))
                         held.append([key, whole[some]])
-                yield from deal(0, ((whole >> _U(17)) % _U(parts)).astype(np.int32), [ref, size.astype(np.int64), whole])
+                yield from deal(0, _part(whole, parts), [ref, size.astype(np.int64), whole])
                 tokens.append(keys)
                 if sum(map(len, tokens)) > 1 << 21:
                     yield from lot()
-                if len(held) > 64 * BANDS:
-                    key, h = (np.concatenate(c) for c in zip(*held, strict=True))
-                    held.clear()
-                    yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h])
-        yield from lot()
+                if sum(len(x[0]) for x in held) > LOT:
+                    yield from bands()
+        if tokens:
+            yield from lot()
         if held:
-            key, h = (np.concatenate(c) for c in zip(*held, strict=True))
-            yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h])
+            yield from bands()
 
     return map_packed(docs, partition, "ref", "text")
 
@@ -113,34 +164,11 @@ def _rows(packed: DataFrame, kind: int, schema: str, kinds: list[str], parts: in
     return map_partition(exchange(own, parts) if parts else own, schema, partition)
 
 
-def shared_keys(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct (key, class, classes of the key) of keys that several classes share."""
-    key, h = cols
-    order = np.lexsort((h, key))
-    key, h = key[order], h[order]
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))) if len(key) else np.zeros(0, bool)
-    key, h = key[fresh], h[fresh]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    m = np.diff(np.append(first, len(key)))
-    m = np.repeat(m, m)
-    return [key[m > 1], h[m > 1], m[m > 1]]
-
-
-def band_stars(keys: DataFrame) -> DataFrame:
-    """(leader, class): each key's classes with the one whose keys are the most shared.
-
-    Of many edited copies the common original keeps most of the shared keys, so it leads, and links with copies that don't link with each other.
-    """
-    score = keys.groupBy("class").agg(F.sum("m").alias("score"))
-    scored = keys.join(score, "class")
-    lead = scored.groupBy("key").agg(F.max_by("class", F.struct("score", "class")).alias("leader"))
-    return keys.join(lead, "key").select("leader", "class").where("leader <> class").distinct()
-
-
-def _count_tokens(cols: list[np.ndarray]) -> list[np.ndarray]:
-    key, n = cols
-    u, at = np.unique(key, return_inverse=True)
-    return [u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)]
+def band_links(described: DataFrame, parts: int) -> DataFrame:
+    """(leader, class): a forest's links between classes that share a band, so that all of a band are in one tree."""
+    across = _rows(described, 1, "leader long, class long", ["<u8", "<u8", "<i8"], parts, lambda cols: star_links(*cols)[1])
+    within = _rows(described, 6, "leader long, class long", ["<u8", "<u8"], None)
+    return within.unionByName(across).distinct()
 
 
 def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, parts: int, sets=None) -> DataFrame:
@@ -180,13 +208,20 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int,
     return map_partition(rows, "a long, b long", partition)
 
 
-def frequent_tokens(described: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and their ranks, FREQUENT_TOKENS at most; used for an order alone."""
-    rows = _rows(described, 2, "token long, n long", ["<u8", "<i8"], parts, _count_tokens).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS)
-    table = rows.toPandas()
-    token = table["token"].to_numpy(np.int64).view(_U)
-    order = np.argsort(token)
-    return token[order], table["n"].to_numpy(np.int64)[order]
+def frequent_tokens(described: DataFrame, parts: int) -> np.ndarray:
+    """Counters of token frequencies, by the tokens' upper bits: of a fixed size, whatever the corpus.  Used for an order alone."""
+
+    def partition(batches):
+        at, n = unpack([b for _, b in blobs(batches).get(2, [])], ["<i4", "<i8"])
+        at, inverse = np.unique(at, return_inverse=True)
+        yield 2, 0, pack([at, np.bincount(inverse, weights=n).astype(np.int64)])
+
+    rows = map_packed(exchange(described.where(F.col("kind") == 2), parts), partition)
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in rows.select("blob").collect():  # 12 bytes a counter at most
+        at, n = unpack([r.blob], ["<i4", "<i8"])
+        out[at] = n
+    return out
 
 
 def prefix_extra(n: np.ndarray) -> np.ndarray:
@@ -197,7 +232,7 @@ def emit_prefixes(docs: DataFrame, frequent, shingle: int, percent: int, parts:
     """The token-group matrix's entries: each document's rarest tokens with its group and size."""
 
     def partition(batches):
-        token, often = frequent.value
+        often = frequent.value
         held = []
 
         def flush():
@@ -210,11 +245,7 @@ def emit_prefixes(docs: DataFrame, frequent, shingle: int, percent: int, parts:
             for i, keys, doc, n_words in _sets(b.column(1), shingle):
                 if not len(keys):
                     continue
-                rank = np.zeros(len(keys), np.int64)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, keys), len(token) - 1)
-                    rank = np.where(token[at] == keys, often[at], 0)
-                order = np.lexsort((keys, rank, doc))
+                order = np.lexsort((keys, often[keys >> _U(64 - SKETCH_BITS)], doc))
                 keys, doc = keys[order], doc[order]
                 size = np.bincount(doc, minlength=len(n_words))
                 first = np.concatenate(([0], np.cumsum(size)))[:-1]
@@ -300,8 +331,7 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts), release=True)
     meta = _rows(described, 0, "ref long, n long, class long", ["<i8", "<i8", "<u8"], None).distinct()
     classes = stage_boundary(meta.where("n > 0").groupBy("class").agg(F.min("ref").alias("rep"), F.first("n").alias("n")))
-    keys = stage_boundary(_rows(described, 1, "key long, class long, m long", ["<u8", "<u8"], parts, shared_keys))
-    stars = stage_boundary(band_stars(keys))
+    stars = stage_boundary(band_links(described, parts))
     lead = classes.select(F.col("class").alias("leader"), F.col("rep").alias("a"), F.col("n").alias("m"))
     proposed = stars.join(classes, "class").join(lead, "leader").where(fitting(percent)).select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     links = stage_boundary(verify_pairs(docs, proposed, shingle, percent, parts), release=True)
@@ -345,7 +375,7 @@ def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame
 
 
 def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between documents of different components in a cell, one for each two components.
+    """Links between documents of different components in a cell: those of a spanning forest, so fewer than the cell has components.
 
     Documents whose overlap with the other side's token union can't reach the bound are left out, until none is.
     """
@@ -374,7 +404,7 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
     columns = np.flatnonzero(side[keep] == 1) if two else rows
     order = np.argsort(at, kind="stable")
     at, doc = at[order], doc[order]
-    size, component, out = n[keep], known[keep], {}
+    size, component, out = n[keep], known[keep].copy(), []
     for low in range(0, len(rows), 512):
         lot = rows[low : low + 512]
         common = np.zeros((len(lot), len(columns)), np.float32)
@@ -396,10 +426,14 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
             common += x @ y.T
         common = common.astype(np.int64)
         fits = (100 * common >= percent * (size[lot][:, None] + size[columns][None] - common)) & (component[lot][:, None] != component[columns][None])
-        for a, b in zip(*np.nonzero(fits), strict=True):
-            p, q = int(lot[a]), int(columns[b])
-            out.setdefault((min(component[p], component[q]), max(component[p], component[q])), (int(ref[keep[p]]), int(ref[keep[q]])))
-    return list(out.values())
+        for p, fit in zip(lot.tolist(), fits, strict=True):
+            met = columns[fit & (component[columns] != component[p])]
+            if len(met):
+                joined, first = np.unique(component[met], return_index=True)
+                out += [(int(ref[keep[p]]), int(ref[keep[q]])) for q in met[first].tolist()]
+                joined = np.append(joined, component[p])
+                component[np.isin(component, joined)] = joined.min()
+    return out
 
 
 def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets=None) -> DataFrame:

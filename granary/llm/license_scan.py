@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_batches
-from ._kernel import LOWER, class_table, owners, prefix_hash, span_hash, text_blocks, words
+from ._kernel import LOWER, class_table, hash_spans, owners, text_blocks, words
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text in lower case.
 WORD_BYTES = ~class_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -134,7 +134,7 @@ class Index:
             self.pairs[x[:-1], x[1:]] = True
         raw = np.frombuffer(b"".join(self.vocabulary), np.uint8)
         ends = np.cumsum([len(w) for w in self.vocabulary])
-        hashes = span_hash(prefix_hash(raw), np.concatenate(([0], ends[:-1])), ends)
+        hashes = hash_spans(raw, np.concatenate(([0], ends[:-1])), ends)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.phrase_state = []
@@ -225,7 +225,7 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
             out["n_words"][i:j] = np.bincount(doc, minlength=j - i).tolist()
             if len(starts) < 2:
                 continue
-            number = index.numbers(span_hash(prefix_hash(low), starts, ends))
+            number = index.numbers(hash_spans(low, starts, ends))
             good = index.pairs[number[:-1], number[1:]] & (doc[:-1] == doc[1:])
             edge = np.diff(np.concatenate(([0], good.view(np.int8), [0])))
             first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=j - i))))

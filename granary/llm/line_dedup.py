@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..sources import stage_boundary
 from ._arrow import map_batches
 from ._components import components
-from ._kernel import LOWER, NOT_SPACE, buffers, mix64, prefix_hash, span_hash, string_column, text_blocks, unique_by_group, words
+from ._kernel import LOWER, NOT_SPACE, buffers, hash_spans, mix64, string_column, text_blocks, unique_by_group, words
 from ._packed import blobs, deal, exchange, map_packed, parts_of, unpack
-from .jaccard_join import BROADCAST_ROWS, _rows, band_stars, compare_cells, join_text, lay_out_cells, shared_keys, verify_pairs
+from .jaccard_join import LOT, _rows, compare_cells, join_text, lay_out_cells, star_links, verify_pairs
 from .substring_dedup import _ranges, by_document, with_refs
 
 _U = np.uint64
@@ -36,11 +36,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, a, z, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _grams(low: np.ndarray, a: np.ndarray, z: np.ndarray, k: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(low: np.ndarray, a: np.ndarray, z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle and its line."""
     count = np.maximum(z - a - k + 1, 1)
     at = _ranges(a, count)
-    return span_hash(c, at, np.minimum(at + k, np.repeat(z, count))), np.repeat(np.arange(len(a)), count)
+    return hash_spans(low, at, np.minimum(at + k, np.repeat(z, count))), np.repeat(np.arange(len(a)), count)
 
 
 def signatures(gram: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -73,16 +73,24 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
-    """Kind 0: every line's (hash, document, start, length).  Kind 1: (band's key, hash), once for each different line of a lot."""
+    """Kind 0: the first place of each line in a lot, as (hash, document, start, length).  Kind 2: its other places, (document, start).  Kind 1: (band's key, leading line, weight) of a mapper's lot.  Kind 6: links (leader, line) of a lot's bands."""
 
     def partition(batches):
         seen: set[int] = set()
         held: list[list[np.ndarray]] = []
+        places: list[list[np.ndarray]] = []
+
+        def firsts():
+            first, ref, start = one_place(*(np.concatenate(c) for c in zip(*places, strict=True)))
+            places.clear()
+            yield from deal(0, ((first[0] >> _U(17)) % _U(parts)).astype(np.int32), first)
+            yield from deal(2, ((mix64(ref.astype(_U)) >> _U(33)) % _U(parts)).astype(np.int32), [ref, start])
 
         def flush():
-            key, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            lead, links = star_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
             held.clear()
-            yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h])
+            yield from deal(1, ((lead[0] >> _U(17)) % _U(parts)).astype(np.int32), lead)
+            yield from deal(6, ((links[1] >> _U(17)) % _U(parts)).astype(np.int32), links)
 
         for b in batches:
             refs = b.column(0).to_numpy(zero_copy_only=False)
@@ -91,10 +99,10 @@ def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
                 starts, a, z, doc = lines_of(low, offs)
                 if not len(a):
                     continue
-                c = prefix_hash(low)
-                h = span_hash(c, a, z)
-                part = ((mix64(h) >> _U(17)) % _U(parts)).astype(np.int32)
-                yield from deal(0, part, [h, refs[i + doc], starts - offs[doc], z - starts])
+                h = hash_spans(low, a, z)
+                places.append([h, refs[i + doc], starts - offs[doc], z - starts])
+                if sum(len(x[0]) for x in places) > LOT:
+                    yield from firsts()
                 _, first = np.unique(h, return_index=True)
                 new = np.array([k for k in first.tolist() if int(h[k]) not in seen], np.int64)
                 if len(seen) > 1 << 19:
@@ -102,34 +110,43 @@ def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
                 seen.update(h[new].tolist())
                 if not len(new):
                     continue
-                gram, line = _grams(low, a[new], z[new], shingle, c)
+                gram, line = _grams(low, a[new], z[new], shingle)
                 keys = band_keys(signatures(gram, line, len(new)))
                 held.append([keys.ravel(), np.repeat(h[new], BANDS)])
                 if sum(len(x[0]) for x in held) > 1 << 20:
                     yield from flush()
         if held:
             yield from flush()
+        if places:
+            yield from firsts()
 
     return map_packed(docs, partition, "ref", "text")
 
 
-def shared_bands(described: DataFrame, parts: int) -> DataFrame:
+def one_place(h: np.ndarray, ref: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each line's first place, and document and start of its other places; a place that was read twice is one."""
+    order = np.lexsort((start, ref, h))
+    h, ref, start, length = h[order], ref[order], start[order], length[order]
+    same = np.concatenate(([False], h[1:] == h[:-1])) if len(h) else np.zeros(0, bool)
+    rest = same.copy()
+    rest[1:] &= (ref[1:] != ref[:-1]) | (start[1:] != start[:-1])
+    return [h[~same], ref[~same], start[~same], length[~same]], ref[rest], start[rest]
+
+
+def first_places(described: DataFrame, parts: int) -> DataFrame:
     """Kind 0: each different line's first place, as (hash, document, start, length).  Kind 2: its other places, (document, start).
-    Kind 1: bands that several lines share, as (key, hash, lines of the band)."""
+    Kind 6: links (leader, line) of bands, those of one lot and those between lots."""
 
     def partition(batches):
         own = blobs(batches)
-        h, ref, start, length = unpack([b for _, b in own.pop(0, [])], ["<u8", "<i8", "<i8", "<i8"])
-        if len(h):
-            order = np.lexsort((start, ref, h))
-            h, ref, start, length = h[order], ref[order], start[order], length[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            again = np.concatenate(([False], (h[1:] == h[:-1]) & (ref[1:] == ref[:-1]) & (start[1:] == start[:-1])))
-            rest = ~first & ~again
-            yield from deal(0, ((h[first] >> _U(17)) % _U(parts)).astype(np.int32), [h[first], ref[first], start[first], length[first]])
-            yield from deal(2, ((mix64(ref[rest].astype(_U)) >> _U(33)) % _U(parts)).astype(np.int32), [ref[rest], start[rest]])
-        key, h, m = shared_keys(unpack([b for _, b in own.pop(1, [])], ["<u8", "<u8"]))
-        yield from deal(1, ((key >> _U(17)) % _U(parts)).astype(np.int32), [key, h, m])
+        first, ref, start = one_place(*unpack([b for _, b in own.pop(0, [])], ["<u8", "<i8", "<i8", "<i8"]))
+        yield from deal(0, ((first[0] >> _U(17)) % _U(parts)).astype(np.int32), first)
+        yield from deal(2, ((mix64(ref.astype(_U)) >> _U(33)) % _U(parts)).astype(np.int32), [ref, start])
+        _, links = star_links(*unpack([b for _, b in own.pop(1, [])], ["<u8", "<u8", "<i8"]))
+        yield from deal(6, ((links[1] >> _U(17)) % _U(parts)).astype(np.int32), links)
+        for kind in (2, 6):
+            for part, blob in own.get(kind, []):
+                yield kind, part, blob
 
     return map_packed(exchange(described, parts), partition)
 
@@ -139,7 +156,7 @@ def line_sets(column, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
     for i, j, data, offs in text_blocks(column):
         low = LOWER[data]
         _, a, z, doc = lines_of(low, offs)
-        gram, line = _grams(low, a, z, shingle, prefix_hash(low)) if len(a) else (np.zeros(0, _U), np.zeros(0, np.int64))
+        gram, line = _grams(low, a, z, shingle) if len(a) else (np.zeros(0, _U), np.zeros(0, np.int64))
         keys, owner = unique_by_group(gram, doc[line] if len(a) else line)
         yield i, keys, owner, np.zeros(j - i, np.int64)
 
@@ -180,12 +197,11 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     """
     parts = parts_of(df)
     docs = with_refs(df, text, doc_id, keep)
-    described = stage_boundary(shared_bands(describe_lines(docs, shingle, parts), parts), release=True)
+    described = stage_boundary(first_places(describe_lines(docs, shingle, parts), parts), release=True)
     firsts = _rows(described, 0, "hash long, ref long, start long, length long", ["<u8", "<i8", "<i8", "<i8"], None)
     later = _rows(described, 2, "ref long, start long", ["<i8", "<i8"], None)
-    keys = _rows(described, 1, "key long, class long, m long", ["<u8", "<u8", "<i8"], None)
-    stars = stage_boundary(band_stars(keys))
-    wanted = firsts.join(keys.select(F.col("class").alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
+    stars = stage_boundary(_rows(described, 6, "leader long, class long", ["<u8", "<u8"], None).distinct())
+    wanted = firsts.join(stars.select(F.explode(F.array("leader", "class")).alias("hash")).distinct(), "hash").select("hash", "ref", "start", "length")
     candidates = stage_boundary(line_texts(docs.select("ref", "text"), wanted, parts), release=True)
     links = stage_boundary(verify_pairs(candidates, stars.select(F.col("leader").alias("a"), F.col("class").alias("b")), shingle, percent, parts, line_sets))
     known, family = components(links), components(stars, "leader", "class").select(F.col("node").alias("ref"), F.col("root").alias("gid"))
@@ -196,11 +212,9 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     member = firsts.join(roots, F.col("hash") == F.col("node")).select("root", F.struct("ref", "start").alias("place"))
     keeper = member.groupBy("root").agg(F.min("place").alias("keep"))
     lost = member.join(keeper, "root").where("place <> keep").select("place.ref", "place.start")
-    drops = later.unionByName(lost).groupBy("ref").agg(F.sort_array(F.collect_list("start")).alias("drops"))
+    drops = later.unionByName(lost).groupBy("ref").agg(F.sort_array(F.collect_set("start")).alias("drops"))
     drops = stage_boundary(drops, release=True)
-    small = drops.agg(F.sum(F.size("drops") + 4)).first()[0] or 0
-    small = small <= 4 * BROADCAST_ROWS  # 8 bytes each
-    joined = docs.join(F.broadcast(drops) if small else drops, "ref", "left")
+    joined = join_text(docs, drops, how="left")
 
     def batch(b):
         column = string_column(b.column(1))

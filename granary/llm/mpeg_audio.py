@@ -156,26 +156,30 @@ def parse_stream(data: bytes) -> Stream:
 
     Bytes that belong to no frame or tag are skipped until a valid header stands
     whose successor is a valid header of the same kind, or the stream's end.
+    Frames win over tags: the last 128 bytes are an ID3v1 tag only where no frame covers their beginning.
     Durations are exact: samples over rate.  Empty input gives no frames.
     """
     s = Stream()
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        s.tags["TAG"] = bytes(data[end - 128 :])
-        end -= 128
+    tag = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     p = parse_id3v2(data, 0, s.tags)
     kind = None
     first = sought = True
     while p + 4 <= end:
+        if p == tag:
+            s.tags["TAG"] = bytes(data[tag:])
+            p = end
+            break
         h = parse_header(data[p : p + 4])
         good = h is not None and p + h.size <= end and (kind is None or (h.version, h.layer, h.rate) == kind)
-        if good and sought and p + h.size + 4 <= end:
+        if good and sought and p + h.size != tag and p + h.size + 4 <= end:
             after = parse_header(data[p + h.size : p + h.size + 4])
             good = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         if not good:  # resynchronise
             sought = True
             q = data.find(b"\xff", p + 1, end)
             q = end if q < 0 else q
+            q = tag if p < tag < q else q
             s.skipped += q - p
             p = q
             continue

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..sources import stage_boundary
 from ._anchors import anchored_runs
 from ._arrow import map_batches, map_partition
-from ._kernel import buffers, mix64, prefix_hash, span_hash, text_blocks
+from ._kernel import buffers, hash_spans, mix64, text_blocks
 from ._packed import blobs, deal, exchange, map_packed, pack, parts_of, unpack
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -92,11 +92,10 @@ def find_anchors(docs: DataFrame, width: int, parts: int) -> DataFrame:
             for i, _, data, offs in text_blocks(b.column(1)):
                 if len(data) < width:
                     continue
-                c = prefix_hash(data)
-                key, first, last = anchored_runs(data, offs, width, GRAM, 0, c)
+                key, first, last = anchored_runs(data, offs, width, GRAM)
                 doc = np.searchsorted(offs, first, side="right") - 1
                 end = last + width
-                held.append([key, span_hash(c, first, end), refs[i + doc], first - offs[doc], (end - first).astype(np.int32)])
+                held.append([key, hash_spans(data, first, end), refs[i + doc], first - offs[doc], (end - first).astype(np.int32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:

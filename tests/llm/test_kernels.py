@@ -48,9 +48,33 @@ def test_word_shingles(rows):
 
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"one two one two one", np.uint8)
-    c = _kernel.prefix_hash(data)
-    h = _kernel.span_hash(c, np.array([0, 8, 16, 4]), np.array([3, 11, 19, 7]))
+    h = _kernel.hash_spans(data, np.array([0, 8, 16, 4]), np.array([3, 11, 19, 7]))
     assert h[0] == h[1] == h[2] != h[3]
+    assert (_kernel.unmix64(_kernel.mix64(h)) == h).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=2, max_size=12), st.integers(1, 20))
+def test_hashes_tell_spans_apart(rows, k):
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.cumsum([len(r) for r in rows])
+    h = _kernel.hash_spans(data, ends - [len(r) for r in rows], ends).tolist()
+    assert all((a == b) == (x == y) for a, x in zip(h, rows, strict=True) for b, y in zip(h, rows, strict=True))
+    grams, own = _kernel.hash_grams(data, k).tolist(), [data[i : i + k].tobytes() for i in range(len(data) - k + 1)]
+    assert len(grams) == len(own) and len(set(grams)) == len(set(own))
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_hashes_of_words_that_cancel_out_in_polynomials():
+    for n in (64, 512, 1024, 4096):
+        rows = [thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n, "abcdefgh", "ABCDEFGH"), thue_morse(n, "ABCDEFGH", "abcdefgh")]
+        data, offs = _kernel.buffers(pa.array(rows))
+        assert len(set(_kernel.hash_spans(data, offs[:-1], offs[1:]).tolist())) == 4
+        keys, doc, _ = _kernel.word_shingles(data, offs)
+        assert len(set(keys.tolist())) == 3  # the last two are equal in lower case
 
 
 @settings(max_examples=60, deadline=None)
