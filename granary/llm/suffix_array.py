@@ -1,12 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, in array steps."""
+"""Suffix arrays by induced sorting, recursive at every alphabet, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this are induced bucket by bucket; a reduced string with more names is ranked by doubling,
-#: as a step of interpreted code a bucket could not be paid for there.
-BUCKETS = 4096
+#: Places of the array that a step of the induction looks at first; it grows while buckets don't feed one another.
+WINDOW = 4096
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -29,64 +28,102 @@ def leftmost(types: np.ndarray) -> np.ndarray:
     return np.flatnonzero(types[1:] & ~types[:-1]) + 1
 
 
-def _deal(p: np.ndarray, symbols: np.ndarray, to: list[list[np.ndarray]]) -> None:
-    order = np.argsort(symbols, kind="stable")
-    p, symbols = p[order], symbols[order]
-    cut = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    starts = [0, *cut.tolist()]
-    for s, e, c in zip(starts, [*starts[1:], len(p)], symbols[starts].tolist(), strict=True):
-        to[c].append(p[s:e])
-
-
-def _gather(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int64)
-
-
-def induce(t: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from leftmost S-type ones given by symbol; in true order where lms is."""
+def _put(out: np.ndarray, free: np.ndarray, p: np.ndarray, c: np.ndarray, down: bool) -> None:
+    """Suffixes p to the next free places of their buckets c, in order; downwards from the bucket's end, or upwards."""
+    if not len(p):
+        return
+    order = np.argsort(c, kind="stable")
+    p, c = p[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+    count = np.diff(np.append(first, len(c)))
+    step = np.arange(len(c)) - np.repeat(first, count)
+    at = np.repeat(free[c[first]], count)
+    out[at - 1 - step if down else at + step] = p
+    free[c[first]] += -count if down else count
+
+
+def _run(out: np.ndarray, free: np.ndarray, c: int, held: np.ndarray, fits: np.ndarray, t: np.ndarray, down: bool) -> None:
+    """Suffixes that a bucket induces into itself, from those it holds: one more symbol of a run at a step."""
+    while len(held):
+        p = held[held > 0] - 1
+        held = p[fits[p] & (t[p] == c)]
+        n = len(held)
+        if down:
+            out[free[c] - n : free[c]] = held[::-1]
+            free[c] -= n
+        else:
+            out[free[c] : free[c] + n] = held
+            free[c] += n
+
+
+def induce(t: np.ndarray, k: int, lms: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from leftmost S-type ones; in true order where lms is.  rising: types by place.
+
+    Buckets are passed in order, as many at a step as don't feed one another: one of them in a small alphabet, hundreds in a large one.
+    """
     n = len(t)
-    by_symbol: list[list[np.ndarray]] = [[] for _ in range(k)]
-    if len(lms):
-        _deal(lms, t[lms], by_symbol)
-    low: list[list[np.ndarray]] = [[] for _ in range(k)]
-    low[int(t[n - 1])].append(np.array([n - 1]))
-    larger: list[np.ndarray] = []
-    for c in range(k):
-        parts = low[c]
-        front = _gather(parts)
-        parts = [front]
-        while len(front):
-            front = front[front > 0] - 1
-            front = front[t[front] == c]
-            parts.append(front)
-        bucket = _gather(parts)
-        larger.append(bucket)
-        source = np.concatenate((bucket, _gather(by_symbol[c])))
-        if len(source):
-            p = source[source > 0] - 1
-            s = t[p]
-            keep = s > c
-            if keep.any():
-                _deal(p[keep], s[keep], low)
-    high: list[list[np.ndarray]] = [[] for _ in range(k)]
-    smaller: list[np.ndarray] = [None] * k  # type: ignore[list-item]
-    for c in range(k - 1, -1, -1):
-        front = _gather(high[c])
-        parts = [front]
-        while len(front):
-            front = front[front > 0] - 1
-            front = front[t[front] == c]
-            parts.append(front)
-        bucket = _gather(parts)
-        smaller[c] = bucket[::-1]
-        source = np.concatenate((bucket, larger[c][::-1]))
-        if len(source):
-            p = source[source > 0] - 1
-            s = t[p]
-            keep = s < c
-            if keep.any():
-                _deal(p[keep], s[keep], high)
-    return np.concatenate([x for c in range(k) for x in (larger[c], smaller[c])])
+    start = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=k))))
+    out = np.full(n, -1)
+    tails = start[1:].copy()
+    _put(out, tails, lms[::-1], t[lms[::-1]], True)
+    heads, falling = start[:-1].copy(), ~rising
+    _put(out, heads, np.array([n - 1]), t[n - 1 :], False)
+    low, window = 0, WINDOW
+    while low < k:  # larger suffixes, from the front
+        high = max(low + 1, int(np.searchsorted(start, start[low] + window, "right")) - 1)
+        source = out[start[low] : start[high]]
+        source = source[source > 0]
+        keep = falling[source - 1]
+        bucket, p = t[source[keep]], source[keep] - 1
+        c = t[p]
+        least = np.minimum.accumulate(c)
+        fed = np.flatnonzero(least <= bucket)
+        if len(fed):
+            high = int(least[fed[0]])
+            window = max(256, 2 * int(start[high] - start[low]))
+            if high == low:
+                _run(out, heads, low, out[start[low] : heads[low]], falling, t, False)
+                high = low + 1
+                source = out[start[low] : start[high]]
+                p = source[source > 0] - 1
+                p = p[falling[p]]
+                p = p[t[p] > low]
+            else:
+                p = p[bucket < high]
+            c = t[p]
+        else:
+            window *= 2
+        _put(out, heads, p, c, False)
+        low = high
+    out[(out >= 0) & rising[out]] = -1
+    tails, high, window = start[1:].copy(), k, WINDOW
+    while high > 0:  # smaller suffixes, from the back
+        low = min(high - 1, int(np.searchsorted(start, start[high] - window, "left")))
+        source = out[start[low] : start[high]][::-1]
+        source = source[source > 0]
+        keep = rising[source - 1]
+        bucket, p = t[source[keep]], source[keep] - 1
+        c = t[p]
+        most = np.maximum.accumulate(c)
+        fed = np.flatnonzero(most >= bucket)
+        if len(fed):
+            low = int(most[fed[0]]) + 1
+            window = max(256, 2 * int(start[high] - start[low]))
+            if low == high:
+                low = high - 1
+                _run(out, tails, low, out[tails[low] : start[high]][::-1], rising, t, True)
+                source = out[start[low] : start[high]][::-1]
+                p = source[source > 0] - 1
+                p = p[rising[p]]
+                p = p[t[p] < low]
+            else:
+                p = p[bucket >= low]
+            c = t[p]
+        else:
+            window *= 2
+        _put(out, tails, p, c, True)
+        high = low
+    return out
 
 
 def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -110,57 +147,24 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(name[-1]) + 1
 
 
-def _double(r: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of r by rank doubling; settled ranks are left alone."""
-    m = len(r)
-    order = np.argsort(r, kind="stable")
-    ranked = r[order]
-    start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    rank = np.empty(m, np.int64)
-    rank[order] = np.repeat(start, np.diff(np.append(start, m)))
-    size = np.diff(np.append(start, m))
-    groups = np.repeat(size > 1, size)
-    active = np.flatnonzero(groups)  # places in order whose rank is shared
-    h = 1
-    while len(active):
-        suffix = order[active]
-        first = rank[suffix]
-        ahead = suffix + h
-        second = np.where(ahead < m, rank[np.minimum(ahead, m - 1)] + 1, 0)
-        key = first * (m + 1) + second
-        o = np.argsort(key, kind="stable")
-        suffix, key = suffix[o], key[o]
-        order[active] = suffix
-        fresh = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.flatnonzero(fresh)
-        width = np.diff(np.append(at, len(key)))
-        rank[suffix] = np.repeat(active[at], width)
-        active = active[np.repeat(width > 1, width)]
-        h *= 2
-    return order
-
-
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     """Start of each suffix of t, in order; a suffix that is a prefix of another comes first."""
     n = len(t)
     if n == 0:
         return np.zeros(0, np.int64)
     k = int(t.max()) + 1 if k is None else k
-    if k > BUCKETS:
-        return _double(t)
     types = classify(t)
     lms = leftmost(types)
     if len(lms) > 1:
         mark = np.zeros(n, bool)
         mark[lms] = True
-        order = induce(t, k, lms)
+        order = induce(t, k, lms, types)
         order = order[mark[order]]
         names, count = _names(t, lms, order)
-        if count < len(lms):
-            order = lms[suffix_array(names, count)]
+        order = lms[suffix_array(names, count)] if count < len(lms) else order
     else:
         order = lms
-    return induce(t, k, order)
+    return induce(t, k, order, types)
 
 
 def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

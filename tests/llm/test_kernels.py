@@ -26,11 +26,26 @@ def test_suffix_array(data, fold, few):
             assert common[y] == n
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=2, max_size=60))
-def test_reduced_strings_by_doubling(values):
-    t = np.array(values)
-    assert suffix_array._double(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(1, 400))
+def test_suffix_array_of_large_alphabets(values, stretch):
+    t = np.array(values) * stretch * 7
+    want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert suffix_array.suffix_array(t).tolist() == want
+    types = suffix_array.classify(t)
+    lms = suffix_array.leftmost(types)
+    order = np.array(sorted(lms.tolist(), key=lambda i: t[i:].tolist()), np.int64)
+    assert suffix_array.induce(t, int(t.max()) + 1, order, types).tolist() == want
+
+
+def test_suffix_array_recurses_by_induction():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(4000)]
+    t = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 4000, 9000)), np.uint8)
+    sa = suffix_array.suffix_array(t, 256)
+    raw = t.tobytes()
+    assert sorted(sa.tolist()) == list(range(len(t)))
+    assert all(raw[x:] < raw[y:] for x, y in zip(sa[:-1:97].tolist(), sa[1::97].tolist(), strict=False))
 
 
 @settings(max_examples=60, deadline=None)
