@@ -93,6 +93,7 @@ def induce(t: np.ndarray, k: int, lms: np.ndarray, rising: np.ndarray) -> np.nda
             c = t[p]
         else:
             window *= 2
+            high = min(high, int(least[-1])) if len(c) else high  # empty buckets may be fed, too
         _put(out, heads, p, c, False)
         low = high
     out[(out >= 0) & rising[out]] = -1
@@ -121,6 +122,7 @@ def induce(t: np.ndarray, k: int, lms: np.ndarray, rising: np.ndarray) -> np.nda
             c = t[p]
         else:
             window *= 2
+            low = max(low, int(most[-1]) + 1) if len(c) else low
         _put(out, tails, p, c, True)
         high = low
     return out

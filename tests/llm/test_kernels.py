@@ -124,6 +124,17 @@ def test_mpeg_round_trip(payload, junk):
     assert s.vbr["frames"] == len(s.offsets) and s.samples == 1152 * len(s.offsets)
 
 
+def test_mpeg_round_trip_of_marks_at_all_offsets():
+    for mark in (b"TAG", b"ID3\x03\0\0\0\0\0\x10", b"Xing\0\0\0\x0f", b"\xff\xfa\x90\x00", b"\xff\xfb\x90\x64"):
+        for at in range(140):
+            for size in (192, 448, 1984):
+                payload = bytearray(b"x" * size)
+                payload[size - 140 + at : size] = (mark + b"x" * 140)[: 140 - at]
+                payload = bytes(payload)
+                stored = mpeg_audio.store_payload(payload)
+                assert mpeg_audio.read_payload(stored, mpeg_audio.parse_stream(stored)) == payload
+
+
 def test_mpeg_resynchronisation_and_damage():
     stored = mpeg_audio.store_payload(bytes(range(250)) * 30)
     s = mpeg_audio.parse_stream(stored)
