@@ -23,6 +23,8 @@ _U = np.uint64
 LINKS, OWNED, ASKS, ANSWERS, OPEN = range(5)
 #: Rounds between two lineage cuts.
 ROUNDS = 2
+#: Links of a part that are worth a task; fewer parts than the session's do for fewer links.
+PART_LINKS = 1 << 16
 
 
 def _owner(label: np.ndarray, parts: int) -> np.ndarray:
@@ -150,9 +152,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Labels are hashed nodes, so that chains of least neighbours are short whatever the nodes' order; rounds grow as a logarithm.
     A round is two exchanges of packed labels; ROUNDS of them are one job, cut by a checkpoint, and the last one's open parts tell whether
-    another is needed.  Links of a node to itself and repeated ones don't matter; nodes without links have no row.
+    another is needed.  Links of a node to itself and repeated ones don't matter; nodes without links have no row.  links is read twice, so give a
+    table or a checkpoint: its count tells how many parts the rounds need, as many as the session's shuffle partitions at most.
     """
-    parts = parts_of(links)
+    parts = min(parts_of(links), max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // PART_LINKS)))
 
     def to_packed(batches):
         for k, batch in enumerate(batches):
