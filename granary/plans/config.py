@@ -73,10 +73,12 @@ class RunConfig:
 
 
 def guard_output(spark: SparkSession, config: RunConfig) -> None:
-    """Prepare an output folder: never a broad one, cleared on overwrite, reused only by the same run that resumes."""
-    plain = config.output.removeprefix("file://").rstrip("/") or "/"
-    if plain in {"/", os.path.expanduser("~").rstrip("/"), os.getcwd().rstrip("/")}:
-        raise ValueError(f"refusing the broad output folder {plain}")
+    """Prepare an output folder: never one that holds the home or working folder, cleared on overwrite, reused only by the same run that resumes."""
+    scheme, _, rest = config.output.rpartition(":")
+    if scheme in ("", "file"):
+        own = os.path.realpath(os.path.expanduser("/" + rest.lstrip("/") if scheme else rest))
+        if any(os.path.commonpath((own, os.path.realpath(x))) == own for x in (os.getcwd(), os.path.expanduser("~"))):
+            raise ValueError(f"refusing the broad output folder {own}")
     place = f"{config.output}/run_config.json"
     if config.overwrite and exists(spark, config.output):
         remove(spark, config.output)
