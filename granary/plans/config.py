@@ -61,6 +61,7 @@ class RunConfig:
             raise ValueError("single-process debugging and parallel loading are for replicated runs")
         if self.push_to is not None:
             two_parts(self.push_to)
+            raise ValueError("push_to: there is no upload service here; copy the artifact's folder, its manifest last")
         if spark is not None and not exists(spark, self.input):
             raise FileNotFoundError(self.input)
         return replace(self, buckets=normalized_buckets(self.buckets))
@@ -86,7 +87,7 @@ def guard_output(spark: SparkSession, config: RunConfig) -> None:
         write_document(spark, place, config.planned())
         return
     if read_document(spark, place) != config.planned():
-        raise ValueError(f"{config.output} belongs to a different run")
+        raise ValueError(f"{config.output} holds what other options made")
     if not config.resume:
         raise FileExistsError(f"{config.output} has a run; resume or overwrite it")
 

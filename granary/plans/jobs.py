@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.buckets import assign_bucket
+from ..functions.tensors import require_finite
 from ..functions.text import token_count
 from ..operators import integrity, packing, records
 from ..sources import artifact, stage_boundary
@@ -47,32 +48,35 @@ def infer(df: DataFrame, produce: Producer, text: str = "text") -> DataFrame:
 
 
 def plan_extraction(rows: DataFrame, config: RunConfig, done: DataFrame | None = None) -> DataFrame:
-    """Records with bucket, rank, batch, shard and offset; those done already are left out and shards go on behind theirs."""
+    """Records with bucket, rank, batch, shard and offset; those done already are left out and each rank's shards go on behind its own."""
     r = records.with_digest(records.normalize_records(rows, text_column=config.text_column, answer_column=config.answer_column, view=config.view))
     r = r.withColumn("token_count", token_count(F.col("text")))
     bucket, cut = assign_bucket(F.col("token_count"), config.buckets)
     r = packing.with_ordinal(r.withColumn("bucket", bucket).withColumn("truncated_tokens", cut), "source_index")
     r = r.withColumn("rank", packing.rank_of(F.col("ordinal"), config.writers))
-    first = 0
     if done is not None:
         r = integrity.remaining(r, done)
-        first = packing.next_shard(done).first()[0]
-    return packing.with_shards(r, config.effective_batch, config.shard_size, by=["rank"], first=first)
+    r = packing.with_shards(r, config.effective_batch, config.shard_size, by=["rank"])
+    if done is None:
+        return r
+    behind = done.groupBy("rank").agg((F.max("shard") + 1).cast("long").alias("_behind"))  # a row per writer
+    return r.join(F.broadcast(behind), "rank", "left").withColumn("shard", F.col("shard") + F.coalesce("_behind", F.lit(0))).drop("_behind")
 
 
 def extract(spark: SparkSession, config: RunConfig, produce: Producer | None = None) -> dict[str, Any]:
-    """Scan, normalize, plan, infer, write shards, manifest; the manifest is returned."""
+    """Scan, normalize, plan, infer, write shards, manifest; the manifest is returned.  A vector that isn't finite stops the run before its shard is committed."""
     config = config.checked(spark)
     guard_output(spark, config)
-    done = artifact.read_shards(spark, config.output).select("source_index", "shard") if exists(spark, f"{config.output}/states") else None
+    done = artifact.read_shards(spark, config.output).select("source_index", "rank", "shard") if exists(spark, f"{config.output}/states") else None
     before = {r[0]: r[1] for r in artifact.read_shards(spark, config.output).groupBy("rank").count().collect()} if done is not None else {}
     done = stage_boundary(done) if done is not None else None
     plan = plan_extraction(load_rows(spark, config.input, config.start_index, config.max_samples), config, done)
     keep = ["source_index", "input_sha256", "token_count", "bucket", "truncated_tokens", "label", "rank", "shard", "offset", "embedding"]
-    artifact.write_shards(infer(plan, produce or stub_vectors(config.width)).select(*keep), config.output)
+    vectors = infer(plan, produce or stub_vectors(config.width)).withColumn("embedding", require_finite(F.array("embedding"))[0])
+    artifact.write_shards(vectors.select(*keep), config.output)
     df = artifact.read_shards(spark, config.output)
     reports = [{"rank": r[0], "records": r[1], "previously_completed": before.get(r[0], 0)} for r in df.groupBy("rank").count().collect()]
-    manifest = artifact.build_manifest(df, config.planned(), config.writers, reports)
+    manifest = artifact.build_manifest(df, config.planned(), config.writers, reports, artifact.shard_files(spark, config.output))
     write_document(spark, f"{config.output}/manifest.json", manifest)
     return manifest
 
@@ -99,8 +103,8 @@ def part_problems(spark: SparkSession, part: PartSpec, splits: Sequence[str], vi
             problems.append(f"{part.name}/{v}: {n} rows, not {part.end - part.start}")
         found = [
             integrity.row_problems(df, splits=splits, view=v).select(F.col("source_index").cast("string").alias("k"), "problem"),
-            integrity.prompt_mismatches(df).select(F.col("source_index").cast("string").alias("k"), F.lit("prejoined prompt mismatch").alias("problem")),
-            integrity.duplicates(df).select(F.col("source_index").cast("string").alias("k"), F.lit("duplicate source_index").alias("problem")),
+            integrity.prompt_mismatches(df).select(F.col("source_index").cast("string").alias("k"), F.lit("text is not the prompt of its fields").alias("problem")),
+            integrity.duplicates(df).select(F.col("source_index").cast("string").alias("k"), F.lit("source_index is there several times").alias("problem")),
             integrity.coverage_gaps(df, part.start, part.end).select(F.col("source_index").cast("string").alias("k"), "problem"),
         ]
         problems += [f"{part.name}/{v}: {r.problem}: {r.n} rows, the first is {r.k}" for r in integrity.problem_list(found).groupBy("problem").agg(F.count("*").alias("n"), F.min("k").alias("k")).orderBy("problem").collect()]

@@ -375,11 +375,11 @@ def _written_lines(spark: SparkSession, sf_dir: str) -> str:
     from ..sources.jsonl import write_objects
 
     path = _folder(spark, "lines")
-    write_objects(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    write_objects(read_table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id"), path)
     return path
 
 
-@query("jsonl_scan")
+@query("jsonl_scan", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS source_index, sha256(text) AS input_sha256 FROM documents")
 def jsonl_scan(spark, sf_dir):
     from ..sources.jsonl import load_rows
 
@@ -387,9 +387,53 @@ def jsonl_scan(spark, sf_dir):
     return records.normalize_records(rows).select("source_index", F.sha2("text", 256).alias("input_sha256"))
 
 
-@query("artifact_roundtrip")
+@query("artifact_roundtrip", f"WITH RECURSIVE {SQL_SHARDS} SELECT count(*) AS records, count(DISTINCT shard) AS num_shards, count(*) AS validated, true AS valid FROM plan")
 def artifact_roundtrip(spark, sf_dir):
     own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "artifact"), width=16, shard_size=SHARD)
     manifest = jobs.extract(spark, own)
     report = jobs.validate(spark, own)
     return spark.createDataFrame([(manifest["records"], manifest["num_shards"], report["records"], report["valid"])], "records long, num_shards long, validated long, valid boolean")
+
+
+SQL_SUMMARY = "'Summarize the following document in one or two concise sentences.' || chr(10) || 'Document:' || source || chr(10) || 'Summary:'"
+
+
+@query("prompt_mismatch", f"""WITH rows AS (SELECT doc_id, {SQL_SUMMARY} || ' ' || lang AS wanted, {SQL_SUMMARY} || CASE WHEN doc_id % 7 = 0 THEN '  ' ELSE ' ' END || lang || CASE WHEN doc_id % 11 = 0 THEN '!' ELSE '' END AS text FROM documents)
+SELECT doc_id AS source_index FROM rows WHERE text IS DISTINCT FROM wanted""")
+def prompt_mismatch(spark, sf_dir):
+    gap = F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(" ")
+    end = F.when(F.col("doc_id") % 11 == 0, "!").otherwise("")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("context"), F.concat(F.lit(" "), "lang", F.lit("\t")).alias("best_answer"), F.col("lang"))
+    d = d.select(F.col("doc_id").alias("source_index"), "context", "best_answer", F.concat(text_functions.summary_prompt(F.col("context")), gap, "lang", end).alias("text"))
+    return integrity.prompt_mismatches(d)
+
+
+@query("hidden_shape", "SELECT vec_id, len(embedding[1:32]) = 32 AND len(embedding[33:CASE WHEN vec_id % 5 = 0 THEN 63 ELSE 64 END]) = 32 AS fits FROM embeddings")
+def hidden_shape(spark, sf_dir):
+    second = F.slice("embedding", F.lit(33), F.when(F.col("vec_id") % 5 == 0, 31).otherwise(32))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", tensors.has_shape(F.array(F.slice("embedding", 1, 32), second), (2, 32)).alias("fits"))
+
+
+@query("layers_complete", "SELECT vec_id, len(list_filter([0, 1, 2, 3], lambda x: x <> vec_id % 6)) = 4 AS complete FROM embeddings")
+def layers_complete(spark, sf_dir):
+    held = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda x: x != F.col("vec_id") % 6)
+    by_layer = F.map_from_arrays(held, F.transform(held, lambda x: F.col("embedding")))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", tensors.complete_layers(by_layer, 4).alias("complete"))
+
+
+@query("bucket_histogram", f"WITH {SQL_TOKENS}, n AS (SELECT bucket, count(*) AS n FROM buck GROUP BY bucket) SELECT string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS bucket_counts FROM n")
+def bucket_histogram(spark, sf_dir):
+    entries = F.transform(F.map_entries("bucket_counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return integrity.histogram_map(token_rows(spark, sf_dir), "bucket").select(F.array_join(entries, ",").alias("bucket_counts"))
+
+
+@query("shard_names", "SELECT doc_id, printf('rank-%03d/shard-%05d', doc_id % 8, doc_id) AS name, doc_id AS number FROM documents")
+def shard_names(spark, sf_dir):
+    name = packing.shard_name(F.col("doc_id"), F.col("doc_id") % WRITERS)
+    return read_table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), packing.shard_number(name).alias("number"))
+
+
+@query("view_domain", "SELECT doc_id AS source_index, 'answer_view mismatch' AS problem FROM documents WHERE doc_id % 3 = 0")
+def view_domain(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), F.lit(1).alias("label"), F.when(F.col("doc_id") % 3 == 0, "fst").otherwise("full").alias("answer_view"))
+    return integrity.row_problems(d, ("source_index", "label"), view="full")

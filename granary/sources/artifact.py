@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tensors import has_shape, is_finite, offending_layers
 from ..operators.integrity import metadata_problems
 from ..operators.packing import shard_name
-from .jsonl import exists, read_document, write_document
+from .jsonl import exists, file_digests, read_document, write_document
 
 VECTORS = ("embedding", "hidden_states")
 
@@ -33,9 +33,21 @@ def shard_rows(df: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.concat(F.lit("states/"), shard_name(F.col("shard"), F.col("rank"))))
 
 
-def build_manifest(df: DataFrame, config: dict[str, Any], writers: int, reports: list[dict[str, Any]] = ()) -> dict[str, Any]:
-    """Config, totals and files of an artifact.  The result has a line per shard, as the artifact's index."""
-    files = [{"path": r.path, "rank": r.rank, "shard": r.shard, "rows": r.rows} for r in shard_rows(df).orderBy("path").toLocalIterator()]
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, shard, bytes, sha256) of the files of each shard; of several files, the digest of their sorted digests.  Shards are small, so their files are."""
+    files = file_digests(spark, f"{path}/states", "*.parquet")
+    number = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("long").alias(name)
+    each = files.select(number("rank"), number("shard"), "bytes", "sha256").groupBy("rank", "shard").agg(F.sum("bytes").alias("bytes"), F.sort_array(F.collect_list("sha256")).alias("_d"))
+    return each.select("rank", "shard", "bytes", F.when(F.size("_d") == 1, F.col("_d")[0]).otherwise(F.sha2(F.array_join("_d", "").cast("binary"), 256)).alias("sha256"))
+
+
+def build_manifest(df: DataFrame, config: dict[str, Any], writers: int, reports: list[dict[str, Any]] = (), contents: DataFrame | None = None) -> dict[str, Any]:
+    """Config, totals and files of an artifact, with bytes and digests if contents (shard_files) is given.  The result has a line per shard, as the artifact's index."""
+    rows = shard_rows(df)
+    if contents is not None:
+        rows = rows.join(contents, ["rank", "shard"], "left")
+    names = ["path", "rank", "shard", "rows"] + (["bytes", "sha256"] if contents is not None else [])
+    files = [r.asDict() for r in rows.select(*names).orderBy("path").toLocalIterator()]
     n = sum(f["rows"] for f in files)
     return config | {"status": "complete", "writer_count": writers, "records": n, "tensor_rows": n, "num_shards": len(files), "files": files, "rank_reports": sorted(reports, key=lambda r: r["rank"])}
 
@@ -53,6 +65,8 @@ def vector_problems(df: DataFrame, width: int, layers: int | None = None) -> Dat
 def validate_artifact(spark: SparkSession, path: str, width: int, layers: int | None = None, report: str | None = None) -> dict[str, Any]:
     """All problems of an artifact, gathered, not raised; the report has totals, histograms and problems.
 
+    Shards whose files have other bytes or another digest than the manifest says are problems; entries without a digest aren't compared.
+
     Shards that the manifest doesn't list are not looked at.
     """
     manifest = read_document(spark, f"{path}/manifest.json")
@@ -63,11 +77,14 @@ def validate_artifact(spark: SparkSession, path: str, width: int, layers: int |
     problems += [f"{name}: type is {kinds.get(name, 'missing')}, not {kind}" for name, kind in wanted.items() if kinds.get(name) != kind]
     out: dict[str, Any] = {"artifact": path, "writer_count": manifest["writer_count"], "records_per_rank": {}, "bucket_counts": {}, "records": 0, "shards": 0}
     if df is not None:
-        listed = spark.createDataFrame([(f["path"], f["rank"], f["shard"], f["rows"]) for f in manifest["files"]], "path string, rank int, shard long, listed long")
+        entries = [(f["path"], f["rank"], f["shard"], f["rows"], f.get("bytes"), f.get("sha256")) for f in manifest["files"]]
+        listed = spark.createDataFrame(entries, "path string, rank long, shard long, listed long, size long, digest string")
         held = shard_rows(df).select("path", "rows")
         lost = listed.join(held, "path", "left").where("rows IS NULL")
         problems += [f"missing shard {r.path}" for r in lost.orderBy("path").collect()]
-        own = df.withColumn("path", F.concat(F.lit("states/"), shard_name(F.col("shard"), F.col("rank")))).join(F.broadcast(listed.select("path")), "path", "left_semi")
+        now = listed.where("digest IS NOT NULL").join(shard_files(spark, path), ["rank", "shard"])
+        problems += [f"damaged shard {r.path}" for r in now.where("size <> bytes OR digest <> sha256").orderBy("path").toLocalIterator()]
+        own = df.withColumn("path", F.concat(F.lit("states/"), shard_name(F.col("shard"), F.col("rank")))).join(listed.select("path"), "path", "left_semi")
         tensors = own.groupBy(F.col("path").alias("shard")).agg(F.count("*").alias("rows"))
         metadata = df.select("source_index", "rank", F.concat(F.lit("states/"), shard_name(F.col("shard"), F.col("rank"))).alias("shard"), "offset")
         found = metadata_problems(metadata, tensors, manifest["writer_count"], manifest["records"], manifest["tensor_rows"])

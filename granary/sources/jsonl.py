@@ -86,15 +86,17 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def write_document(spark: SparkSession, path: str, value: Any) -> None:
-    """A JSON document with sorted keys in any store: written beside its place, then moved there."""
+    """A JSON document with sorted keys in any store: written beside its place, then renamed over it, so a reader sees the old one or the new one."""
     p, fs = _path(spark, path)
     beside = p.suffix(".tmp")
     out = fs.create(beside, True)
     out.write(bytearray((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"can't write {path}")
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    place = fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), place, options)
 
 
 def read_document(spark: SparkSession, path: str) -> Any:
@@ -112,17 +114,9 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 
 def completion_problems(spark: SparkSession, folder: str, start: int, end: int) -> list[str]:
-    """What a prepared part's marker and summary say against its being complete for range(start, end)."""
-    out = []
-    marker = f"{folder}/SUCCESS"
-    if not exists(spark, marker) or spark.read.text(marker, wholetext=True).first()[0].strip() != "ok":
-        out.append("invalid SUCCESS marker")
-    try:
-        summary = read_document(spark, f"{folder}/summary.json")
-    except FileNotFoundError:
-        return [*out, "no summary"]
-    if summary.get("status") != "complete":
-        out.append("preparation is not complete")
-    if list(summary.get("source_range", [])) != [start, end]:
-        out.append(f"source range is {summary.get('source_range')}, not {[start, end]}")
-    return out
+    """How a prepared part's marker file and summary differ from those of a finished part with the source lines range(start, end)."""
+    marker, summary = f"{folder}/SUCCESS", f"{folder}/summary.json"
+    facts: dict[str, Any] = read_document(spark, summary) if exists(spark, summary) else {}
+    facts = facts | {"marker": spark.read.text(marker, wholetext=True).first()[0].strip() if exists(spark, marker) else None}
+    wanted = {"marker": "ok", "status": "complete", "source_range": [start, end]}
+    return [f"{name}: found {facts.get(name)!r}, wanted {value!r}" for name, value in wanted.items() if facts.get(name) != value]

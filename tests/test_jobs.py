@@ -65,7 +65,7 @@ def test_extract_validate_resume(spark, run):
     assert jobs.extract(spark, first)["records"] == 30
     assert jobs.validate(spark, first)["valid"]
     assert config.completed_and_valid(spark, run.output, 30) and not config.completed_and_valid(spark, run.output, 31)
-    with pytest.raises(ValueError, match="different run"):
+    with pytest.raises(ValueError, match="other options"):
         jobs.extract(spark, run)
     with pytest.raises(FileExistsError):
         jobs.extract(spark, first)
@@ -91,6 +91,7 @@ def test_validation_gathers_problems(spark, run):
     bad = artifact.read_shards(spark, run.output).withColumn("embedding", F.when(F.col("source_index") == 3, F.array(F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding")))
     bad.write.mode("overwrite").partitionBy("rank", "shard").parquet(run.output + "2/states")
     manifest = jsonl.read_document(spark, f"{run.output}/manifest.json")
+    manifest["files"] = [{k: v for k, v in f.items() if k not in ("bytes", "sha256")} for f in manifest["files"]]  # the copy is rewritten, so its bytes differ
     manifest["files"].append({"path": "states/rank-000/shard-00099", "rank": 0, "shard": 99, "rows": 1})
     jsonl.write_document(spark, run.output + "2/manifest.json", manifest | {"tensor_rows": 61})
     report = artifact.validate_artifact(spark, run.output + "2", 4)
@@ -98,6 +99,33 @@ def test_validation_gathers_problems(spark, run):
     assert sorted(p.split()[0] for p in report["problems"]) == ["embedding_finite", "embedding_shape", "manifest_tensor_rows", "missing"]
 
 
+def test_a_changed_byte_is_found(spark, run, tmp_path):
+    manifest = jobs.extract(spark, run)
+    assert all(f["bytes"] > 0 and len(f["sha256"]) == 64 for f in manifest["files"])
+    file = sorted((tmp_path / "out" / "states" / "rank=0" / "shard=0").glob("*.parquet"))[0]
+    data = bytearray(file.read_bytes())
+    at = data.rindex(b"parquet-mr")  # a letter of the footer, so the file can still be read
+    data[at] ^= 0x20
+    file.write_bytes(bytes(data))
+    for x in file.parent.glob(".*.crc"):
+        x.unlink()
+    spark.catalog.clearCache()
+    assert jobs.validate(spark, run)["problems"] == ["damaged shard states/rank-000/shard-00000"]
+
+
+def test_values_that_are_not_finite_stop_before_the_write(spark, run, tmp_path):
+    with pytest.raises(Exception, match="aren't finite"):
+        jobs.extract(spark, run, lambda texts: [[1.0, float("nan"), 0.0, 0.0]] * len(texts))
+    assert not (tmp_path / "out" / "manifest.json").exists() and not list((tmp_path / "out" / "states").glob("rank=*"))
+
+
+def test_shards_go_on_behind_each_ranks_own(spark, run):
+    rows = jsonl.load_rows(spark, run.input)
+    done = spark.createDataFrame([(0, 0, 4), (1, 1, 0)], "source_index long, rank int, shard int")
+    first = {r[0]: r[1] for r in jobs.plan_extraction(rows, run, done).groupBy("rank").agg(F.min("shard")).collect()}
+    assert first == {0: 5, 1: 1}
+
+
 def test_run_specs(spark, run):
     assert jobs.run_specs(spark, [run], [60], dry_run=True) == [(run.output, "would run")]
     assert jobs.run_specs(spark, [run], [60]) == [(run.output, "ran")]
@@ -105,7 +133,7 @@ def test_run_specs(spark, run):
     assert jobs.run_specs(spark, [run], [60], only=["other"]) == []
 
 
-@pytest.mark.parametrize("change", [{"batch_size": 0}, {"mode": "x"}, {"view": "x"}, {"mode": "spmd_fsdp", "debug_single_process": True}, {"mode": "spmd_fsdp", "parallel_load": True}, {"push_to": "a"}, {"buckets": (0,)}])
+@pytest.mark.parametrize("change", [{"batch_size": 0}, {"mode": "x"}, {"view": "x"}, {"mode": "spmd_fsdp", "debug_single_process": True}, {"mode": "spmd_fsdp", "parallel_load": True}, {"push_to": "a"}, {"push_to": "a/b"}, {"buckets": (0,)}])
 def test_option_checks(run, change):
     with pytest.raises(ValueError):
         replace(run, **change).checked()
@@ -149,10 +177,12 @@ def test_part_problems(spark, tmp_path):
     p = part(tmp_path, "bad", 0, 10, {("full", 3): {"context": "other"}, ("fst", 4): {"label": 3}, ("fst", 5): {"source_index": 6}})
     _, problems = jobs.part_problems(spark, p, ["train", "test"])
     text = "\n".join(problems)
-    for word in ("prejoined prompt mismatch", "invalid label", "duplicate source_index", "missing", "context differs"):
+    for word in ("text is not the prompt", "invalid label", "source_index is there several times", "missing", "context differs"):
         assert word in text
     (tmp_path / "bad" / "SUCCESS").write_text("no")
-    assert "invalid SUCCESS marker" in jobs.part_problems(spark, p, ["train", "test"])[1][0]
+    assert jobs.part_problems(spark, p, ["train", "test"])[1][0] == "bad: marker: found 'no', wanted 'ok'"
+    (tmp_path / "bad" / "summary.json").unlink()
+    assert jsonl.completion_problems(spark, p.folder, 0, 10)[1:] == ["status: found None, wanted 'complete'", "source_range: found None, wanted [0, 10]"]
 
 
 def test_qa_problems(spark):
