@@ -32,6 +32,8 @@ EXTRA = 0.05
 BROADCAST_BYTES = 8 << 20
 #: Documents compared with one leader in a task.
 CHUNK = 256
+#: Parts of a key's rows where a join can't be broadcast.
+SALTS = 32
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -49,6 +51,14 @@ def join_text(docs: DataFrame, table: DataFrame, on: str = "ref", how: str = "in
     return docs.join(F.broadcast(table) if fits_broadcast(table) else table, on, how)
 
 
+def join_few(rows: DataFrame, table: DataFrame, key: str, part: str = "ref") -> DataFrame:
+    """rows with the columns of a table that has one row per key; a key with many rows is dealt over SALTS tasks, by the column part."""
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), key)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that a set of n shares with any set that it links with, at least."""
     return -(-n * percent // 100)
@@ -359,17 +369,19 @@ def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame
 
     k = 0: a group with itself, block i against block j >= i.  k = 1: queries that opened it, block i, against its members, block j.
     Groups whose members are all linked with each other already need no cell of the first kind.
+    A group's number of blocks goes to its rows by a broadcast of checked size or by a salted join, so no group's rows meet in one task.
     """
     block = lambda n: F.pmod(F.xxhash64("ref"), F.col(n)).cast("int")
     groups = reps.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t"), (F.min("known") != F.max("known")).alias("open")).withColumn("nb", _block_count("_d", "_t")).select("gid", "nb", "open")
-    own = reps.join(groups.where("open"), "gid").withColumn("b", block("nb")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    groups = stage_boundary(groups)
+    own = join_few(reps, groups.where("open"), "gid").withColumn("b", block("nb")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     own = own.select(F.col("gid").alias("g"), F.lit(0).alias("k"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "ref", "known")
     if opened is None:
         return own
     asking = opened.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t")).withColumn("nq", _block_count("_d", "_t")).select("gid", "nq")
-    sizes = groups.join(asking, "gid").select("gid", "nb", "nq")
-    queries = opened.withColumnRenamed("query", "ref").join(sizes, "gid").withColumn("i", block("nq")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    members = reps.join(sizes, "gid").withColumn("j", block("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    sizes = stage_boundary(groups.join(asking, "gid").select("gid", "nb", "nq"))
+    queries = join_few(opened.withColumnRenamed("query", "ref"), sizes, "gid").withColumn("i", block("nq")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    members = join_few(reps, sizes, "gid").withColumn("j", block("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     cross = [d.select(F.col("gid").alias("g"), F.lit(1).alias("k"), "i", "j", F.lit(side).alias("side"), "ref", "known") for side, d in ((0, queries), (1, members))]
     return own.unionByName(cross[0]).unionByName(cross[1])
 
