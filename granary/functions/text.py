@@ -83,6 +83,7 @@ def truncate_answer(answer: Column) -> Column:
     return first_sentence(marker_cut(answer))
 
 
+# The words of both prompts.
 def qa_prompt(context: Column, question: Column) -> Column:
     head = "Answer the question as briefly as possible, based only on the context:\n Context:"
     return F.concat(F.lit(head), strip(context), F.lit("\n Question:"), strip(question), F.lit("\n Answer:"))
