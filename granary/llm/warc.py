@@ -135,7 +135,7 @@ def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row per capture: request, response or revisit, and metadata, joined on the identifiers they are concurrent to.
 
     A capture's key is its response's identifier, its own or the one named by WARC-Concurrent-To; records that tie to none give no row.
-    Records of one kind with one identifier (a page archived twice) are told apart by their order among equals.
+    Where an identifier repeats (a page archived twice), each response or revisit gives a row, and any one of the equal requests and metadata records stands for all.
     """
     r = records.withColumn("capture", F.coalesce("concurrent_to", "record_id"))
     main = r.where("kind in ('response', 'revisit')")
