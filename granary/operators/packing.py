@@ -4,31 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces into which the key's range is cut for running counts.
-PIECES = 4096
+from .ordinals import join_spans, lay_out, position, spans
+
+_SPAN = ("_place", "_first", "_n", "_before", "_rows")
+
+
+def _present(key: str) -> Column:
+    """The key; a null one raises."""
+    return F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} is null")).cast("long"))
 
 
 def with_ordinal(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
     """Position of each row by an integer key, from 0, within each group of ``by``.
 
-    The key's range is cut into PIECES; rows are numbered inside their piece and shifted by the rows of earlier pieces.
-    Windows thus see one piece, or one row per piece.  Rows of equal keys are numbered in any order; a null key raises.
+    Rows are laid out in sampled ranges of (by, key); a position is the place in the range plus the group's rows in earlier ranges, so no task
+    sees more than a range.  Rows of equal keys are numbered in any order; a null key raises.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // PIECES))
-    piece = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long")
-    df = df.withColumn("_piece", F.coalesce(piece, F.raise_error(F.lit(f"{key} is null")).cast("long")))
-    groups = list(by)
-    counts = df.groupBy(*groups, "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*groups, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "_piece").orderBy(key))
-    return df.withColumn("_row", inside).join(counts, [*groups, "_piece"]).withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_piece", "_row", "_before")
+    laid = lay_out(df.withColumn(key, _present(key)), *by, key)
+    return join_spans(laid, spans(laid, by), by).withColumn(name, position()).drop(*_SPAN)
 
 
 def in_window(ordinal: Column, start: int = 0, most: int | None = None) -> Column:
@@ -45,15 +41,24 @@ def rank_of(ordinal: Column, world: int, rank: int | None = None) -> Column:
     return mine if rank is None else mine == rank
 
 
-def with_batches(df: DataFrame, batch: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
-    """bucket_ordinal and batch_id of each row inside its bucket, by key; batch_pad: rows that fill the bucket's last batch."""
+def _batched(df: DataFrame, batch: int, key: str, bucket: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows in the order of (by, bucket, key), the spans of their groups, and the groups' columns."""
     groups = [*by, bucket]
-    out = with_ordinal(df, key, groups, "bucket_ordinal")
+    laid = lay_out(df.withColumn(key, _present(key)), *groups, key)
+    return laid, spans(laid, groups), groups
+
+
+def _batch_columns(rows: DataFrame, batch: int) -> DataFrame:
+    out = rows.withColumn("bucket_ordinal", position())
     out = out.withColumn("batch_id", F.floor(F.col("bucket_ordinal") / batch).cast("long"))
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("_rows"))
     last = F.floor((F.col("_rows") - 1) / batch)
-    pad = F.when(F.col("batch_id") == last, F.pmod(-F.col("_rows"), F.lit(batch))).otherwise(0).cast("int")
-    return out.join(sizes, groups).withColumn("batch_pad", pad).drop("_rows")
+    return out.withColumn("batch_pad", F.when(F.col("batch_id") == last, F.pmod(-F.col("_rows"), F.lit(batch))).otherwise(0).cast("int"))
+
+
+def with_batches(df: DataFrame, batch: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
+    """bucket_ordinal and batch_id of each row inside its bucket, by key; batch_pad: rows that fill the bucket's last batch."""
+    laid, table, groups = _batched(df, batch, key, bucket, by)
+    return _batch_columns(join_spans(laid, table, groups), batch).drop(*_SPAN)
 
 
 def _fold_shards(summary: DataFrame, batch: int, shard: int, by: Sequence[str], bucket: str, first: int) -> DataFrame:
@@ -87,17 +92,19 @@ def with_shards(df: DataFrame, batch: int, shard: int, key: str = "source_index"
 
     Adds bucket_ordinal, batch_id, batch_pad, shard (numbers from ``first``) and offset in the shard.  ``by`` names the writer's columns.
     """
-    rows = with_batches(df, batch, key, bucket, by)
-    state = _fold_shards(df.groupBy(*by, bucket).agg(F.count("*").alias("n")), batch, shard, by, bucket, first)
+    laid, table, groups = _batched(df, batch, key, bucket, by)
+    sizes = table.groupBy(*groups).agg(F.first("_rows").alias("n"))
+    state = _fold_shards(sizes, batch, shard, by, bucket, first)
     state = state.select(*by, F.col("bucket").cast(dict(df.dtypes)[bucket]).alias(bucket), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("seen").alias("_seen"))
+    rows = _batch_columns(join_spans(laid, table.join(state, groups), groups), batch)
     per = -(-shard // batch)
     need = F.ceil((F.lit(shard) - F.col("_r")) / batch).cast("long")
     late = F.col("batch_id") >= need
     step = F.floor((F.col("batch_id") - need) / per).cast("long")
     number = F.when(late, F.col("_k") + 1 + step).otherwise(F.col("_k"))
     begin = F.when(late, (need + step * per) * batch).otherwise(-F.col("_r"))
-    out = rows.join(state, [*by, bucket]).withColumn("shard", number.cast("long")).withColumn("offset", (F.col("bucket_ordinal") - begin).cast("long"))
-    return out.drop("_k", "_r", "_seen")
+    out = rows.withColumn("shard", number.cast("long")).withColumn("offset", (F.col("bucket_ordinal") - begin).cast("long"))
+    return out.drop("_k", "_r", "_seen", *_SPAN)
 
 
 def shard_name(number: Column, rank: Column | None = None) -> Column:
