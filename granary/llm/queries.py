@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .mpeg_audio import media_features
 from .quality_ranking import score_quality
 from .secret_scan import scan_secrets
+from .spelling import group_variants
 from .substring_dedup import remove_repeats
 from .warc import archive_and_read
 
@@ -62,6 +63,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,9 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
+#: The CRC-32 of a hex string h's bytes, with its table t.
+SQL_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"
+SQL_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -147,4 +157,19 @@ links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
+    "op13_spelling": r"""
+WITH RECURSIVE """ + SQL_CRC_TABLE + r""",
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') AS runs FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(runs) AS run FROM d) GROUP BY ALL),
+c AS (SELECT run, n, """ + SQL_CRC + r""" AS h FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS h FROM r), crc),
+s AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+w AS (SELECT word, unnest(range(0, length(word))) AS k FROM v),
+x AS (SELECT DISTINCT word, k, substr(word, 1, k) || '*' || substr(word, k + 2) AS wild, substr(word, 1, k) || substr(word, k + 2) AS shorter FROM w),
+p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.wild = b.wild AND a.k = b.k AND a.word <> b.word
+  UNION SELECT word, shorter FROM x SEMI JOIN v ON v.word = x.shorter UNION SELECT shorter, word FROM x SEMI JOIN v ON v.word = x.shorter),
+best AS (SELECT a, count(*) AS n_near, min_by(b, (-n, b)) AS b, max(n) AS n FROM p JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = v.word),
+walk(word, root) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, f.n, n_near, form_n FROM f JOIN (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL) r ON r.word = f.word""",
 }
