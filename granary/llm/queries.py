@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mpeg_audio import media_features
+from .prefix_trie import prefix_trie
 from .quality_ranking import score_quality
 from .secret_scan import scan_secrets
 from .spelling import group_variants
@@ -63,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(read_table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
@@ -157,6 +163,21 @@ links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE """ + SQL_CRC_TABLE + r""",
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, """ + SQL_CRC + r""" % 9 AS h FROM (SELECT c, hex(encode(CAST(c AS VARCHAR))) AS h FROM (SELECT DISTINCT c FROM o)), crc),
+r AS (SELECT l.c, k, role, text FROM l JOIN o ON o.c = l.c - l.c % 5 AND k < h UNION ALL SELECT l.c, k, role, text FROM l JOIN o ON o.c = l.c AND k >= h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, strlen(text) AS bytes, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS m FROM r),
+p AS (SELECT c, d, bytes, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS path FROM t UNION ALL SELECT c, 0, 0, '' FROM l),
+e AS (SELECT c, max(d) AS last FROM p GROUP BY c),
+n AS (SELECT d, path, min(p.c) AS c, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (d = last), '') AS ends FROM p JOIN e ON e.c = p.c GROUP BY d, path),
+k AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+u AS (SELECT substr(path, 1, 32 * i) AS path, n_children, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM f)),
+s AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY path)
+SELECT f.c AS conv_id, f.d AS depth, g.c AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN f g ON f.d > 0 AND g.path = substr(f.path, 1, 32 * (f.d - 1))""",
     "op13_spelling": r"""
 WITH RECURSIVE """ + SQL_CRC_TABLE + r""",
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') AS runs FROM documents),
