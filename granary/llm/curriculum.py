@@ -63,10 +63,11 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     Running sums are of digest ranges first and of rows inside a range second, so a source with a third of all rows is many tasks' work.
     Rows of equal ids are told apart by size and a row number; a null id has a digest of its own.  A null source is a source, the last.
     Null texts have size 0, take nothing and stand at their place's position.  An empty table gives no rows; sources of no words have target 0.
-    ``keep`` names further columns to carry, others are ignored.
+    ``keep`` names further columns to carry, others are ignored; one that is named as a column of the result comes back as ``kept_`` and its name.
+    Texts of any length are read whole.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *keep)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)))
     rows = rows.withColumn("digest", digest).withColumn("piece", F.substring("digest", 1, len(hex(PIECES - 1)) - 2))
     if not keep:
         rows = stage_boundary(rows)
@@ -91,4 +92,6 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     rows = rows.withColumn("positions", F.when(F.col("taken") > 0, at).otherwise(F.array().cast("array<double>")))
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
     rows = rows.withColumn("position", first)
-    return rows.repartitionByRange("position", "digest").sortWithinPartitions("position", "digest").select("doc_id", "source", *keep, "size", "source_size", "target", "taken", "position", "positions")
+    own = ("size", "source_size", "target", "taken", "position", "positions")
+    carried = [F.col(f"_keep{k}").alias(f"kept_{c}" if c in ("doc_id", "source", *own) else c) for k, c in enumerate(keep)]
+    return rows.repartitionByRange("position", "digest").sortWithinPartitions("position", "digest").select("doc_id", "source", *carried, *own)

@@ -353,3 +353,14 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[1]) == set(seen[0]) and seen[1][200] == "" and rows[1][1].split("\n")[0] not in seen[1][202]
     assert 201 in seen[2] and 201 not in seen[3] and set(seen[4]) <= set(seen[3])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[4])
+
+
+def test_mixing_carries_columns_of_any_name(spark):
+    names = ("rank", "size", "digest", "piece", "inside", "start", "passes", "piece_start", "target", "positions", "_s", "source")
+    rows = [(i, f"w{i} " * (i % 4 + 1), "s" if i % 3 else None, *(f"{n}{i}" for n in names[:-1])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names[:-1]))
+    plain = collected(curriculum.mix_sources(df), "doc_id", "size", "target", "taken", "position")
+    got = curriculum.mix_sources(df, keep=names)
+    assert collected(got, "doc_id", "size", "target", "taken", "position") == plain
+    for r in got.collect():
+        assert all(r[f"kept_{n}" if n in ("size", "target", "positions") else n] == f"{n}{r.doc_id}" for n in names[:-1]) and r.kept_source == r.source
