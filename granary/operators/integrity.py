@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, summary_prompt
+from ..sources.tables import stage_boundary
 
 # Fields that a prepared part's row must have.
 PART_FIELDS = ("source_index", "paper_split", "context", "question", "best_answer", "label", "answer_view", "text")
@@ -106,31 +107,55 @@ def histogram_map(df: DataFrame, column: str) -> DataFrame:
     return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"{column}_counts"))
 
 
+def metadata_stats(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
+    """(kind, key, n, places, low, high, held): what all rules need, from one scan of the metadata.
+
+    Each row marks its rank, its place (shard, offset) and its source_index; equal marks are counted, then shards are summed over their places.
+    Kinds: rank; index, those that are there several times; shard, with its rows, distinct offsets and their bounds, and the rows that tensors hold.
+    Rows: one per shard, rank and repeated index; they are written once, and the rules read them.
+    """
+    mark = lambda kind, key, at: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), at.cast("long").alias("at"))
+    marks = metadata.select(F.inline(F.array(mark("index", F.col("source_index"), F.lit(0)), mark("place", F.col("shard"), F.col("offset")), mark("rank", F.col("rank"), F.lit(0)))))
+    held = tensors.select(F.lit("held").alias("kind"), F.col("shard").cast("string").alias("key"), F.col("rows").cast("long").alias("at"))
+    counted = marks.unionByName(held).groupBy("kind", "key", "at").agg(F.count("*").alias("n")).where("kind <> 'index' OR n > 1")
+    place = F.when(F.col("kind") == "place", F.col("at"))
+    stats = counted.groupBy(F.when(F.col("kind").isin("place", "held"), "shard").otherwise(F.col("kind")).alias("kind"), "key").agg(
+        F.sum(F.when(F.col("kind") != "held", F.col("n"))).alias("n"), F.count(place).alias("places"), F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.when(F.col("kind") == "held", F.col("at"))).alias("held")
+    )
+    return stage_boundary(stats)
+
+
 def metadata_problems(metadata: DataFrame, tensors: DataFrame, writers: int, records: int, tensor_rows: int) -> DataFrame:
     """All problems of an artifact's metadata against its tensor rows: (rule, subject, detail).
 
     metadata: source_index, rank, shard, offset.  tensors: shard, rows.  Problems accumulate; none stops the others.
     """
-    spark = metadata.sparkSession
-    ranks = spark.range(writers).select(F.col("id").cast("int").alias("rank"))
-    out: list[DataFrame] = []
-
-    def problem(df: DataFrame, rule: str, subject: Column, detail: Column) -> None:
-        out.append(df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail")))
-
-    problem(ranks.join(metadata.select(F.col("rank").cast("int")).distinct(), "rank", "left_anti"), "missing_metadata", F.col("rank"), F.lit("no rows of this rank"))
-    problem(metadata.where((F.col("rank") < 0) | (F.col("rank") >= writers)).groupBy("rank").agg(F.count("*").alias("n")), "foreign_rank", F.col("rank"), F.col("n"))
-    stats = shard_offsets(metadata)
-    joined = stats.join(tensors.select("shard", F.col("rows").alias("_t")), "shard", "left")
-    problem(joined.where("_t IS NULL"), "missing_shard", F.col("shard"), F.lit("metadata refers to it"))
-    problem(joined.where("_t IS NOT NULL AND (NOT contiguous OR rows <> _t)"), "offsets", F.col("shard"), F.lit("incomplete or duplicate"))
-    problem(duplicates(metadata), "duplicate_index", F.col("source_index"), F.col("n"))
-    seen = metadata.agg(F.count("*").alias("n"))
-    problem(seen.where(F.col("n") != records), "metadata_rows", F.lit(records), F.col("n"))
-    held = tensors.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
-    problem(held.where(F.col("n") != records), "tensor_rows", F.lit(records), F.col("n"))
-    problem(held.where(F.col("n") != tensor_rows), "manifest_tensor_rows", F.lit(tensor_rows), F.col("n"))
-    return reduce(DataFrame.unionByName, out)
+    stats = metadata_stats(metadata, tensors)
+    problem = lambda rule, subject, detail: F.struct(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
+    rank, shard, own = F.col("kind") == "rank", F.col("kind") == "shard", F.col("n").isNotNull()
+    whole = (F.col("places") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("n") == F.col("held"))
+    found = F.array(
+        F.when(rank & ~F.coalesce(F.col("key").cast("long").between(0, writers - 1), F.lit(False)), problem("foreign_rank", F.col("key"), F.col("n"))),
+        F.when(shard & own & F.col("held").isNull(), problem("missing_shard", F.col("key"), F.lit("metadata refers to it"))),
+        F.when(shard & own & F.col("held").isNotNull() & ~F.coalesce(whole, F.lit(False)), problem("offsets", F.col("key"), F.lit("incomplete or duplicate"))),
+        F.when(F.col("kind") == "index", problem("duplicate_index", F.col("key"), F.col("n"))),
+    )
+    each = stats.select(F.inline(F.array_compact(found)))
+    totals = stats.agg(F.coalesce(F.sum(F.when(rank, F.col("n"))), F.lit(0)).alias("m"), F.coalesce(F.sum("held"), F.lit(0)).alias("t"))
+    wrong = F.array(
+        F.when(F.col("m") != records, problem("metadata_rows", F.lit(records), F.col("m"))),
+        F.when(F.col("t") != records, problem("tensor_rows", F.lit(records), F.col("t"))),
+        F.when(F.col("t") != tensor_rows, problem("manifest_tensor_rows", F.lit(tensor_rows), F.col("t"))),
+    )
+    ranks = metadata.sparkSession.range(writers).select(F.col("id").cast("string").alias("key"))
+    absent = ranks.join(stats.where(rank), "key", "left_anti").select(F.inline(F.array(problem("missing_metadata", F.col("key"), F.lit("no rows of this rank")))))
+    return each.unionByName(totals.select(F.inline(F.array_compact(wrong)))).unionByName(absent)
+
+
+def problem_summary(problems: DataFrame) -> list[str]:
+    """Problems (rule, subject, detail) as one line a rule: its first subject, and how many there are.  What comes to the driver is as many rows as there are rules."""
+    rows = problems.groupBy("rule").agg(F.count("*").alias("n"), F.min(F.struct("subject", "detail")).alias("first")).orderBy("rule").collect()
+    return [f"{r.rule} {r.first.subject}: {r.first.detail}" + (f" (the first of {r.n})" if r.n > 1 else "") for r in rows]
 
 
 def problem_list(problems: Iterable[DataFrame]) -> DataFrame:

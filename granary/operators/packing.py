@@ -17,13 +17,13 @@ def _present(key: str) -> Column:
     return F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} is null")).cast("long"))
 
 
-def with_ordinal(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "ordinal", computed: bool = True) -> DataFrame:
     """Position of each row by an integer key, from 0, within each group of ``by``.
 
     Rows are laid out in sampled ranges of (by, key); a position is the place in the range plus the group's rows in earlier ranges, so no task
-    sees more than a range.  Rows of equal keys are numbered in any order; a null key raises.
+    sees more than a range.  Rows of equal keys are numbered in any order; a null key raises.  A df that isn't computed, but scanned, is read twice.
     """
-    laid = lay_out(df.withColumn(key, _present(key)), *by, key)
+    laid = lay_out(df.withColumn(key, _present(key)), *by, key, computed=computed)
     return join_spans(laid, spans(laid, by), by).withColumn(name, position()).drop(*_SPAN)
 
 
@@ -41,10 +41,10 @@ def rank_of(ordinal: Column, world: int, rank: int | None = None) -> Column:
     return mine if rank is None else mine == rank
 
 
-def _batched(df: DataFrame, batch: int, key: str, bucket: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+def _batched(df: DataFrame, key: str, bucket: str, by: Sequence[str], computed: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows in the order of (by, bucket, key), the spans of their groups, and the groups' columns."""
     groups = [*by, bucket]
-    laid = lay_out(df.withColumn(key, _present(key)), *groups, key)
+    laid = lay_out(df.withColumn(key, _present(key)), *groups, key, computed=computed)
     return laid, spans(laid, groups), groups
 
 
@@ -55,9 +55,9 @@ def _batch_columns(rows: DataFrame, batch: int) -> DataFrame:
     return out.withColumn("batch_pad", F.when(F.col("batch_id") == last, F.pmod(-F.col("_rows"), F.lit(batch))).otherwise(0).cast("int"))
 
 
-def with_batches(df: DataFrame, batch: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
+def with_batches(df: DataFrame, batch: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = (), computed: bool = True) -> DataFrame:
     """bucket_ordinal and batch_id of each row inside its bucket, by key; batch_pad: rows that fill the bucket's last batch."""
-    laid, table, groups = _batched(df, batch, key, bucket, by)
+    laid, table, groups = _batched(df, key, bucket, by, computed)
     return _batch_columns(join_spans(laid, table, groups), batch).drop(*_SPAN)
 
 
@@ -87,12 +87,12 @@ def _fold_shards(summary: DataFrame, batch: int, shard: int, by: Sequence[str],
     return summary.groupBy(*by).agg(entries.alias("e")).select(*by, F.inline(F.aggregate("e", start, step, lambda acc: acc["out"])))
 
 
-def with_shards(df: DataFrame, batch: int, shard: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = (), first: int = 0) -> DataFrame:
+def with_shards(df: DataFrame, batch: int, shard: int, key: str = "source_index", bucket: str = "bucket", by: Sequence[str] = (), first: int = 0, computed: bool = True) -> DataFrame:
     """Greedy shards of the batches in (bucket, batch) order: a shard closes once it has ``shard`` rows or more, and may span buckets.
 
     Adds bucket_ordinal, batch_id, batch_pad, shard (numbers from ``first``) and offset in the shard.  ``by`` names the writer's columns.
     """
-    laid, table, groups = _batched(df, batch, key, bucket, by)
+    laid, table, groups = _batched(df, key, bucket, by, computed)
     sizes = table.groupBy(*groups).agg(F.first("_rows").alias("n"))
     state = _fold_shards(sizes, batch, shard, by, bucket, first)
     state = state.select(*by, F.col("bucket").cast(dict(df.dtypes)[bucket]).alias(bucket), F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("seen").alias("_seen"))

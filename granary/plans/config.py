@@ -10,10 +10,15 @@ from pyspark.sql import SparkSession
 
 from ..functions.buckets import BUCKETS, normalized_buckets
 from ..functions.text import two_parts
-from ..sources.jsonl import exists, json_digest, read_document, remove, write_document
+from ..sources.digests import content_digest
+from ..sources.jsonl import exists, json_digest, read_document, read_lines, remove, write_document
+from ..sources.publish import code_digests
 
 MODES = ("replicated", "spmd_fsdp")
 VIEWS = ("full", "first_sentence")
+DTYPES = ("float32", "bfloat16")
+#: Options that don't change what a run makes.
+FREE = ("overwrite", "resume", "debug_single_process", "parallel_load", "expected_slots")
 
 
 @dataclass(frozen=True)
@@ -36,7 +41,14 @@ class RunConfig:
     mode: str = "spmd_fsdp"
     width: int = 64
     layers: int | None = None
+    dtype: str = "float32"
+    norm: tuple[float, ...] | None = None
+    vocabulary: str | None = None
+    pad_id: int = 0
     push_to: str | None = None
+    store: str | None = None
+    prefix: str | None = None
+    expected_slots: int | None = None
     overwrite: bool = False
     resume: bool = False
     debug_single_process: bool = False
@@ -59,22 +71,47 @@ class RunConfig:
             raise ValueError(f"unknown mode {self.mode!r} or view {self.view!r}")
         if self.mode == "spmd_fsdp" and (self.debug_single_process or self.parallel_load):
             raise ValueError("single-process debugging and parallel loading are for replicated runs")
+        if self.dtype not in DTYPES or self.width < 1 or (self.layers is not None and self.layers < 1):
+            raise ValueError(f"unknown type {self.dtype!r}, or a width or number of layers below 1")
+        if self.norm is not None and (self.layers is None or len(self.norm) != self.width):
+            raise ValueError("a norm has a weight per place of the last layer")
         if self.push_to is not None:
             two_parts(self.push_to)
-            raise ValueError("push_to: there is no upload service here; copy the artifact's folder, its manifest last")
+            if self.store is None:
+                raise ValueError("push_to needs the store's folder")
         if spark is not None and not exists(spark, self.input):
             raise FileNotFoundError(self.input)
         return replace(self, buckets=normalized_buckets(self.buckets))
 
-    def planned(self) -> dict[str, Any]:
-        """What identifies a run, with its digest."""
-        own = {k: v for k, v in asdict(self).items() if k not in ("overwrite", "resume", "debug_single_process", "parallel_load")}
-        own = own | {"schema_version": 2, "buckets": list(self.buckets)}
+    @property
+    def published(self) -> str | None:
+        """Where the artifact is published: the store's folder, OWNER/NAME and the prefix, by default the output's name."""
+        if self.push_to is None:
+            return None
+        prefix = (self.prefix or self.output.rstrip("/").rpartition("/")[2]).strip("/")
+        if not prefix:
+            raise ValueError("the prefix is empty")
+        return f"{self.store.rstrip('/')}/{'/'.join(two_parts(self.push_to))}/{prefix}"
+
+    def planned(self, spark: SparkSession) -> dict[str, Any]:
+        """What identifies a run, with its digest: the options, the input's content, the vocabulary's, and the code's.
+
+        The input is read once, by the executors; its digest is the same however the file is cut, and another one for another content.
+        """
+        own = {k: v for k, v in asdict(self).items() if k not in FREE}
+        own |= {"schema_version": 3, "buckets": list(self.buckets), "norm": None if self.norm is None else list(self.norm), "code": code_digests()}
+        for name in ("input", "vocabulary"):
+            path = getattr(self, name)
+            if path is not None:
+                own[f"{name}_content"] = content_digest(read_lines(spark, path)).first().asDict()
         return own | {"config_sha256": json_digest(own)}
 
 
-def guard_output(spark: SparkSession, config: RunConfig) -> None:
-    """Prepare an output folder: never one that holds the home or working folder, cleared on overwrite, reused only by the same run that resumes."""
+def guard_output(spark: SparkSession, config: RunConfig, planned: dict[str, Any] | None = None) -> None:
+    """Prepare an output folder: never one that holds the home or working folder, cleared on overwrite, reused only by the same run that resumes.
+
+    The same run has the same options, code and content of its input.
+    """
     scheme, _, rest = config.output.rpartition(":")
     if scheme in ("", "file"):
         own = os.path.realpath(os.path.expanduser("/" + rest.lstrip("/") if scheme else rest))
@@ -83,19 +120,23 @@ def guard_output(spark: SparkSession, config: RunConfig) -> None:
     place = f"{config.output}/run_config.json"
     if config.overwrite and exists(spark, config.output):
         remove(spark, config.output)
+    planned = planned or config.planned(spark)
     if not exists(spark, place):
-        write_document(spark, place, config.planned())
+        write_document(spark, place, planned)
         return
-    if read_document(spark, place) != config.planned():
-        raise ValueError(f"{config.output} holds what other options made")
+    before = read_document(spark, place)
+    if before != planned:
+        other = sorted(k for k in before.keys() | planned.keys() if k != "config_sha256" and before.get(k) != planned.get(k))
+        raise ValueError(f"{config.output} holds what other options, content or code made: {', '.join(other)}")
     if not config.resume:
         raise FileExistsError(f"{config.output} has a run; resume or overwrite it")
 
 
-def completed_and_valid(spark: SparkSession, output: str, expected: int) -> bool:
-    """Whether an artifact's manifest and validation say that all its records are there; unreadable ones say no."""
+def completed_and_valid(spark: SparkSession, output: str, expected: int, planned: dict[str, Any] | None = None) -> bool:
+    """Whether an artifact's manifest and validation say that all its records are there, made by the planned run if one is given; unreadable ones say no."""
     try:
         manifest, validation = (read_document(spark, f"{output}/{n}.json") for n in ("manifest", "validation"))
-        return manifest.get("status") == "complete" and validation.get("valid") is True and int(manifest.get("records", -1)) == expected == int(validation.get("records", -1))
+        same = planned is None or manifest.get("config_sha256") == planned["config_sha256"]
+        return same and manifest.get("status") == "complete" and validation.get("valid") is True and int(manifest.get("records", -1)) == expected == int(validation.get("records", -1))
     except (FileNotFoundError, ValueError, AttributeError, TypeError):
         return False

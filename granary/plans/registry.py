@@ -361,10 +361,28 @@ def left_pad_truncate(spark, sf_dir):
     return d.select("doc_id", F.get("p", F.lit(0)).alias("first_token"), F.element_at("p", -1).alias("last_token"), F.size(F.filter("m", lambda x: x == 0)).alias("n_pad"), F.size(F.filter("m", lambda x: x == 1)).alias("n_real"))
 
 
-@query("config_hash")
+SQL_CONTENT = """l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, text FROM documents), h AS (SELECT sha256(CAST(line AS VARCHAR) || ':' || text) AS d FROM l),
+c AS (SELECT count(*) AS lines, """ + ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 15 * k}, 15) AS BIGINT)) AS HUGEINT) AS s{k}" for k in range(4)) + """ FROM h),
+content AS (SELECT lines, sha256(concat_ws(':', lines, s0, s1, s2, s3)) AS digest FROM c)"""
+
+
+def content(spark, sf_dir) -> DataFrame:
+    from ..sources.digests import content_digest
+
+    return content_digest(packing.with_ordinal(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", name="line", computed=False), value="text")
+
+
+@query("content_digest", f"WITH {SQL_CONTENT} SELECT * FROM content")
+def content_digest(spark, sf_dir):
+    return content(spark, sf_dir)
+
+
+@query("config_hash", f"""WITH {SQL_CONTENT} SELECT sha256('{{"batch_size":{BATCH},"input_content":{{"digest":"' || digest || '","lines":' || lines || '}},"shard_size":{SHARD}}}') AS config_sha256 FROM content""")
 def config_hash(spark, sf_dir):
-    own = config.RunConfig(input=f"{sf_dir}/documents.parquet", output="none").checked().planned()
-    return spark.createDataFrame([(own["config_sha256"], own["batch_size"], own["shard_size"])], "config_sha256 string, batch_size int, shard_size int")
+    from ..sources.jsonl import json_digest
+
+    own = json_digest({"shard_size": SHARD, "batch_size": BATCH, "input_content": content(spark, sf_dir).first().asDict()})
+    return spark.createDataFrame([(own,)], "config_sha256 string")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -414,10 +432,10 @@ def hidden_shape(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select("vec_id", tensors.has_shape(F.array(F.slice("embedding", 1, 32), second), (2, 32)).alias("fits"))
 
 
-@query("layers_complete", "SELECT vec_id, len(list_filter([0, 1, 2, 3], lambda x: x <> vec_id % 6)) = 4 AS complete FROM embeddings")
+@query("layers_complete", "SELECT vec_id, len(list_filter(embedding[1:4], lambda x: x > -1)) = 4 AS complete FROM embeddings")
 def layers_complete(spark, sf_dir):
-    held = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda x: x != F.col("vec_id") % 6)
-    by_layer = F.map_from_arrays(held, F.transform(held, lambda x: F.col("embedding")))
+    held = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: F.element_at("embedding", k + 1) > -1)  # the layers that a record has, by its data
+    by_layer = F.map_from_arrays(held, F.transform(held, lambda k: F.slice("embedding", k * 16 + 1, F.lit(16))))
     return read_table(spark, sf_dir, "embeddings").select("vec_id", tensors.complete_layers(by_layer, 4).alias("complete"))
 
 
@@ -427,13 +445,141 @@ def bucket_histogram(spark, sf_dir):
     return integrity.histogram_map(token_rows(spark, sf_dir), "bucket").select(F.array_join(entries, ",").alias("bucket_counts"))
 
 
-@query("shard_names", "SELECT doc_id, printf('rank-%03d/shard-%05d', doc_id % 8, doc_id) AS name, doc_id AS number FROM documents")
+@query("shard_names", f"WITH RECURSIVE {SQL_SHARDS}, n AS (SELECT DISTINCT shard FROM plan) SELECT printf('rank-%03d/shard-%05d', shard % {WRITERS}, shard) AS name, shard AS number FROM n")
 def shard_names(spark, sf_dir):
-    name = packing.shard_name(F.col("doc_id"), F.col("doc_id") % WRITERS)
-    return read_table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), packing.shard_number(name).alias("number"))
+    shards = shard_rows(spark, sf_dir).select("shard").distinct()
+    name = packing.shard_name(F.col("shard"), F.pmod("shard", F.lit(WRITERS)).cast("int"))
+    return shards.select(name.alias("name"), packing.shard_number(name).alias("number"))
 
 
-@query("view_domain", "SELECT doc_id AS source_index, 'answer_view mismatch' AS problem FROM documents WHERE doc_id % 3 = 0")
+@query("view_domain", "SELECT doc_id AS source_index, 'answer_view mismatch' AS problem FROM documents WHERE lang IS NULL OR lang <> 'en'")
 def view_domain(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), F.lit(1).alias("label"), F.when(F.col("doc_id") % 3 == 0, "fst").otherwise("full").alias("answer_view"))
-    return integrity.row_problems(d, ("source_index", "label"), view="full")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), F.lit(1).alias("label"), F.coalesce("lang", F.lit("none")).alias("answer_view"))
+    return integrity.row_problems(d, ("source_index", "label"), view="en")
+
+
+#: The CRC-32 of a hex string h's bytes, with its table t.
+SQL_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"
+SQL_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+LAYERS, WIDTH = 4, 8
+SQL_LAYERS = ", ".join(f"CAST(sum(CASE WHEN back <= {k} THEN v END) AS DOUBLE) AS layer_{k}" for k in range(LAYERS))
+
+
+@query("layer_states", rf"""WITH {SQL_CRC_TABLE},
+l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS source_index, regexp_extract_all(text, '[^ 	
+
+]+') AS w FROM documents),
+b AS (SELECT source_index, w, unnest(range(0, least(len(w), {LAYERS}))) AS back FROM l),
+i AS (SELECT source_index, back, {SQL_CRC} % 50000 AS id FROM (SELECT source_index, back, hex(encode(w[len(w) - back])) AS h FROM b), crc),
+e AS (SELECT source_index, back, list_sum(list_transform(range(0, {WIDTH}), lambda j: (j + 1) * ((31 * id + 17 * j) % 97 - 48))) / 64 AS v FROM i)
+SELECT source_index, CAST(max(CASE WHEN back = 0 THEN v END) AS DOUBLE) AS embedding, {SQL_LAYERS} FROM e GROUP BY source_index""")
+def layer_states(spark, sf_dir):
+    """All documents through the job, four layers each, read back from the artifact; a vector is shown as the sum of its places, each times its number."""
+    from ..sources import artifact
+
+    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "layers"), width=WIDTH, layers=LAYERS, shard_size=SHARD, batch_size=BATCH, world_size=1)
+    jobs.extract(spark, own)
+    shown = lambda v: F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.lit(WIDTH)), lambda x, j: x.cast("double") * j), F.lit(0.0), lambda a, x: a + x)
+    df = artifact.read_shards(spark, own.output)
+    return df.select("source_index", shown(F.col("embedding")).alias("embedding"), *(shown(F.col("hidden_states")[k]).alias(f"layer_{k}") for k in range(LAYERS)))
+
+
+SQL_BFLOAT = "CASE WHEN x = 0 THEN 0 ELSE round_even(CAST(x AS DOUBLE) / pow(2, floor(log2(abs(CAST(x AS DOUBLE)))) - 7), 0) * pow(2, floor(log2(abs(CAST(x AS DOUBLE)))) - 7) END"
+
+
+@query("bfloat16_pack", f"SELECT vec_id, list_reduce(list_transform(embedding, lambda x: {SQL_BFLOAT}), lambda a, x: a + x) AS total, 2 * len(embedding) AS n_bytes, true AS finite FROM embeddings UNION ALL SELECT * FROM (VALUES (-1, NULL, 4, false), (-2, NULL, 2, false)) v")
+def bfloat16_pack(spark, sf_dir):
+    bad = spark.createDataFrame([(-1, [1.0, float("nan")]), (-2, [float("-inf")])], "vec_id long, embedding array<float>")
+    packed = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding").unionByName(bad).select("vec_id", tensors.pack_bfloat16("embedding").alias("p"))
+    floats = F.transform(tensors.unpack_bfloat16("p"), lambda x: x.cast("double"))
+    total = F.aggregate(F.slice(F.col("v"), 2, F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda a, x: a + x)
+    rows = packed.select("vec_id", floats.alias("v"), F.octet_length("p").cast("long").alias("n_bytes"), tensors.packed_finite("p").alias("finite"))
+    return rows.select("vec_id", F.when(F.col("finite"), total).alias("total"), "n_bytes", "finite")
+
+
+# Merges of a small vocabulary, in the order of their ranks.
+MERGES = ("th", "in", "er", "an", "on", "re", "he", "the", "ing", "and", "st", "en", "her", "ti", "tion")
+SQL_HEX = ["".join(f"{b:02X}" for b in m.encode()) for m in MERGES]
+
+
+def sql_merged(x: str) -> str:
+    """Tokens in brackets: each merge in the order of ranks joins all its pairs."""
+    hexed = lambda t: "".join(f"{b:02X}" for b in t.encode())
+    for k in range(len(MERGES)):
+        for i in range(1, len(MERGES[k])):
+            a, b = MERGES[k][:i], MERGES[k][i:]
+            if a in {*MERGES[:k], *MERGES[k]} and b in {*MERGES[:k], *MERGES[k]}:
+                x = f"replace({x}, '[{hexed(a)}][{hexed(b)}]', '[{hexed(a + b)}]')"
+    return x
+
+
+@query("merge_rank_tokens", f"""WITH b AS (SELECT doc_id, regexp_replace(upper(hex(encode(text))), '(..)', '[\\1]', 'g') AS x FROM documents),
+m AS (SELECT doc_id, {sql_merged('x')} AS x FROM b),
+t AS (SELECT doc_id, list_transform(list_filter(string_split(replace(x, '[', ''), ']'), lambda t: t <> ''), lambda t: CASE WHEN len(t) = 2 THEN CAST('0x' || t AS INTEGER) ELSE 255 + list_position({SQL_HEX}, t) END) AS ids FROM m)
+SELECT doc_id, len(ids) AS n_ids, md5(array_to_string(ids, ',')) AS ids_md5, array_to_string(ids[greatest(1, len(ids) - 7):], ',') AS last_ids, greatest(0, 8 - len(ids)) AS n_pad FROM t""")
+def merge_rank_tokens(spark, sf_dir):
+    from ..functions.tokenizer import merge_ids
+
+    ranks = {bytes([b]): b for b in range(256)} | {m.encode(): 256 + k for k, m in enumerate(MERGES)}
+    d = read_table(spark, sf_dir, "documents").select("doc_id", merge_ids(spark, ranks)(F.col("text")).alias("ids"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    padded, mask = buckets.pad_left(F.col("ids"), 8, F.lit(-1)), buckets.attention_mask(F.col("ids"), 8)
+    real = F.filter(padded, lambda x: x >= 0)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(joined(F.col("ids")).cast("binary")).alias("ids_md5"), joined(real).alias("last_ids"), F.size(F.filter(mask, lambda x: x == 0)).cast("long").alias("n_pad"))
+
+
+@query("record_rejects", f"WITH {SQL_PAIRS}, r AS (SELECT *, original_answer AS answer FROM pairs) SELECT source_index FROM r WHERE NOT ({SQL_KEPT}) UNION ALL SELECT -1 - conv_id * 100000 - turn FROM conversations WHERE role = 'system'")
+def record_rejects(spark, sf_dir):
+    """Pairs without a question or an answer, and system turns, which have a question alone."""
+    c = read_table(spark, sf_dir, "conversations")
+    pairs = records.conversation_pairs(c).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("source_index"), F.to_json(F.struct("context", "question", "best_answer")).alias("value"))
+    lone = c.where("role = 'system'").select((-1 - F.col("conv_id") * 100_000 - F.col("turn")).alias("source_index"), F.to_json(F.struct(F.col("text").alias("question"))).alias("value"))
+    return records.normalize_records(pairs.unionByName(lone), strict=False).where("rejected").select("source_index")
+
+
+@query("presence_chain", """SELECT doc_id AS source_index, CASE WHEN lang = 'en' THEN source WHEN lang = 'de' THEN 'story of ' || source ELSE '' END AS context, CASE WHEN lang = 'en' THEN 'first' WHEN lang = 'de' THEN lang ELSE source END AS original_answer FROM documents""")
+def presence_chain(spark, sf_dir):
+    """Fields by the first key that is there: context before story, the best answer before the answer, which may be nested."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    english = F.to_json(F.struct(F.lit("q").alias("question"), F.col("source").alias("context"), F.lit("story").alias("story"), F.lit("first").alias("best_answer"), F.lit("second").alias("answer")))
+    german = F.to_json(F.struct(F.lit("q").alias("question"), F.concat(F.lit("story of "), "source").alias("story"), F.struct(F.col("lang").alias("text")).alias("answer")))
+    other = F.to_json(F.struct(F.lit("q").alias("question"), F.array("source", F.lit("later")).alias("answers")))
+    value = F.when(F.col("lang") == "en", english).when(F.col("lang") == "de", german).otherwise(other)
+    return records.normalize_records(d.select(F.col("doc_id").alias("source_index"), value.alias("value"))).select("source_index", "context", "original_answer")
+
+
+@query("bucket_order", f"WITH {SQL_TOKENS}, b AS (SELECT DISTINCT n % 50 + 1 AS b FROM buck) SELECT string_agg(b, ',' ORDER BY b) AS buckets FROM b")
+def bucket_order(spark, sf_dir):
+    """Lengths in any order and repeated become buckets that ascend."""
+    found = [r[0] for r in token_rows(spark, sf_dir).select((F.col("n_tokens") % 50 + 1).alias("b")).distinct().collect()]  # 50 at most
+    return spark.createDataFrame([(",".join(map(str, buckets.normalized_buckets(found[::-1] + found))),)], "buckets string")
+
+
+SQL_DAMAGE = "(SELECT count(*) FROM plan WHERE shard = 1)"
+
+
+@query("artifact_problems", f"""WITH RECURSIVE {SQL_SHARDS}, n AS (SELECT count(*) AS n, count(DISTINCT shard) AS shards FROM plan)
+SELECT 'whole' AS artifact, n AS records, shards, true AS valid, '' AS rules FROM n
+UNION ALL SELECT 'damaged', n - {SQL_DAMAGE}, shards - 1, false, 'damaged_file,duplicate_index,manifest_tensor_rows,metadata_rows,missing_rows,missing_shard,tensor_rows,vector_columns' FROM n""")
+def artifact_problems(spark, sf_dir):
+    """An artifact as it was written, and a copy that lost a shard, holds rows of a shard that the index hasn't, and a file of other columns."""
+    from ..sources import artifact
+    from ..sources.jsonl import read_document
+
+    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "whole"), width=WIDTH, shard_size=SHARD, layers=2, dtype="bfloat16")
+    jobs.extract(spark, own)
+    other = f"{own.output}-damaged"
+    df = artifact.read_shards(spark, own.output)
+    stray = df.where("shard = 0 AND offset = 0").withColumn("shard", F.lit(1_000_000).cast("long"))
+    df.where("shard <> 1").unionByName(stray).write.parquet(f"{other}/states")
+    df.where("shard = 2").drop("hidden_states").write.mode("append").parquet(f"{other}/states")
+    for name in ("index", "files"):
+        spark.read.parquet(f"{own.output}/{name}").write.parquet(f"{other}/{name}")
+    from ..sources.jsonl import write_document
+
+    write_document(spark, f"{other}/manifest.json", read_document(spark, f"{own.output}/manifest.json"))
+    rows = []
+    for name, folder in (("whole", own.output), ("damaged", other)):
+        r = artifact.validate_artifact(spark, folder, WIDTH, 2, dtype="bfloat16")
+        rows.append((name, r["records"], r["shards"], r["valid"], ",".join(sorted(p.split()[0] for p in r["problems"]))))
+    return spark.createDataFrame(rows, "artifact string, records long, shards long, valid boolean, rules string")

@@ -106,13 +106,6 @@ def read_document(spark: SparkSession, path: str) -> Any:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, bytes, sha256) of files below a path, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = files.option("pathGlobFilter", glob) if glob else files
-    return files.load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
-
-
 def completion_problems(spark: SparkSession, folder: str, start: int, end: int) -> list[str]:
     """How a prepared part's marker file and summary differ from those of a finished part with the source lines range(start, end)."""
     marker, summary = f"{folder}/SUCCESS", f"{folder}/summary.json"

@@ -107,3 +107,100 @@ def test_tensors(spark):
 def test_bfloat16(spark):
     got = spark.createDataFrame([([1.0, 1.00390625, 1.01171875, float("inf")],)], "v array<float>").select(tensors.to_bfloat16(F.col("v"))).first()[0]
     assert got == [1.0, 1.0, 1.015625, float("inf")]
+
+
+def test_all_bfloat16_values_make_a_round_trip():
+    import numpy as np
+
+    from granary.functions import tensors
+
+    bits = np.arange(1 << 16).astype(np.uint16)
+    back = tensors.bfloat16_bits(tensors.bfloat16_floats(bits))
+    nan = ((bits & 0x7F80) == 0x7F80) & ((bits & 0x7F) != 0)
+    assert np.array_equal(back[~nan], bits[~nan]) and np.isnan(tensors.bfloat16_floats(back[nan])).all()
+    assert np.array_equal(tensors.bfloat16_finite(bits), np.isfinite(tensors.bfloat16_floats(bits)))
+    between = np.array([1.00390625, 1.01171875, 1.004, 3.4e38, -1.01171875], np.float32)  # ties go to the even neighbour
+    assert tensors.bfloat16_floats(tensors.bfloat16_bits(between)).tolist() == [1.0, 1.015625, 1.0078125, float("inf"), -1.015625]
+
+
+def test_packed_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from granary.functions import tensors
+
+    rows = [(1, [0.5, -2.0, 1.0]), (2, []), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf")])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").select("id", tensors.pack_bfloat16("v").alias("p"))
+    got = {r.id: (r.n, r.f, r.v) for r in df.select("id", F.octet_length("p").alias("n"), tensors.packed_finite("p").alias("f"), tensors.unpack_bfloat16("p").alias("v")).collect()}
+    assert got[1] == (6, True, [0.5, -2.0, 1.0]) and got[2] == (0, True, []) and got[3] == (None, None, None)
+    assert got[4][:2] == (4, False) and got[5][:2] == (2, False)
+
+
+def test_rms_norm_in_bfloat16():
+    import numpy as np
+
+    from granary.functions import tensors
+
+    x, w = np.random.default_rng(1).standard_normal((5, 64)).astype(np.float32), np.linspace(0.5, 2, 64)
+    plain = x / np.sqrt((x.astype(float) ** 2).mean(axis=1, keepdims=True) + 1e-5)
+    assert np.allclose(tensors.rms_norm_rows(x), plain, rtol=1e-5) and np.allclose(tensors.rms_norm_rows(x, weight=w), plain * w, rtol=1e-5)
+    cast = lambda v: tensors.bfloat16_floats(tensors.bfloat16_bits(np.asarray(v, np.float32)))
+    assert np.array_equal(tensors.rms_norm_rows(x, weight=w, bfloat16=True), cast(cast(w) * cast(tensors.rms_norm_rows(x))))
+
+
+def naive_merges(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if piece in ranks:
+        return [ranks[piece]]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_match_the_plain_rule():
+    import random
+
+    from granary.functions.tokenizer import merge_piece
+
+    rng = random.Random(1)
+    ranks = {bytes([b]): b for b in range(256)}
+    for k in range(60):
+        ranks.setdefault(b"".join(rng.choice([t for t in ranks if t.isalpha() and t < b"e"][:40]) for _ in range(2)), 256 + k)
+    for _ in range(400):
+        piece = bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 40)))
+        assert merge_piece(piece, ranks) == naive_merges(piece, ranks)
+    assert len(merge_piece(b"ab" * 200_000, ranks)) > 1  # no square
+
+
+def test_token_ids_match_a_public_library(spark):
+    import base64
+    import os
+
+    import pytest
+
+    from granary.functions.tokenizer import PIECES, merge_ids, read_ranks
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    tiktoken = pytest.importorskip("tiktoken")
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    texts = ["Hello  world, it's 2024!", "naïve café — ÆØÅ 漢字 _x_y", "", "a\n\n  b\t", "pneumonoultramicroscopic" * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id long, t string")
+    got = {r.id: r.ids for r in df.select("id", merge_ids(spark, read_ranks(spark, path))("t").alias("ids")).collect()}
+    assert [got[i] for i in range(len(texts))] == [own.encode_ordinary(t) for t in texts] and got[len(texts)] == []
+
+
+def test_a_vocabulary_must_be_whole(spark, tmp_path):
+    import base64
+
+    import pytest
+
+    from granary.functions import tokenizer
+
+    (tmp_path / "v").write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(255)))
+    with pytest.raises(ValueError, match="1 single bytes"):
+        tokenizer.read_ranks(spark, str(tmp_path / "v"))

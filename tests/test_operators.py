@@ -169,3 +169,44 @@ def test_resume_covers_the_rest(spark):
     whole, done = spark.range(20).withColumnRenamed("id", "source_index"), spark.createDataFrame([(3,), (3,), (5,)], "source_index long")
     assert rows_of(integrity.remaining(whole, done), "source_index") == [(i,) for i in range(20) if i not in (3, 5)]
     assert integrity.same_rows(whole, integrity.union_parts([whole.where("source_index < 7"), whole.where("source_index >= 7")])).count() == 0
+
+
+def test_ranges_stay_even_beside_a_far_key(spark):
+    from granary.operators import ordinals, packing
+
+    rows = spark.range(40_000).select("id").unionByName(spark.createDataFrame([(2**62,), (-(2**62),)], "id long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little is one range
+    try:
+        laid = ordinals.lay_out(rows, "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in ordinals.spans(laid).select(F.col("_n").alias("n")).collect()]
+    assert sum(sizes) == 40_002 and max(sizes) < 3 * sum(sizes) / len(sizes) and len(sizes) > 2
+    got = packing.with_ordinal(rows, "id").orderBy("id").collect()
+    assert [r.ordinal for r in got] == list(range(40_002)) and got[0].id == -(2**62)
+
+
+def test_ordinals_of_null_groups(spark):
+    from granary.operators import packing
+
+    df = spark.createDataFrame([(3, None), (1, None), (2, "a"), (5, "a"), (4, "b")], "k long, g string")
+    assert sorted((r.k, r.ordinal) for r in packing.with_ordinal(df, "k", ["g"]).collect()) == [(1, 0), (2, 0), (3, 1), (4, 0), (5, 1)]
+    with pytest.raises(Exception, match="k is null"):
+        packing.with_ordinal(df.withColumn("k", F.when(F.col("k") > 1, F.col("k"))), "k").collect()
+
+
+def test_constraints_scan_the_metadata_once(spark, monkeypatch):
+    from granary.operators import integrity
+
+    meta = spark.createDataFrame([(0, 0, "a", 0), (1, 0, "a", 0), (2, 1, "b", 0), (2, 5, "c", 0), (3, None, "b", 2)], "source_index long, rank int, shard string, offset long")
+    held = spark.createDataFrame([("a", 2), ("b", 2)], "shard string, rows long")
+    plans = []
+    own = integrity.stage_boundary
+    monkeypatch.setattr(integrity, "stage_boundary", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    got = {(r.rule, r.subject, r.detail) for r in integrity.metadata_problems(meta, held, 3, 5, 4).collect()}
+    assert got == {
+        ("foreign_rank", "5", "1"), ("foreign_rank", None, "1"), ("missing_shard", "c", "metadata refers to it"), ("offsets", "a", "incomplete or duplicate"), ("offsets", "b", "incomplete or duplicate"),
+        ("duplicate_index", "2", "2"), ("tensor_rows", "5", "4"), ("missing_metadata", "2", "no rows of this rank"),
+    }
+    assert len(plans) == 1 and plans[0].count("LogicalRDD") + plans[0].count("LocalRelation") == 2
+    assert integrity.problem_summary(integrity.metadata_problems(meta, held, 3, 5, 4))[-1].endswith("tensor_rows 5: 4")
