@@ -253,16 +253,18 @@ def test_leaks(spark):
         docs.append((i, " ".join(w).capitalize() + "."))
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(9, None), (10, "")], "item_id long, text string")
     docs += [(100, None), (101, "")]
-    for block in (1 << 20, 300):
-        got = decontamination.find_leaks(frame(spark, docs), benchmark, block=block).collect()
+    for most in (1 << 20, 300):  # by a broadcast, by a shuffle
+        got = decontamination.find_leaks(frame(spark, docs), benchmark, broadcast=most).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
+        dropped = decontamination.drop_leaks(frame(spark, docs), benchmark, broadcast=most)
+        assert sorted(r.doc_id for r in dropped.collect()) == sorted({i for i, _ in docs} - {i for i, _ in want}) and dropped.columns == frame(spark, docs).columns
     for r in got:
         own = re.findall(r"[a-z]+", dict(docs)[r.doc_id].lower())
         assert brute.align(dict(items)[r.item_id], own) / 60 == pytest.approx(r.score)
-    clean = decontamination.drop_leaks(frame(spark, docs), benchmark)
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in want} and clean.columns == frame(spark, docs).columns
-    assert decontamination.find_leaks(frame(spark, []), benchmark).count() == 0
-    assert decontamination.find_leaks(frame(spark, docs), benchmark.limit(0)).count() == 0
+    for most in (1 << 20, 0):
+        assert decontamination.find_leaks(frame(spark, []), benchmark, broadcast=most).count() == 0
+        assert decontamination.find_leaks(frame(spark, docs), benchmark.limit(0), broadcast=most).count() == 0
+        assert decontamination.drop_leaks(frame(spark, docs), benchmark.limit(0), broadcast=most).count() == len(docs)
 
 
 def test_leaks_without_a_common_trigram(spark):
@@ -277,8 +279,44 @@ def test_leaks_without_a_common_trigram(spark):
     want = {key: s / (2 * len(dict(items)[key[1]])) for key, s in points.items() if s >= len(dict(items)[key[1]])}
     assert {(10 * k + m, k) for k, _ in items for m in range(4)} - {(11, 1)} <= set(want)
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, docs), benchmark).collect()}
-    assert got == pytest.approx(want)
+    for most in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, docs), benchmark, broadcast=most).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_leaks_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(14)
+    own = [f"{rng.choice(WORDS)}{rng.randrange(30)}" for _ in range(30)]
+    benchmark = spark.createDataFrame([(None, " ".join(own)), (2, "unlicense"), (2, "unlicense")], "item_id long, text string")
+    docs = [(1, "a b " + " ".join(own)), (1, "a b " + " ".join(own)), (None, " ".join(own[:29])), (3, "the Unlicense here"), (4, None), (5, ""), (6, "word " * 120_000 + " ".join(own))]
+    want = sorted([(1, None), (1, None), (None, None), (3, 2), (6, None)], key=str)
+    for most in (1 << 20, 0):
+        assert sorted(((r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, docs), benchmark, broadcast=most).collect()), key=str) == want
+        kept = decontamination.drop_leaks(frame(spark, docs), benchmark, broadcast=most)
+        assert sorted(r.doc_id for r in kept.collect()) == [4, 5]
+
+
+def test_rare_seeds_lose_no_copy():
+    """Every alignment of the least score holds as many seeds as are asked for, whichever places are common."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(1, 1 << 63, 40, np.uint64)
+    held = 0
+    for _ in range(600):
+        n = int(rng.integers(4, 60))
+        item = vocabulary[(rng.random(n) ** 2 * 40).astype(int)]
+        often = rng.integers(0, 50, 1 << decontamination.SKETCH_BITS)
+        copy = [w for w in item.tolist() for w in ([] if rng.random() < 0.12 else [w] if rng.random() < 0.8 else [int(rng.integers(1 << 62)), w])]
+        doc = np.array([*vocabulary[:5].tolist(), *copy, *vocabulary[5:9].tolist()], np.uint64)
+        need = decontamination.needed(n, decontamination.LEAST_SCORE)
+        score = int(decontamination.align(item[None], doc[None])[0][0])
+        places, hits = decontamination.seed_places(item, need, often)
+        if score < need or need <= decontamination.MATCH:
+            continue
+        pairs = {(int(a), int(b)) for d in (1, 2) for a, b in zip(doc[:-d], doc[d:], strict=True)}
+        met = {int(p) for p in places for d in (1, 2) if p + d < n and (int(item[p]), int(item[p + d])) in pairs}
+        assert len(met) >= hits
+        held += 1
+    assert held > 200
 
 
 def test_leaks_of_long_and_short_items(spark):
