@@ -367,19 +367,29 @@ def _block_count(docs: str, tokens: str):
 def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame:
     """(g, k, i, j, side, ref, known): which documents meet in which cell.
 
-    k = 0: a group with itself, block i against block j >= i.  k = 1: queries that opened it, block i, against its members, block j.
-    Groups whose members are all linked with each other already need no cell of the first kind.
+    A group's largest component is its home, its other members are strays.  k = 0: strays with each other, block i against block j >= i.  k = 2: strays,
+    block i, against the home's members, block j, which never meet each other.  k = 1: queries that opened the group, block i, against its members, block j.
+    Groups whose members are all linked with each other already need no cell of the first kinds; one stray costs each member one place.
     A group's number of blocks goes to its rows by a broadcast of checked size or by a salted join, so no group's rows meet in one task.
     """
     block = lambda n: F.pmod(F.xxhash64("ref"), F.col(n)).cast("int")
-    groups = reps.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t"), (F.min("known") != F.max("known")).alias("open")).withColumn("nb", _block_count("_d", "_t")).select("gid", "nb", "open")
-    groups = stage_boundary(groups)
-    own = join_few(reps, groups.where("open"), "gid").withColumn("b", block("nb")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    own = own.select(F.col("gid").alias("g"), F.lit(0).alias("k"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "ref", "known")
+    each = reps.groupBy("gid", "known").agg(F.count("*").alias("_d"), F.sum("n").alias("_t"))
+    groups = each.groupBy("gid").agg(F.sum("_d").alias("_d"), F.sum("_t").alias("_t"), F.max(F.struct("_d", "known", "_t")).alias("_h"))
+    groups = groups.withColumn("_hd", F.col("_h._d")).withColumn("_ht", F.col("_h._t")).withColumn("_sd", F.col("_d") - F.col("_hd")).withColumn("_st", F.col("_t") - F.col("_ht"))
+    strays = F.when(F.col("_sd") > 0, _block_count("_sd", "_st")).otherwise(0)
+    groups = stage_boundary(groups.select("gid", _block_count("_d", "_t").alias("nb"), F.col("_h.known").alias("home"), strays.alias("ns"), _block_count("_hd", "_ht").alias("nh")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = lambda d, k, side: d.select(F.col("gid").alias("g"), F.lit(k).alias("k"), "i", "j", side.alias("side"), "ref", "known")
+    split = join_few(reps, groups.where("ns > 0").select("gid", "home", "ns", "nh"), "gid")
+    stray = split.where("known <> home").withColumn("b", block("ns"))
+    among = stray.withColumn("o", spread("ns")).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    own = cell(among, 0, F.when(F.col("b") <= F.col("o"), 0).otherwise(1))
+    own = own.unionByName(cell(stray.withColumn("i", F.col("b")).withColumn("j", spread("nh")), 2, F.lit(0)))
+    own = own.unionByName(cell(split.where("known = home").withColumn("j", block("nh")).withColumn("i", spread("ns")), 2, F.lit(1)))
     if opened is None:
         return own
     asking = opened.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t")).withColumn("nq", _block_count("_d", "_t")).select("gid", "nq")
-    sizes = stage_boundary(groups.join(asking, "gid").select("gid", "nb", "nq"))
+    sizes = stage_boundary(groups.select("gid", "nb").join(asking, "gid").select("gid", "nb", "nq"))
     queries = join_few(opened.withColumnRenamed("query", "ref"), sizes, "gid").withColumn("i", block("nq")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     members = join_few(reps, sizes, "gid").withColumn("j", block("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     cross = [d.select(F.col("gid").alias("g"), F.lit(1).alias("k"), "i", "j", F.lit(side).alias("side"), "ref", "known") for side, d in ((0, queries), (1, members))]

@@ -14,7 +14,7 @@ from ._arrow import map_batches, map_partition
 from ._components import components
 from ._kernel import mix64
 from ._packed import parts_of
-from .jaccard_join import _renumbered, _sets, compare_cells, fitting, join_few, lay_out_cells, verify_pairs
+from .jaccard_join import _renumbered, _sets, compare_cells, fitting, join_few, join_text, lay_out_cells, verify_pairs
 from .substring_dedup import with_refs
 
 _U = np.uint64
@@ -216,7 +216,7 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     left = families.join(classes.select("rep", "n"), "rep").join(known, F.col("rep") == F.col("node"), "left")
     left = stage_boundary(left.select(F.col("rep").alias("ref"), "n", "gid", F.coalesce("root", "rep").alias("known")))
     cells = stage_boundary(lay_out_cells(left))
-    more = compare_cells(docs.select("ref", "text").join(cells, "ref"), shingle, percent, parts)
+    more = compare_cells(join_text(docs.select("ref", "text"), cells), shingle, percent, parts)
     return meta, classes, stage_boundary(links.unionByName(more).distinct(), release=True)
 
 

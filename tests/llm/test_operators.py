@@ -81,6 +81,19 @@ def test_jaccard_family_without_a_common_leader(spark, monkeypatch):
     assert collected(got, "doc_id", "n_shingles", "component_id") == brute.jaccard(docs)
 
 
+def test_one_stray_costs_each_member_one_place(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 100)
+    reps = spark.range(2000).select(F.col("id").alias("ref"), F.lit(5).cast("long").alias("n"), F.lit(1).cast("long").alias("gid"), F.when(F.col("id") == 77, 77).otherwise(0).cast("long").alias("known"))
+    cells = jaccard_join.lay_out_cells(reps)
+    assert cells.count() < 2 * 2000 and cells.where("ref = 77").select("j").distinct().count() == 20
+    met = cells.where("ref <> 77").join(cells.where("ref = 77").select("g", "k", "i", "j"), ["g", "k", "i", "j"], "left_semi")
+    assert met.select("ref").distinct().count() == 1999
+    assert jaccard_join.lay_out_cells(reps.where("ref <> 77")).count() == 0
+    lone = jaccard_join.lay_out_cells(reps.withColumn("known", F.col("ref")).where("ref < 250"))  # nobody is linked: every pair meets
+    pairs = lone.alias("a").join(lone.alias("b"), ["g", "k", "i", "j"]).where("a.ref < b.ref").select(F.col("a.ref").alias("x"), F.col("b.ref").alias("y")).distinct()
+    assert pairs.count() == 250 * 249 // 2
+
+
 def test_jaccard_edges(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "A B c d e f"), (6, None), (7, ""), (8, "x")]
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect())
