@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,10 +15,11 @@ WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 MARKERS = ("\n", "Q:", "A:", "question:", "answer:", "Question:", "Answer:", "Questions:", "questions:", "QUESTION:", "ANSWER:", "REF", ".Forms", "http", "php", "Question", "Answer")
 
 # Words before a full stop that do not end a sentence.
-ABBREVIATIONS = frozenset("Mr Mrs Ms Dr Prof Sr Jr Gen Brig Adm Rear Lt Col Maj Capt St vs etc Fig Eq".split())
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "Gen", "Brig", "Adm", "Rear", "Lt", "Col", "Maj", "Capt", "St", "vs", "etc", "Fig", "Eq")
 
 _INITIALS = re.compile(r"(?:[A-Za-z]\.){2,}")
 _MARK = re.compile(r"\.\.\.|[.!?]")
+_SOLID = re.compile(r"\S")
 
 #: Length in words: runs of anything but space, tab and line breaks.
 WORD_PATTERN = r"[^ \t\n\r]+"
@@ -40,7 +40,16 @@ def marker_cut(answer: Column) -> Column:
 
 
 def _next_solid(text: str, at: int) -> str:
-    return next((c for c in text[at:] if not c.isspace()), "")
+    found = _SOLID.search(text, at)
+    return found.group() if found else ""
+
+
+def _token_before(text: str, i: int) -> str:
+    """Letters and dots that stand before place i."""
+    start = i
+    while start and (text[start - 1] == "." or text[start - 1].isalpha()):
+        start -= 1
+    return text[start:i]
 
 
 def ends_sentence(text: str, i: int) -> bool:
@@ -51,7 +60,7 @@ def ends_sentence(text: str, i: int) -> bool:
             return False
         if before.isalpha() and after.isalpha() and text[i + 2 : i + 3] == ".":
             return False
-    token = "".join(takewhile(lambda c: c == "." or c.isalpha(), reversed(text[:i])))[::-1]
+    token = _token_before(text, i)
     if token in ABBREVIATIONS or ("." in token and _INITIALS.fullmatch(token + ".")):
         return False
     if token == "No":
