@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import stage_boundary
 from ._arrow import map_batches
 from ._kernel import LOWER, class_table, string_column, text_blocks, words
+from .jaccard_join import join_few
 
 # The base kinds, in their order.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -114,10 +115,10 @@ def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", repo
     Identical rows are each returned; further columns are ignored; an empty table gives no rows.
     """
     found = stage_boundary(find_candidates(df, text, doc_id, repository, owner).withColumn("row", F.monotonically_increasing_id()))
-    frequency = ownership_frequency(found)
+    frequency = stage_boundary(ownership_frequency(found))
     places = found.select("row", F.explode("found").alias("c")).select("row", "c.*")
     verdict = F.when((F.col("n_repos") >= copied_repos) | (F.col("n_owners") > 1), F.lit("copied")).when(F.col("live"), F.lit("live"))
-    judged = places.join(frequency, "h").withColumn("kind", verdict).where("kind is not null")
+    judged = join_few(places, frequency, "h", "row").withColumn("kind", verdict).where("kind is not null")
     added = judged.groupBy("row").agg(
         F.collect_set(F.struct("s", F.when(F.col("kind") == "live", 3).otherwise(4).alias("k"), "e")).alias("added"),
         F.count_distinct(F.when(F.col("kind") == "live", F.col("h"))).alias("n_live"),

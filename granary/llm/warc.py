@@ -10,8 +10,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import shared_folder
+from ..sources import shared_folder, stage_boundary
 from ._arrow import map_batches
+from .prefix_trie import look_up
 
 #: Payloads below this are never revisits.
 LEAST_BYTES = 1000
@@ -33,17 +34,19 @@ def _line(name: str, value: Column) -> Column:
 def plan_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages with their payload's length and digest, and the page that they revisit, if any.
 
-    Of equal payloads of LEAST_BYTES or more the largest key is the response.  Only (length, digest, key) is aggregated, map-side first;
-    payload bodies move once.  Digests that stand once need no partner, so only repeated ones are joined back.
+    Of equal payloads of LEAST_BYTES or more the largest key is the response; payloads are equal if their lengths and two digests are.  Only these
+    and the key are aggregated, map-side first.  Digests that stand once need no partner, so only repeated ones are joined back, to bodies that stay
+    where they are if the repeated digests are few in bytes, and else are dealt over several tasks per digest.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
     p = p.withColumn("payload_bytes", F.octet_length("body").cast("long")).withColumn("payload_digest", F.sha1("body"))
-    large = p.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
-    shared = large.where("n > 1").select(F.col("payload_digest").alias("_d"), "holder")
-    joined = p.join(shared, p.payload_digest == shared._d, "left")
+    p = p.withColumn("_second", F.md5("body"))
+    same = ("payload_bytes", "payload_digest", "_second")
+    large = p.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy(*same).agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
+    joined = look_up(p, stage_boundary(large.where("n > 1").select(*same, "holder")), same, "page_id")
     big = (F.col("payload_bytes") >= LEAST_BYTES) & (F.col("page_id") != F.col("holder"))
-    return joined.withColumn("refers_to", F.when(big, F.col("holder"))).drop("_d", "holder")
+    return joined.withColumn("refers_to", F.when(big, F.col("holder"))).drop("_second", "holder")
 
 
 def capture_records(plan: DataFrame) -> Column:

@@ -63,6 +63,18 @@ def test_long_pages_in_archives(spark, long_docs):
         assert got[i] == (len(b), hashlib.sha1(b).hexdigest(), *(("revisit", 6) if i == 1 else ("response", None)))
 
 
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """The same results where nothing may be broadcast: one payload on many pages, one secret in many documents."""
+    body = "<p>" + "x" * 1200
+    pages = spark.createDataFrame([(i, f"http://h/{i}", body if i % 3 else f"{body}{i}") for i in range(60)] + [(None, "u", body)], "page_id long, url string, html string")
+    docs = frame(spark, [(i, f"key{i} token=Zx9Qw8Er7T password=sample{i % 2}pw1") for i in range(60)])
+    own = lambda: (sorted(map(str, warc.archive_and_read(pages).collect())), sorted(map(str, secret_scan.scan_secrets(docs).collect())))
+    want = own()
+    for module in ("jaccard_join", "prefix_trie"):
+        monkeypatch.setattr(f"granary.llm.{module}.fits_broadcast", lambda table: False)
+    assert own() == want and sum("revisit" in x for x in want[0]) == 39  # but the holder and the null id
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "the mit license token=abcdefgh12\nline of some length here\nline of some length here"
     rows = [(1, text), (1, text), (None, text), (None, None), (2, "other words")]
