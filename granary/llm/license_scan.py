@@ -18,15 +18,25 @@ WORD_BYTES = ~class_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 # Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Templates, the opening words of public licence texts and usual notices, and their labels.
+# Templates, paragraphs of public licence texts and usual notices, and their labels; a file may hold any one of them without the others.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("mit", "Released under the MIT License."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -132,6 +142,10 @@ class Index:
         self.pairs = np.zeros((size + 1, size + 1), bool)
         for x in self.lists + self.phrase_lists:
             self.pairs[x[:-1], x[1:]] = True
+        #: Words that are a phrase or template by themselves; the shortest template.
+        self.single = np.zeros(size + 1, bool)
+        self.single[[x[0] for x in self.lists + self.phrase_lists if len(x) == 1]] = True
+        self.shortest = min(map(len, self.lists), default=1)
         raw = np.frombuffer(b"".join(self.vocabulary), np.uint8)
         ends = np.cumsum([len(w) for w in self.vocabulary])
         hashes = hash_spans(raw, np.concatenate(([0], ends[:-1])), ends)
@@ -160,12 +174,12 @@ def chain(index: Index, stats: list[tuple[int, int]], least: int, gap: int, cove
     """Base places (start, end, phrase) of one run; adds its long right-maximal matches to covered by template."""
     found = []
     for i, (s, n) in enumerate(stats):
-        for k in index.ending[s] if n > 1 else ():
+        for k in index.ending[s]:
             if len(index.phrase_lists[k]) <= n:
                 found.append((i + 1 - len(index.phrase_lists[k]), i + 1, k))
-        if n >= least and (i + 1 == len(stats) or stats[i + 1][1] <= n):
+        if n >= min(least, index.shortest) and (i + 1 == len(stats) or stats[i + 1][1] <= n):
             for template, places in index.automaton.places[s].items():
-                if template < len(index.lists):
+                if template < len(index.lists) and n >= min(least, len(index.lists[template])):
                     covered.setdefault(template, []).extend((i + 1 - n, i + 1, place + 1 - n) for place in places)
     return found
 
@@ -208,7 +222,8 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
     """Licences of each whole text.
 
     Each document's words stream through the automaton; where they reach no two words in a row of any template its state is the root's,
-    so those stretches are passed over in bulk.  Right-maximal matches of ``least`` words or more are chained (gaps up to ``gap`` words)
+    so those stretches are passed over in bulk; phrases and templates of one word are found wherever they stand.  Right-maximal matches of
+    ``least`` words or more, or of a whole shorter template, are chained (gaps up to ``gap`` words)
     and a template gives its label, and a span for each of its disjoint chains that cover ``cover`` of its words; score is the best cover.
     One row per input row (repeated ones too); null and empty texts have no words, labels "" and score 0; further columns are ignored.
     """
@@ -223,7 +238,7 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
             starts, ends = words(low, offs, WORD_BYTES)
             doc = owners(offs, starts)
             out["n_words"][i:j] = np.bincount(doc, minlength=j - i).tolist()
-            if len(starts) < 2:
+            if not len(starts):
                 continue
             number = index.numbers(hash_spans(low, starts, ends))
             good = index.pairs[number[:-1], number[1:]] & (doc[:-1] == doc[1:])
@@ -231,7 +246,9 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", tem
             first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=j - i))))
             places: dict[int, list] = {}
             matches: dict[int, dict[int, list]] = {}
-            for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            beside = np.concatenate((good, [False])) | np.concatenate(([False], good))
+            lone = np.flatnonzero(index.single[number] & ~beside)
+            for a, z in zip(np.concatenate((np.flatnonzero(edge == 1), lone)), np.concatenate((np.flatnonzero(edge == -1), lone)), strict=True):
                 d = int(doc[a])
                 base = int(a - first[d])
                 own: dict[int, list] = {}

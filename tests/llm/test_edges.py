@@ -90,6 +90,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert n(minhash_dedup.minhash_components(frame(spark, rows))) == ids
 
 
+def test_licenses_of_one_word_and_of_later_paragraphs(spark):
+    rows = [(1, "under the unlicense here"), (2, "Unlicense"), (3, "unlicense unlicense mit license"), (4, "nothing"), (5, None)]
+    got = collected(license_scan.scan_licenses(frame(spark, rows), phrases=(*license_scan.PHRASES, ("unlicense", "unl"))), "doc_id", "n_base", "first_word", "last_word", "base_labels")
+    assert got == {1: (1, 2, 2, "unl"), 2: (1, 0, 0, "unl"), 3: (3, 0, 2, "mit,unl"), 4: (0, None, None, ""), 5: (0, None, None, "")}
+    got = collected(license_scan.scan_licenses(frame(spark, rows), templates=(*license_scan.TEMPLATES, ("unl", "unlicense"))), "doc_id", "labels", "score")
+    assert got[1] == ("unl", 1.0) and got[2] == ("unl", 1.0) and got[3] == ("mit,unl", 1.0) and got[4] == ("", 0.0)
+    later = [(k, "int main() {} /* " + t.lower().replace(",", " ,\n * ") + " */") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
+    got = collected(license_scan.scan_licenses(frame(spark, later)), "doc_id", "labels", "score")
+    assert all(label in got[k][0].split(",") and got[k][1] == 1.0 for k, (label, _) in enumerate(license_scan.TEMPLATES))
+
+
 def tables(spark, tmp_path, items):
     spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
