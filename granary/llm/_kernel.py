@@ -76,6 +76,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def hash_eights(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """hash_spans of the eight bytes at each place, in one step; all places are hashed in a row, which is cheaper than to pick those asked for first."""
+    seed = mix64(np.array([8], _U) + _STEP) * _STEP
+    return mix64(_eights(data) + seed)[at]
+
+
 def hash_grams(data: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of the k bytes at each place that has so many."""
     m = len(data) - k + 1

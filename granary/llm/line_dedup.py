@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import stage_boundary
 from ._arrow import map_batches
 from ._components import components
-from ._kernel import LOWER, NOT_SPACE, buffers, hash_spans, mix64, string_column, text_blocks, unique_by_group, words
+from ._kernel import LOWER, NOT_SPACE, buffers, hash_eights, hash_spans, mix64, string_column, text_blocks, unique_by_group, words
 from ._packed import blobs, deal, exchange, map_packed, parts_of, unpack
 from .jaccard_join import LOT, _rows, compare_cells, join_text, lay_out_cells, star_links, verify_pairs
 from .substring_dedup import _ranges, by_document, with_refs
@@ -39,8 +41,12 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _grams(low: np.ndarray, a: np.ndarray, z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle and its line."""
     count = np.maximum(z - a - k + 1, 1)
-    at = _ranges(a, count)
-    return hash_spans(low, at, np.minimum(at + k, np.repeat(z, count))), np.repeat(np.arange(len(a)), count)
+    at, line = _ranges(a, count), np.repeat(np.arange(len(a)), count)
+    if k != 8:
+        return hash_spans(low, at, np.minimum(at + k, z[line])), line
+    out, short = hash_eights(low, at), np.flatnonzero(z - a < 8)
+    out[(np.cumsum(count) - 1)[short]] = hash_spans(low, a[short], z[short])
+    return out, line
 
 
 def signatures(gram: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -51,13 +57,14 @@ def signatures(gram: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     np.minimum.at(sig, where, (gram & _U(0x7FFFFFFF)).astype(np.uint32))
     filled = sig != 0xFFFFFFFF
     empty = np.flatnonzero(~filled)
-    attempt = 1
+    own, attempt = empty % bins, 1
+    each = np.arange(bins, dtype=_U) * _U(977)
     while len(empty):
-        own = empty % bins
-        donor = empty - own + (mix64(own.astype(_U) * _U(977) + _U(attempt * 1_000_003)) % _U(bins)).astype(np.int64)
+        tries = (mix64(each + _U(attempt * 1_000_003)) % _U(bins)).astype(np.int64)  # each bin's donor in this attempt
+        donor = empty - own + tries[own]
         ok = filled[donor]
         sig[empty[ok]] = sig[donor[ok]]
-        empty = empty[~ok]
+        empty, own = empty[~ok], own[~ok]
         attempt += 1
     return sig.reshape(n, bins)
 
@@ -214,7 +221,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     lost = member.join(keeper, "root").where("place <> keep").select("place.ref", "place.start")
     drops = later.unionByName(lost).groupBy("ref").agg(F.sort_array(F.collect_set("start")).alias("drops"))
     drops = stage_boundary(drops, release=True)
-    joined = join_text(docs, drops, how="left")
+    joined = docs.join(drops, "ref", "left")
 
     def batch(b):
         column = string_column(b.column(1))
@@ -222,7 +229,12 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
         for i, j, data, offs in text_blocks(column):
             n[i:j] = np.bincount(lines_of(data, offs)[3], minlength=j - i)
         drop = b.column(2).to_pylist()
-        kept = [column[d].as_py() if not x else cut_lines(column[d].as_py(), x) for d, x in enumerate(drop)]
+        some = [d for d, x in enumerate(drop) if x]
+        kept = column
+        if some:
+            mask = np.zeros(len(column), bool)
+            mask[some] = True
+            kept = pc.replace_with_mask(column, pa.array(mask), pa.array([cut_lines(column[d].as_py(), drop[d]) for d in some], column.type))
         yield {"doc": b.column(0), "n_lines": n, "n_removed": [len(x or ()) for x in drop], "kept": kept} | {x: b.column(3 + k) for k, x in enumerate(names)}
 
     names, kinds = [f"keep{k}" for k in range(len(keep))], dict(df.dtypes)

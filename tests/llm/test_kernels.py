@@ -180,3 +180,15 @@ def test_alignment(item, passage):
     assert score == brute.align(item, passage)
     if score:
         assert brute.align(item, passage[begin:end]) == score
+
+
+def test_eight_bytes_at_once_hash_as_spans():
+    data = np.random.default_rng(2).integers(0, 256, 500).astype(np.uint8)
+    at = np.array([0, 3, 491, 492])
+    assert np.array_equal(_kernel.hash_eights(data, at), _kernel.hash_spans(data, at, at + 8))
+    from granary.llm import line_dedup
+
+    a, z = np.array([0, 20, 40, 60]), np.array([7, 28, 41, 90])
+    gram, line = line_dedup._grams(data, a, z, 8)
+    want = [(s, min(s + 8, e)) for s0, e in zip(a, z, strict=True) for s in range(s0, max(s0, e - 8) + 1)]
+    assert np.array_equal(gram, _kernel.hash_spans(data, *map(np.array, zip(*want, strict=True)))) and line.tolist() == [0, 1, 2] + [3] * 23
