@@ -334,8 +334,11 @@ def _sum_pairs(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [q[at], g[at], np.add.reduceat(n, at)]
 
 
-def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ref, n, class) of documents, (class, rep, n) of sets that aren't empty, and links (a, b) of classes' documents; steps 1 to 4 below."""
+def find_links(docs: DataFrame, shingle: int, percent: int, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(ref, n, class) of documents, (class, rep, n) of sets that aren't empty, links (a, b) of classes' documents, and (rep, n_links); steps 1 to 4 below.
+
+    The links tie together all that link, but are spanning; only where they are counted are all pairs of a group and of its queries compared.
+    """
     parts = parts_of(docs)
     spark = docs.sparkSession
     described = stage_boundary(describe_documents(docs.select("ref", "text"), shingle, parts), release=True)
@@ -356,20 +359,25 @@ def find_links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
     own = reps.select(F.col("ref").alias("query"), "n", "known")
     opened = stage_boundary(bounds.join(own, "query").where(F.col("met") >= least).select("query", "gid", "n", "known"))
-    more = compare_cells(join_text(docs, stage_boundary(lay_out_cells(reps, opened))), shingle, percent, parts)
-    return meta, classes, stage_boundary(links.unionByName(more).distinct(), release=True)
+    more = compare_cells(join_text(docs, stage_boundary(lay_out_cells(reps, opened, counted))), shingle, percent, parts, counted=counted)
+    if not counted:
+        return meta, classes, stage_boundary(links.unionByName(more).distinct(), release=True), None
+    more = stage_boundary(more, release=True)
+    degree = more.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    return meta, classes, stage_boundary(links.unionByName(more.where("a <> b").select("a", "b")).distinct()), degree
 
 
 def _block_count(docs: str, tokens: str):
     return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(tokens) / BLOCK_TOKENS), F.lit(1)).cast("int")
 
 
-def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame:
+def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """(g, k, i, j, side, ref, known): which documents meet in which cell.
 
     A group's largest component is its home, its other members are strays.  k = 0: strays with each other, block i against block j >= i.  k = 2: strays,
     block i, against the home's members, block j, which never meet each other.  k = 1: queries that opened the group, block i, against its members, block j.
     Groups whose members are all linked with each other already need no cell of the first kinds; one stray costs each member one place.
+    whole: every two members of a group meet, and every query each of them, once, so that links can be counted: all members are laid out as strays are.
     A group's number of blocks goes to its rows by a broadcast of checked size or by a salted join, so no group's rows meet in one task.
     """
     block = lambda n: F.pmod(F.xxhash64("ref"), F.col(n)).cast("int")
@@ -377,15 +385,18 @@ def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame
     groups = each.groupBy("gid").agg(F.sum("_d").alias("_d"), F.sum("_t").alias("_t"), F.max(F.struct("_d", "known", "_t")).alias("_h"))
     groups = groups.withColumn("_hd", F.col("_h._d")).withColumn("_ht", F.col("_h._t")).withColumn("_sd", F.col("_d") - F.col("_hd")).withColumn("_st", F.col("_t") - F.col("_ht"))
     strays = F.when(F.col("_sd") > 0, _block_count("_sd", "_st")).otherwise(0)
+    if whole:
+        strays = F.when(F.col("_d") > 1, _block_count("_d", "_t")).otherwise(0)
     groups = stage_boundary(groups.select("gid", _block_count("_d", "_t").alias("nb"), F.col("_h.known").alias("home"), strays.alias("ns"), _block_count("_hd", "_ht").alias("nh")))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cell = lambda d, k, side: d.select(F.col("gid").alias("g"), F.lit(k).alias("k"), "i", "j", side.alias("side"), "ref", "known")
     split = join_few(reps, groups.where("ns > 0").select("gid", "home", "ns", "nh"), "gid")
-    stray = split.where("known <> home").withColumn("b", block("ns"))
+    stray = (split if whole else split.where("known <> home")).withColumn("b", block("ns"))
     among = stray.withColumn("o", spread("ns")).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
     own = cell(among, 0, F.when(F.col("b") <= F.col("o"), 0).otherwise(1))
-    own = own.unionByName(cell(stray.withColumn("i", F.col("b")).withColumn("j", spread("nh")), 2, F.lit(0)))
-    own = own.unionByName(cell(split.where("known = home").withColumn("j", block("nh")).withColumn("i", spread("ns")), 2, F.lit(1)))
+    if not whole:
+        own = own.unionByName(cell(stray.withColumn("i", F.col("b")).withColumn("j", spread("nh")), 2, F.lit(0)))
+        own = own.unionByName(cell(split.where("known = home").withColumn("j", block("nh")).withColumn("i", spread("ns")), 2, F.lit(1)))
     if opened is None:
         return own
     asking = opened.groupBy("gid").agg(F.count("*").alias("_d"), F.sum("n").alias("_t")).withColumn("nq", _block_count("_d", "_t")).select("gid", "nq")
@@ -396,17 +407,18 @@ def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None) -> DataFrame
     return own.unionByName(cross[0]).unionByName(cross[1])
 
 
-def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between documents of different components in a cell: those of a spanning forest, so fewer than the cell has components.
+def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known: np.ndarray, percent: int, two: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between documents of different components in a cell: those of a spanning forest, so fewer than the cell has components; and each document's
+    number of links in the cell, which are all of them.  two: documents meet those of the other side alone.
 
     Documents whose overlap with the other side's token union can't reach the bound are left out, until none is.
     """
     n = np.array([len(x) for x in sets], np.int64)
+    degree = np.zeros(len(sets), np.int64)
     keep = np.flatnonzero(n)
-    two = bool(side.any())
     while True:
         if len(keep) < 2:
-            return []
+            return [], degree
         token = np.concatenate([sets[i] for i in keep])
         doc = np.repeat(np.arange(len(keep)), n[keep])
         _, at = np.unique(token, return_inverse=True)
@@ -447,7 +459,13 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
             y[other[d[theirs]], c[theirs]] = 1
             common += x @ y.T
         common = common.astype(np.int64)
-        fits = (100 * common >= percent * (size[lot][:, None] + size[columns][None] - common)) & (component[lot][:, None] != component[columns][None])
+        fits = 100 * common >= percent * (size[lot][:, None] + size[columns][None] - common)
+        if two:
+            degree[keep[columns]] += fits.sum(axis=0)
+        else:
+            fits[np.arange(len(lot)), low + np.arange(len(lot))] = False
+        degree[keep[lot]] += fits.sum(axis=1)
+        fits &= component[lot][:, None] != component[columns][None]
         for p, fit in zip(lot.tolist(), fits, strict=True):
             met = columns[fit & (component[columns] != component[p])]
             if len(met):
@@ -455,11 +473,14 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
                 out += [(int(ref[keep[p]]), int(ref[keep[q]])) for q in met[first].tolist()]
                 joined = np.append(joined, component[p])
                 component[np.isin(component, joined)] = joined.min()
-    return out
+    return out, degree
+
 
+def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets=None, counted: bool = False) -> DataFrame:
+    """Links (a, b) of all cells; counted: (a, b, n), with n = 0, and (a, a, n) for a's number of links in a cell.
 
-def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets=None) -> DataFrame:
-    """Links (a, b) of all cells.  A task holds one cell's sets at a time; texts are shipped, not sets, as they compress."""
+    A task holds one cell's sets at a time; texts are shipped, not sets, as they compress.
+    """
     sets = sets or _sets
     key = ["g", "k", "i", "j"]
     rows = cells.select(*key, "side", "ref", "known", "text").repartition(parts, *key).sortWithinPartitions(*key)
@@ -470,9 +491,12 @@ def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets
         def closed():
             if len(held) > 1:
                 own, side, ref, known = zip(*held, strict=True)
-                links = cell_links(list(own), np.array(side), np.array(ref), np.array(known), percent)
+                links, degree = cell_links(list(own), np.array(side), np.array(ref), np.array(known), percent, now[1] != 0 or now[2] != now[3])
                 if links:
-                    yield dict(zip(("a", "b"), zip(*links, strict=True), strict=True))
+                    yield dict(zip(("a", "b"), zip(*links, strict=True), strict=True)) | ({"n": [0] * len(links)} if counted else {})
+                some = np.flatnonzero(degree)
+                if counted and len(some):
+                    yield {"a": np.array(ref)[some], "b": np.array(ref)[some], "n": degree[some]}
             held.clear()
 
         for b in batches:
@@ -487,7 +511,7 @@ def compare_cells(cells: DataFrame, shingle: int, percent: int, parts: int, sets
                     held.append((keys[cuts[d] : cuts[d + 1]].copy(), side[i + d], ref[i + d], known[i + d]))
         yield from closed()
 
-    return map_partition(rows, "a long, b long", partition)
+    return map_partition(rows, "a long, b long, n long" if counted else "a long, b long", partition)
 
 
 def fitting(percent: int):
@@ -504,18 +528,18 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     2. Similar classes are put into groups: signature bands propose a leader, classes of one leader are a group, and exact verification links with it.
     3. Token-group matrix: each class gives its rarest tokens, a prefix that must share so many with any set it links with.  By token, the matrix has
        the groups whose union holds it; a query's count over a group bounds its overlap with any member.  Only groups that reach the bound are opened.
-    4. Opened groups, and those whose members aren't linked with each other yet, are compared block by block in memory, so that no pairs are
-       made but links; a document whose overlap with a block's token union is too small is left out of it.
+    4. A group's members are compared with each other, and with those that opened the group, block by block in memory, each two once: what
+       comes out is a spanning forest of the links and each class's number of links, not the pairs; a document whose overlap with a block's token union
+       is too small is left out of it.
     5. Links of both steps make the components.
 
-    Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links (links found for its class; copies aside, and those that earlier links imply).
-    Every link is found or its two documents are already in one component.  Null texts are empty.  Rows of equal id and text are one document, each returned;
+    Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links (the different sets that its own links with; copies aside).
+    Every link is found and counted.  A group's comparisons grow with the square of its classes, in cells of two blocks.  Null texts are empty.  Rows of equal id and text are one document, each returned;
     null ids get a component_id of the smallest id beside them, null if there is none.  Further columns are ignored; an empty table gives no rows.
     """
     docs = with_refs(df, text, doc_id)
-    meta, classes, links = find_links(docs, shingle, percent)
+    meta, classes, links, degree = find_links(docs, shingle, percent, counted=True)
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     table = classes.join(roots, F.col("rep") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
     result = docs.select("doc_id", "ref").join(meta, "ref").join(table, "class", "left")
     result = result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "ref").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -528,7 +552,7 @@ def jaccard_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """df with one document of each component: its first, by id.  Documents without words stay; of rows equal in id and text one stays."""
     docs = with_refs(df, text, doc_id, tuple(df.columns))
-    meta, classes, links = find_links(docs, shingle, percent)
+    meta, classes, links, _ = find_links(docs, shingle, percent)
     roots = components(links)
     first = classes.join(roots.where("node <> root"), F.col("rep") == F.col("node"), "left_anti").select(F.col("rep").alias("ref"))
     stay = stage_boundary(first.unionByName(meta.where("n = 0").select("ref")).distinct())
