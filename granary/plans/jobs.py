@@ -32,7 +32,7 @@ def check_slots(spark: SparkSession, config: RunConfig) -> None:
 
 
 def plan_extraction(rows: DataFrame, config: RunConfig, done: DataFrame | None = None) -> DataFrame:
-    """Records with token ids, bucket, rank, batch, shard and offset; those done already are left out and each rank's shards go on behind its own.
+    """Records with the token ids that are used, bucket, rank, batch, shard and offset; those done already are left out and each rank's shards go on behind its own.
 
     Records are normalized and tokenized once, into the shared folder.  Ordinals, batches and shards are planned over keys and buckets alone, and joined to
     the records by key at the end.
@@ -42,7 +42,8 @@ def plan_extraction(rows: DataFrame, config: RunConfig, done: DataFrame | None =
     r = records.with_digest(records.normalize_records(rows, text_column=config.text_column, answer_column=config.answer_column, view=config.view))
     r = r.select("source_index", "input_sha256", "label", ids(F.col("text")).alias("token_ids")).withColumn("token_count", F.size("token_ids").cast("long"))
     bucket, cut = assign_bucket(F.col("token_count"), config.buckets)
-    r = stage_boundary(r.withColumn("bucket", bucket).withColumn("truncated_tokens", cut))
+    used = F.when(F.size("token_ids") > bucket, F.slice("token_ids", F.size("token_ids") - bucket + 1, bucket)).otherwise(F.col("token_ids"))
+    r = stage_boundary(r.withColumn("bucket", bucket).withColumn("truncated_tokens", cut).withColumn("token_ids", used))
     keys = packing.with_ordinal(r.select("source_index", "bucket"), "source_index", computed=False)
     keys = keys.select("source_index", "bucket", packing.rank_of(F.col("ordinal"), config.writers).alias("rank"))
     if done is not None:
@@ -75,7 +76,9 @@ def extract(spark: SparkSession, config: RunConfig, produce: Producer | None = N
     done = stage_boundary(artifact.read_shards(spark, config.output).select("source_index", "rank", "shard")) if exists(spark, f"{config.output}/states") else None
     plan = plan_extraction(load_rows(spark, config.input, config.start_index, config.max_samples), config, done)
     layers, observed = config.layers or 0, Observation()
-    laid = artifact.lay_out_shards(plan, plan.count(), artifact.record_bytes(config.width, config.layers, config.dtype))
+    sizes = plan.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.size("token_ids")).alias("tokens")).collect()  # a row per bucket
+    # Shards are in the order of buckets, so some tasks' rows are all of the longest.
+    laid = artifact.lay_out_shards(plan, sum(r.n for r in sizes), artifact.record_bytes(config.width, config.layers, config.dtype), tokens=max((r.tokens for r in sizes), default=0))
     states = infer(laid, produce or stub_layers(config.width, layers), config.width, layers, config.effective_batch, config.pad_id, config.dtype, config.norm)
     artifact.write_shards(states.observe(observed, *(F.count_if(F.col("rank") == k).alias(str(k)) for k in range(config.writers))), config.output)
     processed = {int(k): n for k, n in observed.get.items()}

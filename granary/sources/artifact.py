@@ -8,6 +8,7 @@ manifest.json  the run, its totals and reports; its size doesn't depend on the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -27,6 +28,8 @@ VECTORS = ("embedding", "hidden_states")
 METADATA = "source_index long, input_sha256 string, token_count long, bucket int, truncated_tokens int, label int, rank int, shard long, offset long"
 #: Bytes of a file of vectors.
 FILE_BYTES = 128 << 20
+#: Bytes of token ids that a task reads to write a file.
+TOKEN_BYTES = 256 << 20
 #: Bytes of a row beside its vectors.
 ROW_BYTES = 160
 
@@ -45,9 +48,10 @@ def record_bytes(width: int, layers: int | None, dtype: str) -> int:
     return ROW_BYTES + width * (1 + (layers or 0)) * (2 if dtype == "bfloat16" else 4)
 
 
-def lay_out_shards(df: DataFrame, rows: int, each: int, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """df in tasks of whole shards, in the order of rank, shard and offset: each task's file has some ``file_bytes``."""
-    tasks = max(1, -(-rows * each // file_bytes))
+def lay_out_shards(df: DataFrame, rows: int, each: int, file_bytes: int = FILE_BYTES, tokens: float = 0) -> DataFrame:
+    """df in tasks of whole shards, in the order of rank, shard and offset: each task's file has some ``file_bytes``, or fewer where its rows,
+    of ``tokens`` tokens each at most, would else be more than TOKEN_BYTES of ids to read."""
+    tasks = max(1, -(-rows * each // file_bytes), math.ceil(rows * 4 * tokens / TOKEN_BYTES))
     return df.repartitionByRange(tasks, "rank", "shard").sortWithinPartitions("rank", "shard", "offset")
 
 
