@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -87,10 +88,9 @@ def merge_ids(spark: SparkSession, ranks: dict[bytes, int], pattern: str = PIECE
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
         own, known, cut = shared.value, {}, re.compile(pattern)
-        flat, sizes = [], []
-        for t in texts.to_pylist():
-            before = len(flat)
-            for m in cut.finditer(t or ""):
+        flat, ends = array("i"), array("q", [0])  # ids in four bytes each, and one text at a time as a string
+        for k in range(len(texts)):
+            for m in cut.finditer(texts[k].as_py() or ""):
                 piece = m.group()
                 found = known.get(piece)
                 if found is None:
@@ -99,8 +99,8 @@ def merge_ids(spark: SparkSession, ranks: dict[bytes, int], pattern: str = PIECE
                     found = merge_piece(piece.encode(), own)
                     if len(piece) <= REMEMBERED_LENGTH:
                         known[piece] = found
-                flat += found
-            sizes.append(len(flat) - before)
-        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(flat, pa.int32()))
+                flat.extend(found)
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(np.frombuffer(ends, np.int64).astype(np.int32), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
 
     return ids

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from granary.functions.tokenizer import merge_ids
 from granary.plans import config, jobs
 from granary.sources import artifact, jsonl
 
@@ -19,3 +23,14 @@ def test_files_of_narrow_vectors_bound_the_tokens_a_task_reads(spark, tmp_path,
     files = artifact.read_shards(spark, own.output).groupBy(F.input_file_name()).agg(F.sum(F.least("token_count", F.col("bucket"))).alias("n")).collect()
     assert len(files) > 3 and max(r.n for r in files) * 4 <= 2 * 20_000
     assert jobs.validate(spark, own)["valid"]
+
+
+def test_merged_ids_take_few_bytes_each(spark):
+    ids = merge_ids(spark, {bytes([b]): b for b in range(256)}).func
+    texts = pa.array(["ab " * 700] * 1000 + [None, ""])
+    tracemalloc.start()
+    out = ids(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1002 and len(out.flatten()) == 2_100_000 and out[1001].as_py() == []
+    assert peak < 7 * 2_100_000
