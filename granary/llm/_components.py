@@ -25,6 +25,8 @@ LINKS, OWNED, ASKS, ANSWERS, OPEN = range(5)
 ROUNDS = 2
 #: Links of a part that are worth a task; fewer parts than the session's do for fewer links.
 PART_LINKS = 1 << 16
+#: Links, whatever the corpus, up to which one task joins all of them at once: rounds of exchanges would cost more than the work.
+FEW_LINKS = 1 << 13
 
 
 def _owner(label: np.ndarray, parts: int) -> np.ndarray:
@@ -147,15 +149,28 @@ def _rows(batches):
         yield {"node": unmix64(own[i : i + (1 << 17)]).view(np.int64), "root": name[i : i + (1 << 17)]}
 
 
+def _at_once(batches):
+    cols = [[b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for b in batches]
+    if not cols:
+        return
+    a, b = (np.concatenate([c[i] for c in cols]) for i in (0, 1))
+    node, root = least_of_ties(a[a != b], b[a != b])
+    yield {"node": node, "root": root}
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every linked node, root the component's smallest node.
 
     Labels are hashed nodes, so that chains of least neighbours are short whatever the nodes' order; rounds grow as a logarithm.
     A round is two exchanges of packed labels; ROUNDS of them are one job, cut by a checkpoint, and the last one's open parts tell whether
     another is needed.  Links of a node to itself and repeated ones don't matter; nodes without links have no row.  links is read twice, so give a
-    table or a checkpoint: its count tells how many parts the rounds need, as many as the session's shuffle partitions at most.
+    table or a checkpoint: its count tells how many parts the rounds need, as many as the session's shuffle partitions at most, and whether it is at most
+    FEW_LINKS, which need no rounds.
     """
-    parts = min(parts_of(links), max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // PART_LINKS)))
+    n = links.count()
+    if n <= FEW_LINKS:
+        return map_partition(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).coalesce(1), "node long, root long", _at_once)
+    parts = min(parts_of(links), max(links.sparkSession.sparkContext.defaultParallelism, -(-n // PART_LINKS)))
 
     def to_packed(batches):
         for k, batch in enumerate(batches):
