@@ -6,6 +6,8 @@ import numpy as np
 
 #: Places of the array that a step of the induction looks at first; it grows while buckets don't feed one another.
 WINDOW = 4096
+#: Bytes of a leftmost-S substring that are sorted as one word.
+WORD = 7
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -149,6 +151,36 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(name[-1]) + 1
 
 
+def byte_names(t: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """As _names, of a text of bytes, whose leftmost-S substrings are short: sorted by their first bytes in a word, longer ones of equal words as strings.
+
+    A substring that begins another one is the larger of the two, as it ends in an S-type symbol; the last one ends with the text and is the smaller.
+    """
+    length = np.append(lms[1:] + 1, len(t)) - lms
+    padded = np.concatenate((t, np.zeros(WORD, t.dtype)))
+    key = np.zeros(len(lms), np.uint64)
+    for j in range(WORD):
+        c = padded[lms + j].astype(np.uint64)
+        c[:-1][length[:-1] <= j] = 255
+        key = key << np.uint64(8) | c
+    whole = length <= WORD
+    whole[-1] = False
+    key = key << np.uint64(8) | np.where(whole, 255 - length, 0).astype(np.uint64)
+    longer = np.flatnonzero(~whole)
+    text = [t[a:z].tobytes().decode("latin-1") + "\u0100" for a, z in zip(lms[longer].tolist(), (lms + length)[longer].tolist(), strict=True)]
+    text[-1] = text[-1][:-1]
+    rank = np.zeros(len(lms), np.int64)
+    number = {x: k for k, x in enumerate(sorted(set(text)))}
+    rank[longer] = [number[x] for x in text]
+    order = np.argsort(key)
+    order[~whole[order]] = longer[np.lexsort((rank[longer], key[longer]))]
+    key, rank = key[order], rank[order]
+    name = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])))) - 1
+    out = np.empty(len(lms), np.int64)
+    out[order] = name
+    return out, int(name[-1]) + 1
+
+
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     """Start of each suffix of t, in order; a suffix that is a prefix of another comes first."""
     n = len(t)
@@ -157,7 +189,10 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     k = int(t.max()) + 1 if k is None else k
     types = classify(t)
     lms = leftmost(types)
-    if len(lms) > 1:
+    if len(lms) > 1 and t.dtype == np.uint8:
+        names, count = byte_names(t, lms)
+        order = lms[suffix_array(names, count) if count < len(lms) else np.argsort(names)]
+    elif len(lms) > 1:
         mark = np.zeros(n, bool)
         mark[lms] = True
         order = induce(t, k, lms, types)
