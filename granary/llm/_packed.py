@@ -44,7 +44,7 @@ def deal(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tup
     """The records of each part as one blob."""
     if not len(part):
         return
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.int16) if part.max() < 1 << 15 else part, kind="stable")  # of two bytes: by counting
     part = part[order]
     columns = [c[order] for c in columns]
     cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))

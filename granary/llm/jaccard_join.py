@@ -26,10 +26,14 @@ SKETCH_BITS = 20
 FREQUENT_IN_LOT = 8
 #: Band records that a mapper holds before it joins those of equal keys.
 LOT = 1 << 18
+#: Marks by which band keys that stand once are told from the others, 1 MB of them.
+OFTEN_BITS = 20
 #: Extra share of a document's tokens in its prefix; so many of them must be met.
 EXTRA = 0.05
 #: Measured bytes of a table up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Pairs and tokens of a cell up to which its documents are compared two by two; matrices are dearer there.
+FEW_PAIRS, FEW_TOKENS = 64, 1 << 13
 #: Documents compared with one leader in a task.
 CHUNK = 256
 #: Parts of a key's rows where a join can't be broadcast.
@@ -80,13 +84,28 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> _U(17)) % _U(parts)).astype(np.int32)
 
 
+def often(key: np.ndarray) -> np.ndarray:
+    """Marks all keys that stand more than once, and some of the others: those that agree with such a one in their upper bits.
+
+    A sort of values alone takes a twentieth of one that orders records by key and class.
+    """
+    value = np.sort(key)
+    mark = np.zeros(1 << OFTEN_BITS, bool)
+    mark[value[1:][value[1:] == value[:-1]] >> _U(64 - OFTEN_BITS)] = True
+    return mark[key >> _U(64 - OFTEN_BITS)]
+
+
 def star_links(key: np.ndarray, h: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each key's leader, as (key, class, weight), and links (leader, class) to the key's other classes, each once.
 
     A class weighs as much as the classes that its keys are shared with: of many edited copies the common original keeps most of the shared keys,
     so it leads, and links with copies that don't link with each other.  Joining leaders of several lots again ties all classes of a key
-    together, as they are in one list of a key at most as often as there are lots.
+    together, as they are in one list of a key at most as often as there are lots.  Most keys stand once: their one class leads them, and only the others
+    are put in order.
     """
+    shared = often(key)
+    lone = [key[~shared], h[~shared]] + ([] if weight is None else [weight[~shared]])
+    key, h, weight = key[shared], h[shared], None if weight is None else weight[shared]
     order = np.lexsort((h, key))
     key, h = key[order], h[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))) if len(key) else np.zeros(0, bool)
@@ -95,14 +114,21 @@ def star_links(key: np.ndarray, h: np.ndarray, weight: np.ndarray | None = None)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     m = np.diff(np.append(first, len(key)))
     if weight is None:
-        _, at = np.unique(h, return_inverse=True)
-        weight = np.bincount(at, weights=np.repeat(m - 1, m)).astype(np.int64)[at]
+        own, at = np.unique(h, return_inverse=True)
+        total = np.bincount(at, weights=np.repeat(m - 1, m)).astype(np.int64)
+        weight = total[at]
+        at = np.minimum(np.searchsorted(own, lone[1]), max(len(own) - 1, 0))
+        lone.append(np.where(own[at] == lone[1], total[at], 0) if len(own) else np.zeros(len(lone[1]), np.int64))
     group = np.repeat(np.arange(len(first)), m)
     best = np.lexsort((h, weight, group))[np.cumsum(m) - 1]  # of each key the heaviest, of equal ones the largest
     leader = h[best]
     rest = leader[group] != h
-    pairs = np.unique(np.stack((leader[group][rest], h[rest]), axis=1), axis=0)
-    return [key[first], leader, weight[best]], [pairs[:, 0], pairs[:, 1]]
+    a, b = leader[group][rest], h[rest]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    lead = [np.concatenate(x) for x in zip(lone, [key[first], leader, weight[best]], strict=True)]
+    return lead, [a[fresh], b[fresh]]
 
 
 def sketch_counts(keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -407,6 +433,21 @@ def lay_out_cells(reps: DataFrame, opened: DataFrame | None = None, whole: bool
     return own.unionByName(cross[0]).unionByName(cross[1])
 
 
+def _few_links(sets: list[np.ndarray], pairs: list[tuple[int, int]], ref: np.ndarray, known: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """cell_links of these pairs, one after the other."""
+    own, component = [set(x.tolist()) for x in sets], known.tolist()
+    degree, out = np.zeros(len(sets), np.int64), []
+    for p, q in pairs:
+        if own[p] and own[q] and linked(len(own[p] & own[q]), len(own[p]), len(own[q]), percent):
+            degree[p] += 1
+            degree[q] += 1
+            if component[p] != component[q]:
+                out.append((int(ref[p]), int(ref[q])))
+                low, high = sorted((component[p], component[q]))
+                component = [low if x == high else x for x in component]
+    return out, degree
+
+
 def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known: np.ndarray, percent: int, two: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links between documents of different components in a cell: those of a spanning forest, so fewer than the cell has components; and each document's
     number of links in the cell, which are all of them.  two: documents meet those of the other side alone.
@@ -414,6 +455,9 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
     Documents whose overlap with the other side's token union can't reach the bound are left out, until none is.
     """
     n = np.array([len(x) for x in sets], np.int64)
+    if (int((side == 0).sum() * (side == 1).sum()) if two else len(sets) * (len(sets) - 1) // 2) <= FEW_PAIRS and n.sum() <= FEW_TOKENS:
+        at = range(len(sets))
+        return _few_links(sets, [(p, q) for p in at for q in at if (side[p] == 0 and side[q] == 1 if two else p < q)], ref, known, percent)
     degree = np.zeros(len(sets), np.int64)
     keep = np.flatnonzero(n)
     while True:
@@ -447,14 +491,15 @@ def cell_links(sets: list[np.ndarray], side: np.ndarray, ref: np.ndarray, known:
         other = np.full(len(keep), -1)
         other[columns] = np.arange(len(columns))
         for t in range(0, len(used), 2048):
-            a, z = np.searchsorted(at, (t, t + 2048))
+            wide = min(2048, len(used) - t)
+            a, z = np.searchsorted(at, (t, t + wide))
             d, c = doc[a:z], at[a:z] - t
-            x = np.zeros((len(lot), 2048), np.float32)
+            x = np.zeros((len(lot), wide), np.float32)
             mine = place[d] >= 0
             if not mine.any():
                 continue
             x[place[d[mine]], c[mine]] = 1
-            y = np.zeros((len(columns), 2048), np.float32)
+            y = np.zeros((len(columns), wide), np.float32)
             theirs = other[d] >= 0
             y[other[d[theirs]], c[theirs]] = 1
             common += x @ y.T

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources import stage_boundary
 from ._arrow import map_batches
 from ._components import components
-from ._kernel import LOWER, NOT_SPACE, buffers, hash_eights, hash_spans, mix64, string_column, text_blocks, unique_by_group, words
+from ._kernel import LOWER, NOT_SPACE, buffers, hash_eights, hash_spans, mix64, string_column, text_blocks, unique_by_group
 from ._packed import blobs, deal, exchange, map_packed, parts_of, unpack
 from .jaccard_join import LOT, _rows, compare_cells, join_text, lay_out_cells, star_links, verify_pairs
 from .substring_dedup import _ranges, by_document, with_refs
@@ -24,17 +25,36 @@ _U = np.uint64
 BANDS, ROWS = 20, 6
 #: Bytes of a shingle; a shorter line is one shingle.
 SHINGLE = 8
-_LINE = np.ones(256, bool)
-_LINE[10] = False
+#: Bytes of white space that are cut off lines one by one; where there are more, a block's solid bytes are searched.
+TRIMS = 32
+#: Tries by which empty bins look for a filled one together; after those each of the rest is looked up by itself.
+TRIES = 12
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line that isn't blank: its start, and start and end without outer white space; its document."""
-    starts, ends = words(data, offsets, _LINE)
-    solid = np.flatnonzero(NOT_SPACE[data])
-    first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
-    keep = first <= last
-    starts, a, z = starts[keep], solid[first[keep]], solid[last[keep]] + 1
+    cuts = np.flatnonzero(data == 10)
+    starts, ends = np.sort(np.concatenate((offsets[:-1], cuts + 1))), np.sort(np.concatenate((cuts, offsets[1:])))
+    filled = starts < ends
+    starts, ends = starts[filled], ends[filled]
+    a, z = starts.copy(), ends.copy()
+    left, right = np.arange(len(a)), np.arange(len(a))
+    for _ in range(TRIMS):
+        left, right = left[~NOT_SPACE[data[a[left]]]], right[~NOT_SPACE[data[z[right] - 1]]]
+        a[left] += 1
+        z[right] -= 1
+        left, right = left[a[left] < ends[left]], right[z[right] > starts[right]]
+        if not len(left) and not len(right):
+            break
+    rest = np.union1d(left, right)
+    if len(rest):
+        solid = np.flatnonzero(NOT_SPACE[data])
+        first, last = np.searchsorted(solid, starts[rest]), np.searchsorted(solid, ends[rest]) - 1
+        some = first <= last
+        a[rest], z[rest] = ends[rest], starts[rest]
+        a[rest[some]], z[rest[some]] = solid[first[some]], solid[last[some]] + 1
+    keep = a < z
+    starts, a, z = starts[keep], a[keep], z[keep]
     return starts, a, z, np.searchsorted(offsets, starts, side="right") - 1
 
 
@@ -49,34 +69,54 @@ def _grams(low: np.ndarray, a: np.ndarray, z: np.ndarray, k: int) -> tuple[np.nd
     return out, line
 
 
+@lru_cache(1)
+def donors() -> tuple[np.ndarray, np.ndarray]:
+    """The bins that each bin copies from, try by try (the first TRIES of them), and the try in which a bin first gets to each other one."""
+    bins = BANDS * ROWS
+    each, own = np.arange(bins, dtype=_U) * _U(977), np.arange(bins)
+    tries, rank, attempt = [], np.zeros((bins, bins), np.int32), 0
+    while not (rank > 0).all():
+        attempt += 1
+        to = (mix64(each + _U(attempt * 1_000_003)) % _U(bins)).astype(np.int64)
+        rank[own, to] = np.where(rank[own, to] > 0, rank[own, to], attempt)
+        if attempt <= TRIES:
+            tries.append(to)
+    return np.array(tries), rank
+
+
 def signatures(gram: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash: each shingle falls into one bin and bins keep their least; empty ones copy the bin that a fixed sequence of tries first finds filled."""
     bins = BANDS * ROWS
     sig = np.full(n * bins, 0xFFFFFFFF, np.uint32)
-    where = line * bins + (((gram >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
-    np.minimum.at(sig, where, (gram & _U(0x7FFFFFFF)).astype(np.uint32))
+    where = gram >> _U(32)
+    where *= _U(bins)
+    where >>= _U(32)
+    where += line.view(_U) * _U(bins)
+    np.minimum.at(sig, where.view(np.int64), gram.astype(np.uint32) & np.uint32(0x7FFFFFFF))
     filled = sig != 0xFFFFFFFF
-    empty = np.flatnonzero(~filled)
-    own, attempt = empty % bins, 1
-    each = np.arange(bins, dtype=_U) * _U(977)
-    while len(empty):
-        tries = (mix64(each + _U(attempt * 1_000_003)) % _U(bins)).astype(np.int64)  # each bin's donor in this attempt
-        donor = empty - own + tries[own]
+    grid, has = sig.reshape(n, bins), filled.reshape(n, bins)
+    one = has.sum(axis=1) == 1
+    grid[one] = grid[one].min(axis=1)[:, None]  # copies of the only one
+    empty = np.flatnonzero(~(has | one[:, None]))
+    own = empty % bins
+    tries, rank = donors()
+    for to in tries:
+        donor = empty - own + to[own]
         ok = filled[donor]
         sig[empty[ok]] = sig[donor[ok]]
         empty, own = empty[~ok], own[~ok]
-        attempt += 1
-    return sig.reshape(n, bins)
+    for k in range(0, len(empty), 4096):
+        line, bin_ = np.divmod(empty[k : k + 4096], bins)
+        donor = np.where(has[line], rank[bin_], np.iinfo(np.int32).max).argmin(axis=1)
+        grid[line, bin_] = grid[line, donor]
+    return grid
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    out = np.empty((len(sig), BANDS), _U)
-    for b in range(BANDS):
-        key = np.full(len(sig), b + 1, _U)
-        for r in range(ROWS):
-            key = mix64(key * _U(31) + sig[:, b * ROWS + r])
-        out[:, b] = key
-    return out
+    key = np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(sig), 1))
+    for r in range(ROWS):
+        key = mix64(key * _U(31) + sig[:, r::ROWS])
+    return key
 
 
 def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
@@ -110,8 +150,9 @@ def describe_lines(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
                 places.append([h, refs[i + doc], starts - offs[doc], z - starts])
                 if sum(len(x[0]) for x in places) > LOT:
                     yield from firsts()
-                _, first = np.unique(h, return_index=True)
-                new = np.array([k for k in first.tolist() if int(h[k]) not in seen], np.int64)
+                order = np.argsort(h)
+                first = order[np.concatenate(([True], h[order[1:]] != h[order[:-1]]))]
+                new = first[np.array([x not in seen for x in h[first].tolist()], bool)]
                 if len(seen) > 1 << 19:
                     seen.clear()
                 seen.update(h[new].tolist())
@@ -180,10 +221,13 @@ def line_texts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
 
     def batch(b):
         data, offs = buffers(b.column(0))
+        refs, lines = [], []
         for d, blob in enumerate(b.column(1).to_pylist()):
             own = data[offs[d] : offs[d + 1]].tobytes()
             h, start, length = unpack([blob], ["<i8", "<i8", "<i8"])
-            yield {"ref": h, "text": [own[s : s + n].decode("utf-8", "replace") for s, n in zip(start.tolist(), length.tolist(), strict=True)]}
+            refs.append(h)
+            lines += [own[s : s + n].decode("utf-8", "replace") for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+        yield {"ref": np.concatenate(refs), "text": lines}
 
     return map_batches(join_text(docs, stage_boundary(asked)), "ref long, text string", batch, "text", "blob")
 
