@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import stage_boundary
-from ._anchors import anchored_runs
+from ._anchors import anchored_places, anchored_runs, side_marks
 from ._arrow import map_batches, map_partition
 from ._kernel import buffers, hash_spans, mix64, text_blocks
 from ._packed import blobs, deal, exchange, map_packed, pack, parts_of, unpack
@@ -24,10 +24,10 @@ GRAM = 16
 FLUSH = 1 << 20
 #: Bytes of one suffix array.
 SHARD_BYTES = 4 << 20
-#: Distinct contexts of one anchor beyond which further anchors split them.
+#: Contexts of one anchor that go to shards, beyond which further anchors split them.
 HOT = 1 << 14
 
-_ANCHORS = ["<u8", "<u8", "<i8", "<i8", "<i4"]  # anchor, context's hash, document, start, length
+_ANCHORS = ["<u8", "<u8", "<i8", "<i4", "<i4", "<u4", "<u4"]  # anchor, context's hash, document, start, length, marks of the anchor's sides
 _SPANS = ["<i8", "<i8", "<i8"]  # document, start, end
 _REQUESTS = ["<i8", "<u8", "<i8", "<i4", "<i1"]  # document, anchor, start, length, hot
 _U = np.uint64
@@ -70,7 +70,7 @@ def _collapse(a: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.nda
 
 
 def _spans(a: list[np.ndarray], which: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    ref, start = a[2][which], a[3][which]
+    ref, start = a[2][which], a[3][which].astype(np.int64)
     yield from deal(1, _part(ref, parts), [ref, start, start + a[4][which]])
 
 
@@ -92,10 +92,11 @@ def find_anchors(docs: DataFrame, width: int, parts: int) -> DataFrame:
             for i, _, data, offs in text_blocks(b.column(1)):
                 if len(data) < width:
                     continue
-                key, first, last = anchored_runs(data, offs, width, GRAM)
+                grams, place, first, last = anchored_places(data, offs, width, GRAM)
                 doc = np.searchsorted(offs, first, side="right") - 1
                 end = last + width
-                held.append([key, hash_spans(data, first, end), refs[i + doc], first - offs[doc], (end - first).astype(np.int32)])
+                marks = side_marks(grams, place, first, last, width, GRAM)
+                held.append([grams[place], hash_spans(data, first, end), refs[i + doc], (first - offs[doc]).astype(np.int32), (end - first).astype(np.int32), *marks])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -104,8 +105,24 @@ def find_anchors(docs: DataFrame, width: int, parts: int) -> DataFrame:
     return map_packed(docs, partition, "ref", "text")
 
 
+def _met(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """True where another record of the group has the same mark; 0 is none."""
+    some = np.flatnonzero(mark)
+    both = (group[some].astype(_U) << _U(32)) | mark[some]
+    order = np.argsort(both)
+    both = both[order]
+    equal = both[1:] == both[:-1]
+    out = np.zeros(len(group), bool)
+    out[some[order[1:][equal]]] = True
+    out[some[order[:-1][equal]]] = True
+    return out
+
+
 def match_contexts(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
-    """Kind 1: spans of contexts whose whole bytes stand earlier.  Kind 2: one request per distinct context of an anchor that has several."""
+    """Kind 1: spans of contexts whose whole bytes stand earlier.  Kind 2: one request per distinct context that may share a window with another one of its anchor.
+
+    Such two agree in the bytes before the anchor or in those behind it, far enough for half a window (side_marks).
+    """
 
     def partition(batches):
         found = blobs(batches)
@@ -115,10 +132,12 @@ def match_contexts(anchors: DataFrame, parts: int, hot: int) -> DataFrame:
             return
         a, context, anchor = _collapse(unpack([b for _, b in found[0]], _ANCHORS))
         yield from _spans(a, ~context, parts)
-        group = np.cumsum(anchor) - 1
-        distinct = np.bincount(group, weights=context).astype(np.int64)[group]
-        ask = context & (distinct > 1)
-        yield from deal(2, _part(a[2][ask], parts), [a[2][ask], a[0][ask], a[3][ask], a[4][ask], (distinct[ask] > hot).astype(np.int8)])
+        group = (np.cumsum(anchor) - 1)[context]
+        several = np.bincount(group)[group] > 1
+        a, group = [c[context][several] for c in a], group[several]
+        ask = _met(group, a[5]) | _met(group, a[6])
+        a, group = [c[ask] for c in a], group[ask]
+        yield from deal(2, _part(a[2], parts), [a[2], a[0], a[3].astype(np.int64), a[4], (np.bincount(group)[group] > hot).astype(np.int8)])
 
     return map_packed(anchors, partition)
 
@@ -218,6 +237,10 @@ def shard_spans(key: np.ndarray, ref: np.ndarray, start: np.ndarray, length: np.
     group = np.cumsum(common < width)  # suffixes with equal windows are neighbours
     keep = owned[sa]
     place, group = sa[keep], group[keep]
+    keep = np.zeros(len(place), bool)  # windows that stand once are left out before they are ordered
+    keep[1:] = group[1:] == group[:-1]
+    keep[:-1] |= keep[1:]
+    place, group = place[keep], group[keep]
     doc, pos = ref[context[place]], start[context[place]] + inside[place]
     order = np.lexsort((pos, doc, group))
     group, doc, pos = group[order], doc[order], pos[order]
@@ -289,8 +312,9 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     1. Every window of ``width`` bytes has an anchor that depends on its bytes alone.  A document's windows of one anchor form a context.
     2. Contexts meet by anchor.  Equal ones are collapsed to the earliest, first in each mapper and then in each part; the others' bytes go.
-    3. Anchors with several distinct contexts send these to shards.  Each shard's suffix array is made by induced sorting, and its permuted
-       common prefixes tell which windows stand in another context, or earlier in their own.
+    3. Distinct contexts of an anchor go to shards if another one has the same bytes before the anchor or behind it, over half a window: others
+       can't share a window.  Each shard's suffix array is made by induced sorting, and its permuted common prefixes tell which windows stand
+       in another context, or earlier in their own.
     4. A document's spans are merged and cut out.
 
     Returns per input row doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes, and ``spans``).
