@@ -43,7 +43,8 @@ def plan_extraction(rows: DataFrame, config: RunConfig, done: DataFrame | None =
     r = r.select("source_index", "input_sha256", "label", ids(F.col("text")).alias("token_ids")).withColumn("token_count", F.size("token_ids").cast("long"))
     bucket, cut = assign_bucket(F.col("token_count"), config.buckets)
     used = F.when(F.size("token_ids") > bucket, F.slice("token_ids", F.size("token_ids") - bucket + 1, bucket)).otherwise(F.col("token_ids"))
-    r = stage_boundary(r.withColumn("bucket", bucket).withColumn("truncated_tokens", cut).withColumn("token_ids", used))
+    # Where this session sorted the input, the sort's files go now, before the ids are shuffled.
+    r = stage_boundary(r.withColumn("bucket", bucket).withColumn("truncated_tokens", cut).withColumn("token_ids", used), release=True)
     keys = packing.with_ordinal(r.select("source_index", "bucket"), "source_index", computed=False)
     keys = keys.select("source_index", "bucket", packing.rank_of(F.col("ordinal"), config.writers).alias("rank"))
     if done is not None:
@@ -55,6 +56,11 @@ def plan_extraction(rows: DataFrame, config: RunConfig, done: DataFrame | None =
     return stage_boundary(keys.drop("bucket")).join(r, "source_index")
 
 
+def bucket_sizes(plan: DataFrame) -> DataFrame:
+    """(bucket, n, tokens): records, and the mean of their tokens that are used; counted without their ids, which would be shuffled for it."""
+    return plan.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.least("token_count", F.col("bucket"))).alias("tokens"))
+
+
 def rank_reports(config: RunConfig, done: DataFrame | None, processed: dict[int, int], seconds: float) -> list[dict[str, Any]]:
     """Per writer: records assigned, done before, processed in this run, and the run's seconds."""
     before = {} if done is None else {r[0]: r[1] for r in done.groupBy("rank").count().collect()}  # a row per writer
@@ -76,7 +82,7 @@ def extract(spark: SparkSession, config: RunConfig, produce: Producer | None = N
     done = stage_boundary(artifact.read_shards(spark, config.output).select("source_index", "rank", "shard")) if exists(spark, f"{config.output}/states") else None
     plan = plan_extraction(load_rows(spark, config.input, config.start_index, config.max_samples), config, done)
     layers, observed = config.layers or 0, Observation()
-    sizes = plan.groupBy("bucket").agg(F.count("*").alias("n"), F.avg(F.size("token_ids")).alias("tokens")).collect()  # a row per bucket
+    sizes = bucket_sizes(plan).collect()  # a row per bucket
     # Shards are in the order of buckets, so some tasks' rows are all of the longest.
     laid = artifact.lay_out_shards(plan, sum(r.n for r in sizes), artifact.record_bytes(config.width, config.layers, config.dtype), tokens=max((r.tokens for r in sizes), default=0))
     states = infer(laid, produce or stub_layers(config.width, layers), config.width, layers, config.effective_batch, config.pad_id, config.dtype, config.norm)

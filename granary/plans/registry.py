@@ -389,11 +389,15 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written_lines(spark: SparkSession, sf_dir: str) -> str:
-    from ..sources.jsonl import write_objects
+def _written_lines(spark: SparkSession, sf_dir: str, worded: bool = False) -> str:
+    """Documents as compressed JSON lines, by doc_id; with worded, a blank line, which uses up its number, stands for one without words."""
+    from ..sources.jsonl import write_lines
 
     path = _folder(spark, "lines")
-    write_objects(read_table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id"), path)
+    value = F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"})
+    if worded:
+        value = F.when(text_functions.token_count(F.col("text")) > 0, value).otherwise("")
+    write_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").select(value.alias("value")), path)
     return path
 
 
@@ -407,7 +411,7 @@ def jsonl_scan(spark, sf_dir):
 
 @query("artifact_roundtrip", f"WITH RECURSIVE {SQL_SHARDS} SELECT count(*) AS records, count(DISTINCT shard) AS num_shards, count(*) AS validated, true AS valid FROM plan")
 def artifact_roundtrip(spark, sf_dir):
-    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "artifact"), width=16, shard_size=SHARD)
+    own = config.RunConfig(input=_written_lines(spark, sf_dir, worded=True), output=_folder(spark, "artifact"), width=16, shard_size=SHARD)
     manifest = jobs.extract(spark, own)
     report = jobs.validate(spark, own)
     return spark.createDataFrame([(manifest["records"], manifest["num_shards"], report["records"], report["valid"])], "records long, num_shards long, validated long, valid boolean")
@@ -474,10 +478,10 @@ i AS (SELECT source_index, back, {SQL_CRC} % 50000 AS id FROM (SELECT source_ind
 e AS (SELECT source_index, back, list_sum(list_transform(range(0, {WIDTH}), lambda j: (j + 1) * ((31 * id + 17 * j) % 97 - 48))) / 64 AS v FROM i)
 SELECT source_index, CAST(max(CASE WHEN back = 0 THEN v END) AS DOUBLE) AS embedding, {SQL_LAYERS} FROM e GROUP BY source_index""")
 def layer_states(spark, sf_dir):
-    """All documents through the job, four layers each, read back from the artifact; a vector is shown as the sum of its places, each times its number."""
+    """All documents that have words through the job, four layers each, read back from the artifact; a vector is shown as the sum of its places, each times its number."""
     from ..sources import artifact
 
-    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "layers"), width=WIDTH, layers=LAYERS, shard_size=SHARD, batch_size=BATCH, world_size=1)
+    own = config.RunConfig(input=_written_lines(spark, sf_dir, worded=True), output=_folder(spark, "layers"), width=WIDTH, layers=LAYERS, shard_size=SHARD, batch_size=BATCH, world_size=1)
     jobs.extract(spark, own)
     shown = lambda v: F.aggregate(F.zip_with(v, F.sequence(F.lit(1), F.lit(WIDTH)), lambda x, j: x.cast("double") * j), F.lit(0.0), lambda a, x: a + x)
     df = artifact.read_shards(spark, own.output)
@@ -566,7 +570,7 @@ def artifact_problems(spark, sf_dir):
     from ..sources import artifact
     from ..sources.jsonl import read_document
 
-    own = config.RunConfig(input=_written_lines(spark, sf_dir), output=_folder(spark, "whole"), width=WIDTH, shard_size=SHARD, layers=2, dtype="bfloat16")
+    own = config.RunConfig(input=_written_lines(spark, sf_dir, worded=True), output=_folder(spark, "whole"), width=WIDTH, shard_size=SHARD, layers=2, dtype="bfloat16")
     jobs.extract(spark, own)
     other = f"{own.output}-damaged"
     df = artifact.read_shards(spark, own.output)

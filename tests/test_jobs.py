@@ -431,3 +431,16 @@ def test_qa_problems(spark, tmp_path):
     path, own = write_lines(tmp_path / "q.jsonl", ["{}"]), __import__("hashlib").sha256(b"{}\n").hexdigest()
     assert jobs.qa_problems(df, "train", 3, "y", path)[-1] == f"digest is {own}, not y" and len(jobs.qa_problems(df, "train", 3, own, path)) == 3
     assert jobs.qa_problems(df.limit(1).unionByName(df.limit(1).withColumn("label", F.lit(1))), "train", 2) == []
+
+
+def test_artifacts_of_documents_without_words(spark, tmp_path):
+    from granary.plans import registry
+
+    rows = [(i, f"word {i} " * 40) for i in range(200)]
+    for i, text in ((0, None), (3, ""), (70, " \n\t "), (199, "\r\n")):  # no words: no record, but a number
+        rows[i] = (i, text)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    own = {name: registry.QUERIES[name](spark, str(tmp_path)).collect() for name in ("artifact_roundtrip", "artifact_problems", "layer_states")}
+    assert [tuple(r) for r in own["artifact_roundtrip"]] == [(196, 4, 196, True)]
+    assert {(r.artifact, r.records, r.shards, r.valid) for r in own["artifact_problems"]} == {("whole", 196, 4, True), ("damaged", 132, 3, False)}
+    assert sorted(r.source_index for r in own["layer_states"]) == [i for i in range(200) if i not in (0, 3, 70, 199)]
